@@ -30,31 +30,27 @@ def _pick(values: list[str], index: Column) -> Column:
 def candidates(spark: SparkSession, folder: str) -> DataFrame:
     """One candidate record per line item, with the columns of the extracts.
 
-    Orders and parts are unique by key, so a key shared by many line items only makes one side
+    What depends on the order or the part alone is derived before the joins.  Orders and
+    parts are unique by key, so a key shared by many line items only makes one side
     of the join heavy, which adaptive execution splits.
     """
-    rows = (
-        table(spark, folder, "lineitem")
-        .join(table(spark, folder, "orders"), F.col("l_orderkey") == F.col("o_orderkey"))
-        .join(table(spark, folder, "part"), F.col("l_partkey") == F.col("p_partkey"))
-    )
     year = F.year("o_orderdate")
-    word, noun = F.split_part("p_name", F.lit(" "), F.lit(1)), F.upper(
-        F.split_part("p_name", F.lit(" "), F.lit(2))
-    )
-    brand = F.split_part("p_brand", F.lit("#"), F.lit(2)).cast("int")
-    return rows.select(
+    orders = table(spark, folder, "orders").select(
+        "o_orderkey",
         F.when(year <= 1997, 2014).when(year <= 1999, 2018).otherwise(2022).alias("ANO_ELEICAO"),
-        _pick(STATES, F.col("l_suppkey") % 28).alias("SG_UF"),
         F.when(F.col("o_orderpriority").isin("1-URGENT", "2-HIGH"), c.STATE)
         .when(F.col("o_orderpriority").isin("3-MEDIUM", "4-NOT SPECIFIED"), c.FEDERAL)
         .otherwise("SENADOR").alias("DS_CARGO"),
-        # The 29th of February falls into years without one, which makes unreadable dates.
-        F.concat(
-            F.date_format(F.col("l_shipdate").cast("date"), "dd/MM/"),
-            (F.year("l_shipdate") - F.col("p_size")).cast("string"),
-        ).alias("DT_NASCIMENTO"),
-        F.col("l_linenumber").alias("NR_CANDIDATO"),
+        F.when(F.col("o_orderstatus") == "F", "CASADO(A)")
+        .when(F.col("o_orderstatus") == "O", "SOLTEIRO(A)")
+        .otherwise("VIÚVO(A)").alias("DS_ESTADO_CIVIL"),
+    )
+    word = F.split_part("p_name", F.lit(" "), F.lit(1))
+    noun = F.upper(F.split_part("p_name", F.lit(" "), F.lit(2)))
+    brand = F.split_part("p_brand", F.lit("#"), F.lit(2)).cast("int")
+    parts = table(spark, folder, "part").select(
+        "p_partkey",
+        "p_size",
         F.upper("p_name").alias("NM_CANDIDATO"),
         F.when(word == "hot", F.concat(F.lit("PASTOR "), noun))
         .when(word == "cold", F.concat(F.lit("CABO "), noun))
@@ -64,18 +60,34 @@ def candidates(spark: SparkSession, folder: str) -> DataFrame:
         brand.alias("NR_PARTIDO"),
         _pick(PARTIES, brand - 1).alias("SG_PARTIDO"),
         F.col("p_brand").alias("NM_PARTIDO"),
+        F.when(F.col("p_type") == "PROMO", "POLICIAL MILITAR")
+        .when(F.col("p_type") == "ECONOMY", "SACERDOTE OU MEMBRO DE ORDEM OU SEITA RELIGIOSA")
+        .otherwise(F.col("p_type")).alias("DS_OCUPACAO"),
+    )
+    rows = (
+        table(spark, folder, "lineitem")
+        .join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
+        .join(parts, F.col("l_partkey") == F.col("p_partkey"))
+    )
+    return rows.select(
+        "ANO_ELEICAO",
+        _pick(STATES, F.col("l_suppkey") % 28).alias("SG_UF"),
+        "DS_CARGO",
+        # The 29th of February falls into years without one, which makes unreadable dates.
+        F.concat(
+            F.date_format(F.col("l_shipdate").cast("date"), "dd/MM/"),
+            (F.year("l_shipdate") - F.col("p_size")).cast("string"),
+        ).alias("DT_NASCIMENTO"),
+        F.col("l_linenumber").alias("NR_CANDIDATO"),
+        "NM_CANDIDATO", "NM_URNA_CANDIDATO", "NR_PARTIDO", "SG_PARTIDO", "NM_PARTIDO",
         F.when(F.col("l_tax") == 0.08, "NÃO DIVULGÁVEL")
         .when(F.col("l_linestatus") == "F", "FEMININO")
         .otherwise("MASCULINO").alias("DS_GENERO"),
         F.when(F.col("l_quantity") == 50, "ANALFABETO")
         .otherwise(_pick(EDUCATION, F.col("l_linenumber") - 1)).alias("DS_GRAU_INSTRUCAO"),
-        F.when(F.col("o_orderstatus") == "F", "CASADO(A)")
-        .when(F.col("o_orderstatus") == "O", "SOLTEIRO(A)")
-        .otherwise("VIÚVO(A)").alias("DS_ESTADO_CIVIL"),
+        "DS_ESTADO_CIVIL",
         _pick(RACES, F.round(F.col("l_discount") * 100)).alias("DS_COR_RACA"),
-        F.when(F.col("p_type") == "PROMO", "POLICIAL MILITAR")
-        .when(F.col("p_type") == "ECONOMY", "SACERDOTE OU MEMBRO DE ORDEM OU SEITA RELIGIOSA")
-        .otherwise(F.col("p_type")).alias("DS_OCUPACAO"),
+        "DS_OCUPACAO",
         F.when(F.col("l_tax") == 0.07, "#NULO#")
         .when(F.col("l_returnflag") == "R", " ELEITO POR QP ")
         .when(F.col("l_returnflag") == "A", "SUPLENTE").alias("DS_SIT_TOT_TURNO"),

@@ -372,13 +372,13 @@ WITH k AS (SELECT w1 * tp AS a, w0 * fp AS b, w0 * tn AS d, w1 * fn AS c FROM (
 e AS (SELECT 'const' AS variable, ln(c / d) AS coef, sqrt(1 / c + 1 / d) AS se FROM k
   UNION ALL SELECT 'pred', ln(a * d / (b * c)), sqrt(1 / a + 1 / b + 1 / c + 1 / d) FROM k)
 SELECT variable, round(coef, 6) AS coef, round(se, 6) AS std_err, round(coef / se, 6) AS z,
-  NULL::DOUBLE AS p_value, round(coef - {Z_95}::DOUBLE * se, 6) AS ci_low,
+  round(coef - {Z_95}::DOUBLE * se, 6) AS ci_low,
   round(coef + {Z_95}::DOUBLE * se, 6) AS ci_high, round(exp(coef), 6) AS odds_ratio,
   round(exp(coef - {Z_95}::DOUBLE * se), 6) AS or_low, round(exp(coef + {Z_95}::DOUBLE * se), 6) AS or_high
 FROM e"""
-LONG = """(SELECT count(*) FILTER (quality = 1 AND n_chars > 600) AS a,
-  count(*) FILTER (quality = 0 AND n_chars > 600) AS b, count(*) FILTER (quality = 1 AND n_chars <= 600) AS c,
-  count(*) FILTER (quality = 0 AND n_chars <= 600) AS d FROM documents JOIN labels USING (doc_id))"""
+LONG = """(SELECT count(*) FILTER (quality = 1 AND n_chars > 1500) AS a,
+  count(*) FILTER (quality = 0 AND n_chars > 1500) AS b, count(*) FILTER (quality = 1 AND n_chars <= 1500) AS c,
+  count(*) FILTER (quality = 0 AND n_chars <= 1500) AS d FROM documents JOIN labels USING (doc_id))"""
 ORACLES["significant_effects"] = f"""
 SELECT 'long' AS variable, round(ln(o), 3) AS coef, round(o, 3) AS odds_ratio,
   round(o, 2)::VARCHAR || ' : 1' AS odds_text, round(100 * o / (1 + o), 1) AS probability_percent
@@ -389,8 +389,8 @@ SELECT 'long' AS variable, round(o, 6) AS odds_ratio,
   round(exp(ln(o) + {Z_95}::DOUBLE * se) - o, 6) AS error_high
 FROM (SELECT a * d / (b * c) AS o, sqrt(1 / a + 1 / b + 1 / c + 1 / d) AS se FROM {LONG})"""
 ORACLES["logit_scores"] = f"""
-SELECT doc_id, quality, (n_chars > 600)::INTEGER AS long,
-  round(CASE WHEN n_chars > 600 THEN a / (a + b) ELSE c / (c + d) END, 6) AS score
+SELECT doc_id, quality, (n_chars > 1500)::INTEGER AS long,
+  round(CASE WHEN n_chars > 1500 THEN a / (a + b) ELSE c / (c + d) END, 6) AS score
 FROM documents JOIN labels USING (doc_id), {LONG}"""
 
 # ---------------------------------------------------------------- the whole analysis

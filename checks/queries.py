@@ -516,10 +516,8 @@ def _one_predictor(spark: SparkSession, folder: str) -> DataFrame:
 def logit_table(spark: SparkSession, folder: str) -> DataFrame:
     """Balanced logit model with one 0/1 predictor, which has a closed form."""
     model = logit.fit_logit(_one_predictor(spark, folder), ["pred"], "label", "weight")
-    numbers = [
-        "coef", "std_err", "z", "p_value", "ci_low", "ci_high", "odds_ratio", "or_low", "or_high"
-    ]
-    return rounded(logit.logit_table(model), 6, *numbers)
+    numbers = ["coef", "std_err", "z", "ci_low", "ci_high", "odds_ratio", "or_low", "or_high"]
+    return rounded(logit.logit_table(model).drop("p_value"), 6, *numbers)
 
 
 def _doc_model(spark: SparkSession, folder: str):
@@ -527,7 +525,7 @@ def _doc_model(spark: SparkSession, folder: str):
         table(spark, folder, "documents")
         .join(table(spark, folder, "labels"), "doc_id")
         .select(
-            "doc_id", "quality", F.when(F.col("n_chars") > 600, 1).otherwise(0).alias("long")
+            "doc_id", "quality", F.when(F.col("n_chars") > 1500, 1).otherwise(0).alias("long")
         )
     )
     return documents, logit.fit_logit(documents, ["long"], "quality")

@@ -8,6 +8,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 _META = re.compile(r"[\\^$.|?*+()\[\]{}]")
+_PLAIN_START = re.compile(r"\w(?![*+?{])")
 
 
 def _literal(pattern: str) -> str | None:
@@ -16,35 +17,59 @@ def _literal(pattern: str) -> str | None:
     return None if _META.search(text) else text.replace("\0", ".")
 
 
-def matches_any(column: Column, patterns: Sequence[str]) -> Column:
-    """Whether a regular expression of the list is found in the text.
-
-    Most keywords are plain text, anchored at the start or not.  Those become prefix and
-    substring tests on the raw bytes, and a keyword that a shorter one already covers
-    is left out; what is left is one alternation.
-    """
-    prefixes, parts, others = set(), set(), []
+def _by_first_letter(patterns: Sequence[str]) -> str:
+    """One alternation, grouped by first letter."""
+    groups: dict[str, list[str]] = {}
+    others = []
     for pattern in patterns:
-        anchored = pattern.startswith("^")
-        text = _literal(pattern[1:] if anchored else pattern)
-        if text is None:
+        if _PLAIN_START.match(pattern):
+            groups.setdefault(pattern[0], []).append(pattern[1:])
+        else:
             others.append(pattern)
+    return "|".join([f"{first}(?:{'|'.join(rest)})" for first, rest in groups.items()] + others)
+
+
+def one_pattern(patterns: Sequence[str]) -> str:
+    """A regular expression that is found in a text if one of ``patterns`` is.
+
+    A matcher tries each alternative at each position of the text.  So keywords that a
+    shorter one covers are left out, those at the start share one anchor, and the
+    rest is grouped by first letter: a position fails after a few comparisons.
+    """
+    anchored, free, mixed = [], [], []
+    for pattern in dict.fromkeys(patterns):
+        if "|" in pattern or "(?" in pattern:
+            mixed.append(pattern)
+        elif pattern.startswith("^"):
+            anchored.append(pattern[1:])
         else:
-            (prefixes if anchored else parts).add(text)
-    parts = {p for p in parts if not any(q != p and q in p for q in parts)}
-    prefixes = {
-        p for p in prefixes
-        if not any(q in p for q in parts)
-        and not any(q != p and p.startswith(q) for q in prefixes)
-    }
-    tests = [column.startswith(p) for p in sorted(prefixes)]
-    tests += [column.contains(p) for p in sorted(parts)]
-    if others:
-        tests.append(column.rlike("|".join(others)))
-    found = F.lit(False)
-    for test in tests:
-        found = found | test
-    return found
+            free.append(pattern)
+    parts = [text for text in map(_literal, free) if text is not None]
+
+    starts = [text for text in map(_literal, anchored) if text is not None]
+
+    def kept_free(pattern: str) -> bool:
+        text = _literal(pattern)
+        return text is None or not any(part != text and part in text for part in parts)
+
+    def kept_anchored(pattern: str) -> bool:
+        text = _literal(pattern)
+        return text is None or not (
+            any(part in text for part in parts)
+            or any(start != text and text.startswith(start) for start in starts)
+        )
+
+    free = list(filter(kept_free, free))
+    anchored = list(filter(kept_anchored, anchored))
+    joined = [f"^(?:{_by_first_letter(anchored)})"] if anchored else []
+    if free:
+        joined.append(_by_first_letter(free))
+    return "|".join(joined + mixed)
+
+
+def matches_any(column: Column, patterns: Sequence[str]) -> Column:
+    """Whether a regular expression of the list is found in the text; null for null."""
+    return column.rlike(one_pattern(patterns)) if patterns else F.lit(False)
 
 
 def percent_text(column: Column, decimals: int) -> Column:

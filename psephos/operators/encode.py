@@ -6,6 +6,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from psephos.operators.recode import looked_up
 from psephos.operators.shape import quoted
 
 FIRST = object()  # reference of one_hot(): the first category in sorted order
@@ -20,11 +21,8 @@ def encode_ordinal(
     df: DataFrame, col: str, mapping: Mapping[str, int], default: int = 0, out: str | None = None
 ) -> DataFrame:
     """The code of each label, ``default`` for anything else, null included."""
-    value, codes = F.col(quoted(col)), None
-    for label, code in mapping.items():
-        step = F.when if codes is None else codes.when
-        codes = step(value == label, code)
-    return df.withColumn(out or col, codes.otherwise(default))
+    code = looked_up(F.col(quoted(col)), mapping)
+    return df.withColumn(out or col, F.coalesce(code, F.lit(default)))
 
 
 def discover_categories(df: DataFrame, cols: Sequence[str], limit: int = 1000) -> dict[str, list]:

@@ -3,6 +3,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Sequence
+from dataclasses import dataclass
 
 from pyspark.ml import PipelineModel
 from pyspark.ml.feature import VectorAssembler
@@ -12,12 +13,20 @@ from pyspark.sql import functions as F
 
 from psephos.functions.numeric import Z_95, half_even
 from psephos.functions.text import significant_text
-from psephos.operators.shape import collapse, quoted
+from psephos.operators.shape import quoted
 from psephos.sources.scratch import checkpointed
 
 INTERCEPT = "const"
 
 
+@dataclass(frozen=True)
+class LogitModel:
+    """A fitted model; ``scale`` is what its row weights were divided by."""
+
+    pipeline: PipelineModel
+    scale: float
+
+
 def fit_logit(
     train: DataFrame,
     features: Sequence[str],
@@ -25,40 +34,47 @@ def fit_logit(
     weight: str | None = None,
     merge_equal_rows: bool = True,
     score_col: str = "score",
-) -> PipelineModel:
+) -> LogitModel:
     """Fit a logit model with intercept; ``weight`` counts a row that many times.
 
     Each iteration reads all rows.  With ``merge_equal_rows`` they are first merged into one
-    row per combination of predictors, target and weight, which changes nothing in the fit and
-    leaves little to iterate over when the predictors are coded categories.  Turn it off for
-    predictors that hardly repeat.
+    row per combination of predictors, with the share of positives and the total weight.
+    That changes nothing in the fit and leaves little to iterate over when the predictors are
+    coded categories; turn it off for predictors that hardly repeat.
     """
-    used = [*features, target, *([weight] if weight else [])]
+    used = train.select(
+        *[F.col(quoted(name)).cast("double").alias(name) for name in features],
+        F.col(quoted(target)).cast("double").alias("_hit"),
+        (F.col(quoted(weight)) if weight else F.lit(1)).cast("double").alias("_times"),
+    )
     if merge_equal_rows:
-        merged = collapse(train, used, count="_times")
-        times = F.col("_times") * F.col(weight) if weight else F.col("_times")
-    else:
-        merged = train.select(*map(quoted, used))
-        times = F.col(weight) if weight else F.lit(1)
-    rows = checkpointed(merged.withColumn("_weight", times.cast("double")))
+        used = used.groupBy(*map(quoted, features)).agg(
+            (F.sum(F.col("_hit") * F.col("_times")) / F.sum("_times")).alias("_hit"),
+            F.sum("_times").alias("_times"),
+        )
+    rows = checkpointed(used)
+    # The fit starts from values that depend on the weights and fails to converge from far
+    # off when those are large, so the weights are brought down to at most 1.
+    scale = rows.agg(F.max("_times")).first()[0]
     assembler = VectorAssembler(inputCols=list(features), outputCol="_features")
     regression = GeneralizedLinearRegression(
-        family="binomial", link="logit", featuresCol="_features", labelCol=target,
+        family="binomial", link="logit", featuresCol="_features", labelCol="_hit",
         weightCol="_weight", predictionCol=score_col, tol=1e-10, maxIter=100,
     )
-    assembled = assembler.transform(rows)
-    return PipelineModel([assembler, regression.fit(assembled)])
+    weighted = rows.withColumn("_weight", F.col("_times") / F.lit(scale))
+    model = regression.fit(assembler.transform(weighted))
+    return LogitModel(PipelineModel([assembler, model]), scale)
 
 
-def logit_scores(model: PipelineModel, df: DataFrame) -> DataFrame:
+def logit_scores(model: LogitModel, df: DataFrame) -> DataFrame:
     """``df`` with the probability of the positive class in the model's score column."""
-    return model.transform(df).drop("_features")
+    return model.pipeline.transform(df).drop("_features")
 
 
-def logit_table(model: PipelineModel) -> DataFrame:
+def logit_table(model: LogitModel) -> DataFrame:
     """Coefficients with standard errors, z, p, 95 % bounds and odds ratios, intercept first."""
-    regression = model.stages[-1]
-    names = [*model.stages[0].getInputCols(), INTERCEPT]
+    regression = model.pipeline.stages[-1]
+    names = [*model.pipeline.stages[0].getInputCols(), INTERCEPT]
     values = [*regression.coefficients, regression.intercept]
     try:
         errors = regression.summary.coefficientStandardErrors
@@ -67,7 +83,8 @@ def logit_table(model: PipelineModel) -> DataFrame:
             f"no standard errors: some of {', '.join(names[:-1])} are linearly dependent"
         ) from problem
     rows = []
-    for name, value, error in zip(names, values, errors):
+    for name, value, scaled in zip(names, values, errors):
+        error = scaled / math.sqrt(model.scale)
         z = value / error
         low, high = value - Z_95 * error, value + Z_95 * error
         # erfc keeps the tail that 1 - cdf would cancel to 0.

@@ -165,48 +165,56 @@ def event_rates(
 
     One scan sums up every value of every variable; bins are made of those sums.
     """
-    hit, times = F.col("_hit"), F.col("_times")
-    weighted = df.select(
-        *[
-            F.when(~F.isnan(quoted(name)), F.col(quoted(name))).alias(name)
-            if isinstance(df.schema[name].dataType, (T.DoubleType, T.FloatType))
-            else F.col(quoted(name))
-            for name in dict.fromkeys(variables)
-        ],
+    named = list(dict.fromkeys(variables))
+    numbers = [name for name in named if is_number(df, name)]
+    whole = [name for name in numbers if isinstance(df.schema[name].dataType, T.IntegralType)]
+
+    def entry(name: str) -> Column:
+        value = F.col(quoted(name))
+        nothing = F.lit(None)
+        number, text = (known(value), nothing) if name in numbers else (nothing, value)
+        return F.struct(
+            F.lit(name).alias("variable"), number.cast("double").alias("number"),
+            text.cast("string").alias("text"),
+        )
+
+    long = df.select(
         binary_target(df, target, positive, negative).alias("_hit"),
         (F.lit(1) if weight is None else F.col(weight)).cast("bigint").alias("_times"),
+        F.inline(F.array(*map(entry, named))),
     )
     sums = (
-        _stacked(weighted, list(dict.fromkeys(variables)), ["_hit", "_times"])
-        .dropna(subset=["value"])
-        .groupBy("variable", "value")
+        long.filter(F.col("number").isNotNull() | F.col("text").isNotNull())
+        .groupBy("variable", "number", "text")
         .agg(
-            F.sum(times).alias("n"),
-            total("_times", hit.isNotNull()).alias("n_known"),
-            F.sum(hit * times).alias("_hits"),
+            F.sum("_times").alias("n"),
+            total("_times", F.col("_hit").isNotNull()).alias("n_known"),
+            F.sum(F.col("_hit") * F.col("_times")).alias("_hits"),
         )
     )
-    numbers = [name for name in variables if is_number(df, name)]
-    number = F.col("value").try_cast("double")
+    number = F.col("number")
     edges: dict[str, list[float]] = {}
     if numbers:
         sums = checkpointed(sums)
         # As many rows as there are variables.
         spans = (
-            sums.filter(F.col("variable").isin(numbers))
+            sums.filter(number.isNotNull())
             .groupBy("variable")
             .agg(total(None).alias("distinct"), F.bool_and(number.isin(0.0, 1.0)).alias("dummy"))
             .collect()
         )
-        for span in spans:
-            if span.distinct > max_classes and not span.dummy:
-                counts = sums.filter(F.col("variable") == span.variable)
-                edges[span.variable] = edges_from_counts(
-                    counts.select(number.alias("value"), "n"), max_classes
-                )
-
-    category = F.col("value")
-    lower = upper = F.when(F.col("variable").isin(numbers), number)
+        cut = [s.variable for s in spans if s.distinct > max_classes and not s.dummy]
+        if cut:
+            counts = sums.filter(F.col("variable").isin(cut))
+            edges = edges_from_counts(
+                counts.select("variable", number.alias("value"), "n"), max_classes, "variable"
+            )
+
+    shown = F.when(F.col("variable").isin(whole), number.cast("bigint").cast("string")).otherwise(
+        number.cast("string")
+    )
+    category = F.coalesce(F.col("text"), shown)
+    lower = upper = number
     for name, cuts in edges.items():
         chosen = F.col("variable") == name
         place = bin_of(number, cuts)

@@ -57,37 +57,53 @@ def quantile_edges(
         ).first()
         if seen.distinct <= k or seen.dummy:
             return None
-        return edges_from_counts(counts, k, rows_per_range)
+        return edges_from_counts(counts, k, rows_per_range=rows_per_range)[None]
     finally:
         counts.unpersist()
 
 
 def edges_from_counts(
-    counts: DataFrame, k: int, rows_per_range: int = ROWS_PER_RANGE
-) -> list[float]:
-    """Edges of ``k`` bins of equal frequency from rows (value, n), read several times."""
-    rows = counts.agg(F.sum("n").alias("rows")).first().rows
-    positions = [i / k * (rows - 1) for i in range(k + 1)]
-    ranks = sorted({r for p in positions for r in (int(p), min(int(p) + 1, rows - 1))})
-    summed = running_totals(counts, "value", ["n"], rows_per_range=rows_per_range)
+    counts: DataFrame, k: int, group: str | None = None, rows_per_range: int = ROWS_PER_RANGE
+) -> dict[str | None, list[float]]:
+    """Edges of ``k`` bins of equal frequency per group, from rows (group, value, n).
+
+    ``counts`` is read several times.  Without ``group`` there is one group, None.
+    """
+    name = F.lit(None).cast("string") if group is None else F.col(group)
+    sizes = counts.groupBy(name.alias("name")).agg(F.sum("n").alias("rows")).collect()
+    positions = {size.name: [i / k * (size.rows - 1) for i in range(k + 1)] for size in sizes}
+    last = {size.name: size.rows - 1 for size in sizes}
+    summed = running_totals(
+        counts, "value", ["n"], group=group, rows_per_range=rows_per_range
+    )
+    wanted = F.array().cast("array<bigint>")
+    for label, places in positions.items():
+        ranks = sorted({r for p in places for r in (int(p), min(int(p) + 1, last[label]))})
+        held = F.array(*[F.lit(rank).cast("bigint") for rank in ranks])
+        wanted = held if group is None else F.when(F.col(group) == label, held).otherwise(wanted)
+    # At most two values per edge hold a wanted rank.
     holders = summed.filter(
         F.exists(
-            F.array(*[F.lit(rank).cast("bigint") for rank in ranks]),
+            wanted,
             lambda rank: (rank < F.col("cum_n")) & (rank >= F.col("cum_n") - F.col("n")),
         )
-    )
-    # At most two values per edge hold a wanted rank.
-    found = sorted((row.cum_n, row.value) for row in holders.select("cum_n", "value").collect())
-
-    def at(rank: int) -> float:
-        return next(value for upto, value in found if rank < upto)
-
-    edges = set()
-    for position in positions:
-        low = int(position)
-        below, above = at(low), at(min(low + 1, rows - 1))
-        edges.add(below + (above - below) * (position - low))
-    return sorted(edges)
+    ).select(name.alias("name"), "cum_n", "value")
+    found: dict[str | None, list] = {label: [] for label in positions}
+    for row in holders.collect():
+        found[row.name].append((row.cum_n, row.value))
+
+    def at(label: str | None, rank: int) -> float:
+        return next(value for upto, value in sorted(found[label]) if rank < upto)
+
+    edges = {}
+    for label, places in positions.items():
+        values = set()
+        for place in places:
+            low = int(place)
+            below, above = at(label, low), at(label, min(low + 1, last[label]))
+            values.add(below + (above - below) * (place - low))
+        edges[label] = sorted(values)
+    return edges
 
 
 def bin_of(number: Column, edges: Sequence[float]) -> Column:

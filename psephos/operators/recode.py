@@ -29,30 +29,27 @@ def recode(
     """
     value = F.col(quoted(col))
     probe = F.trim(value) if trim else value
-    result: Column | None = None
+    result = value if default is KEEP else F.lit(default).cast("string")
+    if groups:
+        result = F.coalesce(looked_up(probe, {v: k for k, vs in groups.items() for v in vs}), result)
+    if null_values:
+        result = F.when(~F.coalesce(probe.isin(list(null_values)), F.lit(False)), result)
+    if null_as is not AS_DEFAULT:
+        result = F.when(value.isNull(), F.lit(null_as).cast("string")).otherwise(result)
+    return df.withColumn(out or col, result)
 
-    def branch(condition: Column, label: object) -> Column:
-        step = F.when if result is None else result.when
-        return step(condition, F.lit(label).cast("string"))
 
-    if null_as is not AS_DEFAULT:
-        result = branch(value.isNull(), null_as)
-    for label, members in groups.items():
-        result = branch(probe.isin(list(members)), label)
-    if null_values:
-        result = branch(probe.isin(list(null_values)), None)
-    rest = value if default is KEEP else F.lit(default).cast("string")
-    return df.withColumn(out or col, rest if result is None else result.otherwise(rest))
+def looked_up(value: Column, mapping: Mapping) -> Column:
+    """What ``mapping`` holds for the value, null if nothing: one lookup in a constant map."""
+    return F.create_map(*[F.lit(part) for pair in mapping.items() for part in pair])[value]
 
 
 def map_values(
     df: DataFrame, col: str, mapping: Mapping[str, str], out: str, default: str | None = None
 ) -> DataFrame:
-    """Add ``out`` = the mapped label, else ``default``; one hashed membership test per label."""
-    groups: dict[str, list[str]] = {}
-    for value, label in mapping.items():
-        groups.setdefault(label, []).append(value)
-    return recode(df, col, groups, default=default, out=out)
+    """Add ``out`` = the mapped label, else ``default``, also for null."""
+    found = looked_up(F.col(quoted(col)), mapping)
+    return df.withColumn(out, found if default is None else F.coalesce(found, F.lit(default)))
 
 
 def parse_date(df: DataFrame, col: str, fmt: str, out: str) -> DataFrame:

@@ -8,59 +8,76 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-ROWS_PER_RANGE = 200_000  # distinct keys that one task sorts and sums
+ROWS_PER_RANGE = 1_000_000  # distinct keys that one task sorts and sums
 MAX_RANGES = 2_000  # bounds the broadcast offsets; beyond it ranges grow, and their sort spills
 
 
+def _with_ranges(
+    grouped: DataFrame, key: str, group: str | None, rows_per_range: int
+) -> DataFrame:
+    """Add ``_range``, a number that rises with ``key``: 0 for a group that fits one task.
+
+    The cut points are plain numbers in the plan, so a recomputed task sees the same ranges.
+    """
+    name = F.lit(None).cast("string") if group is None else F.col(group)
+    sizes = grouped.groupBy(name.alias("name")).agg(F.count(F.lit(1)).alias("rows"))
+    large = sizes.filter(F.col("rows") > rows_per_range).collect()
+    placed, place = grouped, F.lit(0.0)
+    for i, size in enumerate(large):
+        ranges = min(-(-size.rows // rows_per_range), MAX_RANGES)
+        steps = [j / ranges for j in range(1, ranges)]
+        mine = F.lit(True) if group is None else F.col(group) == size.name
+        cuts = sorted(set(grouped.filter(mine).approxQuantile(key, steps, 0.25 / ranges)))
+        splits = [-float("inf"), *cuts, float("inf")]
+        bucketizer = Bucketizer(splits=splits, inputCol=key, outputCol=f"_range_{i}")
+        placed = bucketizer.transform(placed)
+        place = F.when(mine, F.col(f"_range_{i}")).otherwise(place)
+    return placed.select(*grouped.columns, place.alias("_range"))
+
+
 def running_totals(
     grouped: DataFrame,
     key: str,
     sums: Sequence[str],
     descending: bool = False,
     following: bool = False,
+    group: str | None = None,
     rows_per_range: int = ROWS_PER_RANGE,
 ) -> DataFrame:
     """Add ``cum_<sum>`` (inclusive) for each sum in the order of ``key``, a double.
 
     ``grouped`` holds one row per key and should be stored or cached, as it is read
-    several times.  Its keys are cut into ranges of about ``rows_per_range`` rows.  Totals per range
-    give every range its offset, and each range is then summed on its own.  The cut
-    points are plain numbers in the plan, so a recomputed task sees the same ranges.
+    several times; with ``group``, a column of few values, each group has its own keys and totals.
+    The keys are cut into ranges of about ``rows_per_range`` rows.  Totals per range
+    give every range its offset, and each range is then summed on its own.
     ``following`` also adds ``next_<sum>``, the value of the next key, null for the last.
     """
-    ranges = min(-(-grouped.count() // rows_per_range), MAX_RANGES)
-    cuts: list[float] = []
-    if ranges > 1:
-        steps = [i / ranges for i in range(1, ranges)]
-        cuts = sorted(set(grouped.approxQuantile(key, steps, 0.25 / ranges)))
-    if cuts:
-        splits = [-float("inf"), *cuts, float("inf")]
-        placed = Bucketizer(splits=splits, inputCol=key, outputCol="_range").transform(grouped)
-    else:
-        placed = grouped.withColumn("_range", F.lit(0.0))
+    placed = _with_ranges(grouped, key, group, rows_per_range)
+    groups = [] if group is None else [group]
+    parts = [*groups, "_range"]
 
     def ordered(name: str):
         return F.col(name).desc() if descending else F.col(name).asc()
 
-    first = F.min_by if not descending else F.max_by
-    totals = placed.groupBy("_range").agg(
+    first = F.max_by if descending else F.min_by
+    totals = placed.groupBy(*parts).agg(
         *[F.sum(name).alias(f"_total_{name}") for name in sums],
         *[first(name, key).alias(f"_first_{name}") for name in sums],
     )
     # One row per range, so these two windows see as many rows as there are ranges.
-    before = Window.partitionBy(F.lit(0)).orderBy(ordered("_range"))
+    before = Window.partitionBy(*(groups or [F.lit(0)])).orderBy(ordered("_range"))
     earlier = before.rowsBetween(Window.unboundedPreceding, -1)
     offsets = totals.select(
-        "_range",
+        *parts,
         *[
             F.coalesce(F.sum(f"_total_{name}").over(earlier), F.lit(0)).alias(f"_before_{name}")
             for name in sums
         ],
         *[F.lead(f"_first_{name}").over(before).alias(f"_after_{name}") for name in sums],
     )
-    inside = Window.partitionBy("_range").orderBy(ordered(key))
+    inside = Window.partitionBy(*parts).orderBy(ordered(key))
     upto = inside.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    joined = placed.join(F.broadcast(offsets), "_range")
+    joined = placed.join(F.broadcast(offsets), parts)
     added = {
         f"cum_{name}": F.sum(name).over(upto) + F.col(f"_before_{name}") for name in sums
     }

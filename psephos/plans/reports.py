@@ -101,7 +101,7 @@ def logit_reports(merged: DataFrame, cutoff: float = 0.5) -> dict[str, DataFrame
     weighted = balanced_weights(train, c.TARGET, "_class", ROWS).withColumn(
         "_frequency", F.col("_class") * F.col(ROWS)
     )
-    model = fit_logit(weighted, predictors, c.TARGET, "_frequency", merge_equal_rows=False)
+    model = fit_logit(weighted, predictors, c.TARGET, "_frequency")
     table = logit_table(model)
     effects = significant_effects(table)
     reports = {
