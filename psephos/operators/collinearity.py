@@ -23,7 +23,9 @@ def _correlation(df: DataFrame, cols: Sequence[str], weight: str | None) -> np.n
         rows = VectorAssembler(inputCols=names, outputCol="x").transform(numbers).select("x")
         return Correlation.corr(rows, "x").first()[0].toArray()
     # Weighted rows stand for many equal ones; centre them first, then sum the products.
-    sums = numbers.agg(F.sum("w").alias("w"), *[F.sum(F.col("w") * F.col(n)).alias(n) for n in names]).first()
+    sums = numbers.agg(
+        F.sum("w").alias("w"), *[F.sum(F.col("w") * F.col(n)).alias(n) for n in names]
+    ).first()
     centred = numbers.select(
         "w", *[(F.col(n) - F.lit(sums[n] / sums["w"])).alias(n) for n in names]
     )
@@ -46,8 +48,9 @@ def vif(df: DataFrame, cols: Sequence[str], weight: str | None = None) -> DataFr
     diagonal of the inverted correlation matrix, the only thing that reaches the driver.
     """
     matrix = _correlation(df, cols, weight)
-    constant = [name for name, value in zip(cols, np.diag(matrix)) if not np.isfinite(value)]
-    if constant:
+    if not np.isfinite(matrix).all():
+        same = df.agg(*[(F.min(quoted(n)) == F.max(quoted(n))).alias(n) for n in cols]).first()
+        constant = [name for name, is_same in zip(cols, same) if is_same is not False]
         raise ValueError(f"predictors do not vary: {', '.join(constant)}")
     if np.linalg.matrix_rank(matrix, tol=1e-9) < len(cols):
         raise ValueError(f"predictors are linearly dependent: {', '.join(cols)}")

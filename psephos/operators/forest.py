@@ -101,10 +101,12 @@ def stratified_folds(df: DataFrame, target: str, folds: int, out: str = "fold")
         Window.partitionBy(target).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     )
     starts = counts.select(
-        "_part", target, F.coalesce(F.sum("_rows").over(earlier), F.lit(0)).alias("_start")
+        F.col("_part").alias("_in"), F.col(quoted(target)).alias("_class"),
+        F.coalesce(F.sum("_rows").over(earlier), F.lit(0)).alias("_start"),
     )
     inside = Window.partitionBy("_part", target).orderBy("_pos")
-    numbered = placed.join(F.broadcast(starts), ["_part", target]).withColumn(
+    same = (F.col("_part") == F.col("_in")) & F.col(quoted(target)).eqNullSafe(F.col("_class"))
+    numbered = placed.join(F.broadcast(starts), same).withColumn(
         out, ((F.col("_start") + F.row_number().over(inside) - 1) % folds).cast("int")
     )
     return numbered.select(*map(quoted, df.columns), out)

@@ -17,14 +17,16 @@ from psephos.operators.shape import quoted
 from psephos.sources.scratch import checkpointed
 
 INTERCEPT = "const"
+MAX_SPREAD = 1e7  # standard error per root of the total weight, beyond any rare predictor
 
 
 @dataclass(frozen=True)
 class LogitModel:
-    """A fitted model; ``scale`` is what its row weights were divided by."""
+    """A fitted model; ``scale`` is what its row weights, ``total`` in sum, were divided by."""
 
     pipeline: PipelineModel
     scale: float
+    total: float
 
 
 def fit_logit(
@@ -55,7 +57,7 @@ def fit_logit(
     rows = checkpointed(used)
     # The fit starts from values that depend on the weights and fails to converge from far
     # off when those are large, so the weights are brought down to at most 1.
-    scale = rows.agg(F.max("_times")).first()[0]
+    scale, total = rows.agg(F.max("_times"), F.sum("_times")).first()
     assembler = VectorAssembler(inputCols=list(features), outputCol="_features")
     regression = GeneralizedLinearRegression(
         family="binomial", link="logit", featuresCol="_features", labelCol="_hit",
@@ -63,7 +65,7 @@ def fit_logit(
     )
     weighted = rows.withColumn("_weight", F.col("_times") / F.lit(scale))
     model = regression.fit(assembler.transform(weighted))
-    return LogitModel(PipelineModel([assembler, model]), scale)
+    return LogitModel(PipelineModel([assembler, model]), scale, total)
 
 
 def logit_scores(model: LogitModel, df: DataFrame) -> DataFrame:
@@ -71,25 +73,31 @@ def logit_scores(model: LogitModel, df: DataFrame) -> DataFrame:
     return model.pipeline.transform(df).drop("_features")
 
 
+def _exp(value: float) -> float:
+    return math.exp(value) if value < 709 else math.inf
+
+
 def logit_table(model: LogitModel) -> DataFrame:
     """Coefficients with standard errors, z, p, 95 % bounds and odds ratios, intercept first."""
     regression = model.pipeline.stages[-1]
     names = [*model.pipeline.stages[0].getInputCols(), INTERCEPT]
     values = [*regression.coefficients, regression.intercept]
+    problem = ValueError(f"some of {', '.join(names[:-1])} are linearly dependent")
     try:
-        errors = regression.summary.coefficientStandardErrors
-    except Exception as problem:
-        raise ValueError(
-            f"no standard errors: some of {', '.join(names[:-1])} are linearly dependent"
-        ) from problem
+        scaled = regression.summary.coefficientStandardErrors
+    except Exception as cause:
+        raise problem from cause
+    errors = [error / math.sqrt(model.scale) for error in scaled]
+    # A dependent predictor leaves only rounding errors to divide by.
+    if any(not error * math.sqrt(model.total) < MAX_SPREAD for error in errors):
+        raise problem
     rows = []
-    for name, value, scaled in zip(names, values, errors):
-        error = scaled / math.sqrt(model.scale)
+    for name, value, error in zip(names, values, errors):
         z = value / error
         low, high = value - Z_95 * error, value + Z_95 * error
         # erfc keeps the tail that 1 - cdf would cancel to 0.
         p = math.erfc(abs(z) / math.sqrt(2))
-        numbers = (value, error, z, p, low, high, math.exp(value), math.exp(low), math.exp(high))
+        numbers = (value, error, z, p, low, high, *map(_exp, (value, low, high)))
         rows.append((name, *map(float, numbers)))
     rows.insert(0, rows.pop())
     return SparkSession.active().createDataFrame(

@@ -4,7 +4,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.ml.feature import Bucketizer
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -14,8 +14,8 @@ MAX_RANGES = 2_000  # bounds the broadcast offsets; beyond it ranges grow, and t
 
 def _with_ranges(
     grouped: DataFrame, key: str, group: str | None, rows_per_range: int
-) -> DataFrame:
-    """Add ``_range``, a number that rises with ``key``: 0 for a group that fits one task.
+) -> DataFrame | None:
+    """Add ``_range``, a number that rises with ``key``, or None if each group fits one task.
 
     The cut points are plain numbers in the plan, so a recomputed task sees the same ranges.
     """
@@ -32,7 +32,7 @@ def _with_ranges(
         bucketizer = Bucketizer(splits=splits, inputCol=key, outputCol=f"_range_{i}")
         placed = bucketizer.transform(placed)
         place = F.when(mine, F.col(f"_range_{i}")).otherwise(place)
-    return placed.select(*grouped.columns, place.alias("_range"))
+    return placed.select(*grouped.columns, place.alias("_range")) if large else None
 
 
 def running_totals(
@@ -54,11 +54,28 @@ def running_totals(
     """
     placed = _with_ranges(grouped, key, group, rows_per_range)
     groups = [] if group is None else [group]
-    parts = [*groups, "_range"]
 
-    def ordered(name: str):
+    def ordered(name: str) -> Column:
         return F.col(name).desc() if descending else F.col(name).asc()
 
+    def with_sums(df: DataFrame, parts: list, shifted: bool) -> DataFrame:
+        inside = Window.partitionBy(*(parts or [F.lit(0)])).orderBy(ordered(key))
+        upto = inside.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        added = []
+        for name in sums:
+            cum, after = F.sum(name).over(upto), F.lead(name).over(inside)
+            if shifted:
+                cum = cum + F.col(f"_before_{name}")
+                after = F.coalesce(after, F.col(f"_after_{name}"))
+            added.append(cum.alias(f"cum_{name}"))
+            if following:
+                added.append(after.alias(f"next_{name}"))
+        return df.select(*grouped.columns, *added)
+
+    if placed is None:
+        return with_sums(grouped, groups, False)
+
+    parts = [*groups, "_range"]
     first = F.max_by if descending else F.min_by
     totals = placed.groupBy(*parts).agg(
         *[F.sum(name).alias(f"_total_{name}") for name in sums],
@@ -75,15 +92,4 @@ def running_totals(
         ],
         *[F.lead(f"_first_{name}").over(before).alias(f"_after_{name}") for name in sums],
     )
-    inside = Window.partitionBy(*parts).orderBy(ordered(key))
-    upto = inside.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    joined = placed.join(F.broadcast(offsets), parts)
-    added = {
-        f"cum_{name}": F.sum(name).over(upto) + F.col(f"_before_{name}") for name in sums
-    }
-    if following:
-        for name in sums:
-            added[f"next_{name}"] = F.coalesce(
-                F.lead(name).over(inside), F.col(f"_after_{name}")
-            )
-    return joined.select(*grouped.columns, *[c.alias(name) for name, c in added.items()])
+    return with_sums(placed.join(F.broadcast(offsets), parts), parts, True)
