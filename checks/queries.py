@@ -14,10 +14,10 @@ from psephos.operators.quantiles import quantile_bin
 from psephos.plans import config as c
 from psephos.plans.cohort import build_cohort, feature_table, unlisted_counts
 from psephos.sources import (
-    checkpointed,
     read_extracts,
     read_table,
     scratch_folder,
+    stored,
     write_report,
     write_table,
 )
@@ -64,8 +64,8 @@ def table_round_trip(spark: SparkSession, folder: str) -> DataFrame:
     """Orders stored by status and read back, with partition pruning on the way."""
     orders = table(spark, folder, "orders").select("o_orderkey", "o_orderstatus", "o_totalprice")
     place = write_table(orders, scratch_folder(spark, "orders"), ["o_orderstatus"])
-    stored = shape.keep_in(read_table(spark, place), "o_orderstatus", ["F", "O"])
-    return stored.select("o_orderkey", F.col("o_orderstatus").cast("string"), "o_totalprice")
+    kept = shape.keep_in(read_table(spark, place), "o_orderstatus", ["F", "O"])
+    return kept.select("o_orderkey", F.col("o_orderstatus").cast("string"), "o_totalprice")
 
 
 @query
@@ -585,7 +585,7 @@ def unlisted_values(spark: SparkSession, folder: str) -> DataFrame:
 
 def _features(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame, list[str]]:
     features = feature_table(build_cohort(candidates(spark, folder)))
-    plain = checkpointed(
+    plain = stored(
         shape.clean_column_names(shape.keep_in(features, "DS_CARGO", [c.FEDERAL]).drop("DS_CARGO"))
     )
     predictors = shape.feature_columns(plain, [c.TARGET, c.PERIOD])

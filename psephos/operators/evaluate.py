@@ -12,7 +12,7 @@ from pyspark.sql.window import Window
 from psephos.functions.numeric import known, ratio, total
 from psephos.operators.running import ROWS_PER_RANGE, running_totals
 from psephos.operators.shape import quoted
-from psephos.sources.scratch import checkpointed
+from psephos.sources.scratch import stored
 
 
 def _cells(df: DataFrame, label: str, positive: Column, weight: str | None) -> DataFrame:
@@ -101,7 +101,7 @@ def classification_report(
 def _by_score(df: DataFrame, label: str, score: str, weight: str | None) -> DataFrame:
     """Positives and negatives per distinct score, stored for the running totals."""
     actual = F.col(quoted(label))
-    return checkpointed(
+    return stored(
         df.select(known(F.col(quoted(score))).alias("score"), actual.alias("_label"),
                   *([weight] if weight else []))
         .filter(F.col("score").isNotNull() & F.col("_label").isNotNull())
@@ -250,7 +250,7 @@ def evaluate(
     Rows are merged by label, prediction and score first.  AUC and Gini are null if they cannot
     be computed, as with a single class.
     """
-    merged = checkpointed(
+    merged = stored(
         df.groupBy(
             F.col(quoted(label)).alias("label"), F.col(quoted(pred)).alias("predicted"),
             known(F.col(quoted(score))).alias("score"),

@@ -17,7 +17,7 @@ from pyspark.sql.window import Window
 
 from psephos.operators.shape import quoted
 from psephos.operators.weights import BalancedWeights
-from psephos.sources.scratch import checkpointed
+from psephos.sources.scratch import stored
 
 SEED = 100
 
@@ -88,12 +88,12 @@ def forest_importance(model: PipelineModel) -> DataFrame:
 def stratified_folds(df: DataFrame, target: str, folds: int, out: str = "fold") -> DataFrame:
     """Add a fold number so that every fold holds an equal share of every class, give or take a row.
 
-    Rows are dealt out class by class in stored order.  The rows are stored first, which fixes
-    their order; each partition is then numbered on its own, starting after the
+    Rows are dealt out class by class.  They are stored first with their partition and place,
+    which fixes their order; each partition is then numbered on its own, starting after the
     rows of its class in earlier partitions, so no class is ever gathered in one task.
     """
-    placed = checkpointed(df).withColumns(
-        {"_part": F.spark_partition_id(), "_pos": F.monotonically_increasing_id()}
+    placed = stored(
+        df.withColumns({"_part": F.spark_partition_id(), "_pos": F.monotonically_increasing_id()})
     )
     # One row per partition and class.
     counts = placed.groupBy("_part", target).agg(F.count(F.lit(1)).alias("_rows"))

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from psephos.functions.numeric import Z_95, half_even
 from psephos.functions.text import significant_text
 from psephos.operators.shape import quoted
-from psephos.sources.scratch import checkpointed
+from psephos.sources.scratch import stored
 
 INTERCEPT = "const"
 MAX_SPREAD = 1e7  # standard error per root of the total weight, beyond any rare predictor
@@ -54,7 +54,7 @@ def fit_logit(
             (F.sum(F.col("_hit") * F.col("_times")) / F.sum("_times")).alias("_hit"),
             F.sum("_times").alias("_times"),
         )
-    rows = checkpointed(used)
+    rows = stored(used)
     # The fit starts from values that depend on the weights and fails to converge from far
     # off when those are large, so the weights are brought down to at most 1.
     scale, total = rows.agg(F.max("_times"), F.sum("_times")).first()

@@ -20,7 +20,7 @@ from psephos.operators.quantiles import (
     quantile_edges,
 )
 from psephos.operators.shape import quoted
-from psephos.sources.scratch import checkpointed
+from psephos.sources.scratch import stored
 
 
 def count_by(
@@ -195,7 +195,7 @@ def event_rates(
     number = F.col("number")
     edges: dict[str, list[float]] = {}
     if numbers:
-        sums = checkpointed(sums)
+        sums = stored(sums)
         # As many rows as there are variables.
         spans = (
             sums.filter(number.isNotNull())

@@ -6,9 +6,10 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.window import Window
 
 from psephos.functions.numeric import known, total
-from psephos.operators.running import ROWS_PER_RANGE, running_totals
+from psephos.operators.running import ROWS_PER_RANGE, with_ranges
 from psephos.operators.shape import quoted
 
 
@@ -67,40 +68,55 @@ def edges_from_counts(
 ) -> dict[str | None, list[float]]:
     """Edges of ``k`` bins of equal frequency per group, from rows (group, value, n).
 
-    ``counts`` is read several times.  Without ``group`` there is one group, None.
+    ``counts`` is read several times.  Without ``group`` there is one group, None.  Of many
+    values only the ranges that hold a wanted rank are ever sorted.
     """
+    ranged = with_ranges(counts, "value", group, rows_per_range)
+    placed = counts.withColumn("_range", F.lit(0.0)) if ranged is None else ranged
     name = F.lit(None).cast("string") if group is None else F.col(group)
-    sizes = counts.groupBy(name.alias("name")).agg(F.sum("n").alias("rows")).collect()
-    positions = {size.name: [i / k * (size.rows - 1) for i in range(k + 1)] for size in sizes}
-    last = {size.name: size.rows - 1 for size in sizes}
-    summed = running_totals(
-        counts, "value", ["n"], group=group, rows_per_range=rows_per_range
-    )
-    wanted = F.array().cast("array<bigint>")
-    for label, places in positions.items():
-        ranks = sorted({r for p in places for r in (int(p), min(int(p) + 1, last[label]))})
-        held = F.array(*[F.lit(rank).cast("bigint") for rank in ranks])
-        wanted = held if group is None else F.when(F.col(group) == label, held).otherwise(wanted)
+    placed = placed.withColumn("_name", name)
+    # One row per range.
+    totals = placed.groupBy("_name", "_range").agg(F.sum("n").alias("n")).orderBy("_range").collect()
+    rows = dict.fromkeys([total._name for total in totals], 0)
+    starts: dict[tuple, int] = {}
+    for total in totals:
+        starts[total._name, total._range] = rows[total._name]
+        rows[total._name] += total.n
+    positions = {label: [i / k * (n - 1) for i in range(k + 1)] for label, n in rows.items()}
+    ranks = {
+        label: {r for p in places for r in (int(p), min(int(p) + 1, rows[label] - 1))}
+        for label, places in positions.items()
+    }
+
+    here, wanted = F.lit(False), F.array().cast("array<bigint>")
+    for total in totals:
+        start = starts[total._name, total._range]
+        inside = sorted(r - start for r in ranks[total._name] if 0 <= r - start < total.n)
+        if inside:
+            mine = F.col("_name").eqNullSafe(F.lit(total._name)) & (F.col("_range") == total._range)
+            here = here | mine
+            held = F.array(*[F.lit(rank).cast("bigint") for rank in inside])
+            wanted = F.when(mine, held).otherwise(wanted)
+    order = Window.partitionBy("_name", "_range").orderBy("value")
+    upto = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    summed = placed.filter(here).withColumn("_cum", F.sum("n").over(upto))
     # At most two values per edge hold a wanted rank.
     holders = summed.filter(
-        F.exists(
-            wanted,
-            lambda rank: (rank < F.col("cum_n")) & (rank >= F.col("cum_n") - F.col("n")),
-        )
-    ).select(name.alias("name"), "cum_n", "value")
+        F.exists(wanted, lambda rank: (rank < F.col("_cum")) & (rank >= F.col("_cum") - F.col("n")))
+    ).select("_name", F.col("_cum").alias("cum"), "_range", "value")
     found: dict[str | None, list] = {label: [] for label in positions}
     for row in holders.collect():
-        found[row.name].append((row.cum_n, row.value))
+        found[row._name].append((starts[row._name, row._range] + row.cum, row.value))
 
     def at(label: str | None, rank: int) -> float:
-        return next(value for upto, value in sorted(found[label]) if rank < upto)
+        return next(value for upto_rank, value in sorted(found[label]) if rank < upto_rank)
 
     edges = {}
     for label, places in positions.items():
         values = set()
         for place in places:
             low = int(place)
-            below, above = at(label, low), at(label, min(low + 1, last[label]))
+            below, above = at(label, low), at(label, min(low + 1, rows[label] - 1))
             values.add(below + (above - below) * (place - low))
         edges[label] = sorted(values)
     return edges

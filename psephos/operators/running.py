@@ -12,7 +12,7 @@ ROWS_PER_RANGE = 1_000_000  # distinct keys that one task sorts and sums
 MAX_RANGES = 2_000  # bounds the broadcast offsets; beyond it ranges grow, and their sort spills
 
 
-def _with_ranges(
+def with_ranges(
     grouped: DataFrame, key: str, group: str | None, rows_per_range: int
 ) -> DataFrame | None:
     """Add ``_range``, a number that rises with ``key``, or None if each group fits one task.
@@ -52,7 +52,7 @@ def running_totals(
     give every range its offset, and each range is then summed on its own.
     ``following`` also adds ``next_<sum>``, the value of the next key, null for the last.
     """
-    placed = _with_ranges(grouped, key, group, rows_per_range)
+    placed = with_ranges(grouped, key, group, rows_per_range)
     groups = [] if group is None else [group]
 
     def ordered(name: str) -> Column:

@@ -33,7 +33,7 @@ from psephos.operators.shape import (
 from psephos.operators.weights import balanced_weights
 from psephos.plans import config as c
 from psephos.plans.cohort import build_cohort, cohort_profiles, feature_table
-from psephos.sources import checkpointed, read_extracts, read_table, write_report, write_table
+from psephos.sources import read_extracts, read_table, stored, write_report, write_table
 
 ROWS = "n"
 
@@ -123,7 +123,7 @@ def logit_reports(merged: DataFrame, cutoff: float = 0.5) -> dict[str, DataFrame
         "logit_odds": odds_intervals(table),
     }
     for part, rows in (("train", train), ("test", test)):
-        scored = checkpointed(
+        scored = stored(
             logit_scores(model, rows).withColumn(
                 "prediction", (F.col("score") >= cutoff).cast("int")
             )
@@ -159,7 +159,7 @@ def office_reports(
     The feature rows are merged once; only the forest fits go back to single rows.
     """
     columns = feature_columns(features, ["DS_CARGO"])
-    merged = checkpointed(collapse(features, columns, ROWS))
+    merged = stored(collapse(features, columns, ROWS))
     return {
         **cohort_reports(cohort),
         **descriptive_reports(merged),

@@ -1,8 +1,8 @@
 """Reading extracts and tables, writing tables and reports, and the shared scratch folder."""
 from psephos.sources.readers import read_extracts, read_table
-from psephos.sources.scratch import checkpointed, scratch_folder
+from psephos.sources.scratch import scratch_folder, stored
 from psephos.sources.writers import write_report, write_table
 
 __all__ = [
-    "checkpointed", "read_extracts", "read_table", "scratch_folder", "write_report", "write_table",
+    "read_extracts", "read_table", "scratch_folder", "stored", "write_report", "write_table",
 ]

@@ -24,7 +24,6 @@ def checkpoint_folder(spark: SparkSession) -> str:
         if not context.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that every executor can reach")
         folder = tempfile.mkdtemp(prefix="psephos-")
-    if context.getCheckpointDir() is None:
         context.setCheckpointDir(folder)
     return folder
 
@@ -34,7 +33,12 @@ def scratch_folder(spark: SparkSession, name: str) -> str:
     return f"{checkpoint_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """``df`` computed once and stored, so later steps neither rescan nor depend on executors."""
-    checkpoint_folder(df.sparkSession)
-    return df.checkpoint()
+def stored(df: DataFrame) -> DataFrame:
+    """``df`` computed once and read back from a table in the shared folder.
+
+    Later steps neither rescan its input nor depend on the executors that computed it, and
+    read only the columns they use.  Retention is up to whoever owns the folder.
+    """
+    path = scratch_folder(df.sparkSession, "stored")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

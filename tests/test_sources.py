@@ -2,10 +2,10 @@ import pytest
 from pyspark.sql import types as T
 
 from psephos.sources import (
-    checkpointed,
     read_extracts,
     read_table,
     scratch_folder,
+    stored,
     write_report,
     write_table,
 )
@@ -50,7 +50,9 @@ def test_intermediate_tables_go_to_the_named_folder(spark):
     named = spark.conf.get("spark.checkpoint.dir")
     assert scratch_folder(spark, "x").startswith(f"{named}/x-")
     assert scratch_folder(spark, "x") != scratch_folder(spark, "x")
-    df = spark.range(10).selectExpr("id % 3 AS k").groupBy("k").count()
-    stored = checkpointed(df)
-    assert "HashAggregate" not in stored._jdf.queryExecution().executedPlan().toString()
-    assert named in spark.sparkContext.getCheckpointDir()
+    df = spark.range(10).selectExpr("id % 3 AS k", "id").groupBy("k").count()
+    kept = stored(df)
+    plan = kept._jdf.queryExecution().executedPlan().toString()
+    assert "Aggregate" not in plan and named in plan
+    assert kept.schema.simpleString() == df.schema.simpleString()
+    assert sorted(map(tuple, kept.collect())) == sorted(map(tuple, df.collect()))
