@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from psephos.operators.shape import quoted
-from psephos.operators.weights import BalancedWeights
+from psephos.operators.weights import MAX_CLASSES, BalancedWeights
 from psephos.sources.scratch import stored
 
 SEED = 100
@@ -95,6 +95,9 @@ def stratified_folds(df: DataFrame, target: str, folds: int, out: str = "fold")
     placed = stored(
         df.withColumns({"_part": F.spark_partition_id(), "_pos": F.monotonically_increasing_id()})
     )
+    classes = placed.select(quoted(target)).distinct().limit(MAX_CLASSES + 1).count()
+    if classes > MAX_CLASSES:
+        raise ValueError(f"{target} has more than {MAX_CLASSES} values")
     # One row per partition and class.
     counts = placed.groupBy("_part", target).agg(F.count(F.lit(1)).alias("_rows"))
     earlier = (

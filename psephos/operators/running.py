@@ -1,6 +1,7 @@
 """Running totals over a whole ordered table, without a single-task window."""
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.ml.feature import Bucketizer
@@ -27,8 +28,9 @@ def with_ranges(
         ranges = min(-(-size.rows // rows_per_range), MAX_RANGES)
         steps = [j / ranges for j in range(1, ranges)]
         mine = F.lit(True) if group is None else F.col(group) == size.name
-        cuts = sorted(set(grouped.filter(mine).approxQuantile(key, steps, 0.25 / ranges)))
-        splits = [-float("inf"), *cuts, float("inf")]
+        found = grouped.filter(mine).approxQuantile(key, steps, 0.25 / ranges)
+        cuts = sorted({cut for cut in found if math.isfinite(cut)})
+        splits = [-math.inf, *cuts, math.inf]
         bucketizer = Bucketizer(splits=splits, inputCol=key, outputCol=f"_range_{i}")
         placed = bucketizer.transform(placed)
         place = F.when(mine, F.col(f"_range_{i}")).otherwise(place)

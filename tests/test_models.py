@@ -139,6 +139,11 @@ def test_folds_share_out_every_class(spark):
         assert max(sizes) - min(sizes) <= 1
 
 
+def test_folds_need_classes(spark):
+    with pytest.raises(ValueError, match="more than 100 values"):
+        forest.stratified_folds(spark.range(500), "id", 5)
+
+
 def test_tuning_refits_the_best(spark, train):
     grid = {"trees": [3], "depth": [1, 4], "max_features": ["all"], "min_leaf": [1]}
     model, table = forest.tune_forest(train, ["a", "b", "c"], "y", grid, folds=3)

@@ -56,3 +56,21 @@ def test_intermediate_tables_go_to_the_named_folder(spark):
     assert "Aggregate" not in plan and named in plan
     assert kept.schema.simpleString() == df.schema.simpleString()
     assert sorted(map(tuple, kept.collect())) == sorted(map(tuple, df.collect()))
+
+
+def test_a_cluster_must_name_the_folder():
+    class Context:
+        master = "spark://somewhere"
+
+        def getConf(self):
+            return {}
+
+        def getCheckpointDir(self):
+            return None
+
+    class Session:
+        sparkContext = Context()
+        conf = {}
+
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        scratch_folder(Session(), "x")
