@@ -179,21 +179,24 @@ def run_analysis(
 ) -> list[str]:
     """The whole analysis: extracts to cohort, features and reports below ``folder``.
 
-    Cohort and features are stored once and read back with the office and year as
-    partitions.  Pass ``config.GRIDS`` for the full search of each office; returns the report paths.
+    The text files are parsed once; extracts, cohort and features are stored with the office and
+    year as partitions and read back.  Pass ``config.GRIDS`` for the full search of each
+    office; returns the report paths.
     """
-    raw = read_extracts(spark, extracts, c.RAW_SCHEMA)
-    cohort_path = write_table(
-        build_cohort(raw), f"{folder}/cohort", ["DS_CARGO", c.PERIOD]
-    )
-    cohort = read_table(spark, cohort_path)
-    features_path = write_table(
-        feature_table(cohort), f"{folder}/features", ["DS_CARGO", c.PERIOD]
-    )
-    features = read_table(spark, features_path)
+
+    def kept(table: DataFrame, name: str, partition_by: Sequence[str]) -> DataFrame:
+        return read_table(spark, write_table(table, f"{folder}/{name}", partition_by))
+
+    def report(name: str, table: DataFrame) -> str:
+        path = f"{folder}/reports/{name}"
+        # A ROC curve has a row per distinct score, all other reports have few.
+        return write_table(table, path) if name.endswith("_roc") else write_report(table, path)
+
+    raw = kept(read_extracts(spark, extracts, c.RAW_SCHEMA), "extracts", [c.PERIOD])
+    cohort = kept(build_cohort(raw), "cohort", ["DS_CARGO", c.PERIOD])
+    features = kept(feature_table(cohort), "features", ["DS_CARGO", c.PERIOD])
     paths = [
-        write_report(table, f"{folder}/reports/cohort/{name}")
-        for name, table in cohort_profiles(raw, cohort).items()
+        report(f"cohort/{name}", table) for name, table in cohort_profiles(raw, cohort).items()
     ]
     for office in offices:
         tables = office_reports(
@@ -204,8 +207,5 @@ def run_analysis(
             folds,
         )
         place = office.lower().replace(" ", "_")
-        paths += [
-            write_report(table, f"{folder}/reports/{place}/{name}")
-            for name, table in tables.items()
-        ]
+        paths += [report(f"{place}/{name}", table) for name, table in tables.items()]
     return paths

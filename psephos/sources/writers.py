@@ -19,11 +19,12 @@ def write_table(
 
 
 def write_report(df: DataFrame, path: str, fmt: str = "parquet", mode: str = "overwrite") -> str:
-    """Store a report table (``parquet``, or ``csv`` with a header) and return its path.
+    """Store a report of a few rows as one file (``parquet``, or ``csv`` with a header).
 
-    Reports hold a few rows per variable, so one file is enough.
+    Only its rows move to the one writing task; what computes them stays parallel.  A
+    table that grows with the data, such as a ROC curve, goes to :func:`write_table`.
     """
-    writer = df.coalesce(1).write.mode(mode)
+    writer = df.repartition(1).write.mode(mode)
     if fmt == "csv":
         writer.option("header", True).csv(path)
     elif fmt == "parquet":

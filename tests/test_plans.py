@@ -64,14 +64,18 @@ def test_whole_analysis(spark, raw, tmp_path):
     for year in (2014, 2018, 2022):
         keep_in(raw, c.PERIOD, [year]).write.options(
             header=True, sep=";", encoding="iso-8859-1"
-        ).csv(str(tmp_path / f"base_{year}"))
+        ).csv(str(tmp_path / f"extract_{year}"))
     small = {"trees": [3], "depth": [2, 4], "max_features": ["sqrt"], "min_leaf": [1]}
     paths = run_analysis(
-        spark, [str(tmp_path / f"base_{year}") for year in (2014, 2018, 2022)], str(tmp_path / "out"),
+        spark, [str(tmp_path / f"extract_{year}") for year in (2014, 2018, 2022)], str(tmp_path / "out"),
         params={"trees": 5, "depth": 4, "max_features": "sqrt", "min_leaf": 1},
         grids={c.STATE: small}, folds=3,
     )
     names = {path.split("/reports/")[1] for path in paths}
+    cohort = spark.read.parquet(f"{tmp_path}/out/cohort")
+    assert sorted(map(str, cohort.select(build_cohort(raw).columns).collect())) == sorted(
+        map(str, build_cohort(raw).collect())
+    )
     for place in ("deputado_estadual", "deputado_federal"):
         for report in (
             "elected_by_year", "category_summary", "event_rates", "forest_importance", "vif",
