@@ -344,7 +344,7 @@ UNION ALL SELECT 0::BIGINT, 0::BIGINT, 0::DOUBLE, 0::DOUBLE"""
 
 ORACLES["roc_points"] = curve("score")
 ORACLES["roc_points_fine"] = curve(
-    "fine_score", "WHERE next_pos IS NULL OR next_pos <> pos OR next_neg <> neg"
+    "fine_score", "WHERE next_pos IS NULL OR next_pos <> pos OR next_neg <> neg OR (tp = pos AND fp = neg)"
 )
 ORACLES["auc_gini"] = f"SELECT round(a, 9) AS auc, round(2 * a - 1, 9) AS gini FROM {area('fine_score')}"
 ORACLES["metrics_at_cutoff"] = f"""

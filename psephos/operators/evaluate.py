@@ -121,7 +121,8 @@ def _roc(grouped: DataFrame, drop_collinear: bool, rows_per_range: int) -> DataF
     if drop_collinear:
         # A point in the middle of a straight stretch has equal steps on both sides.
         bend = (F.col("next_pos") != F.col("pos")) | (F.col("next_neg") != F.col("neg"))
-        summed = summed.filter(F.col("next_pos").isNull() | bend)
+        first = (F.col("cum_pos") == F.col("pos")) & (F.col("cum_neg") == F.col("neg"))
+        summed = summed.filter(F.col("next_pos").isNull() | first | bend)
     whole = grouped.agg(F.sum("pos").alias("_pos"), F.sum("neg").alias("_neg"))
     points = summed.select(
         F.col("score").alias("threshold"), F.col("cum_pos").alias("tp"), F.col("cum_neg").alias("fp")
@@ -149,7 +150,7 @@ def roc_points(
     """ROC points from the origin down to the lowest score: threshold, tp, fp, fpr, tpr.
 
     A rate is null if its class is absent.  ``drop_collinear`` leaves out the inner points
-    of straight stretches, the origin's neighbours included only as far as they bend.
+    of straight stretches; the first point after the origin always stays.
     """
     return _roc(_by_score(df, label, score, weight), drop_collinear, rows_per_range)
 
@@ -248,7 +249,7 @@ def evaluate(
     """Summary row, confusion matrix, class report and ROC points from one scan of ``df``.
 
     Rows are merged by label, prediction and score first.  AUC and Gini are null if they cannot
-    be computed, as with a single class.
+    be computed, as with a single class; ROC points on straight stretches are left out.
     """
     merged = stored(
         df.groupBy(
@@ -266,5 +267,5 @@ def evaluate(
         "summary": summary,
         "confusion": confusion(merged, "label", "predicted", "n"),
         "report": classification_report(merged, "label", "predicted", "n"),
-        "roc": _roc(grouped, False, ROWS_PER_RANGE),
+        "roc": _roc(grouped, True, ROWS_PER_RANGE),
     }

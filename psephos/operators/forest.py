@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from psephos.operators.shape import quoted
-from psephos.operators.weights import MAX_CLASSES, BalancedWeights
+from psephos.operators.weights import MAX_CLASSES, BalancedWeights, BalancedWeightsModel
 from psephos.sources.scratch import stored
 
 SEED = 100
@@ -53,6 +53,11 @@ def _stages(features: Sequence[str], target: str, params: Mapping) -> list:
     ]
 
 
+def _for_scoring(model: PipelineModel) -> PipelineModel:
+    """The model without its weighting stage, so that rows without a target can be scored."""
+    return PipelineModel([s for s in model.stages if not isinstance(s, BalancedWeightsModel)])
+
+
 def fit_forest(
     train: DataFrame, features: Sequence[str], target: str, params: Mapping
 ) -> PipelineModel:
@@ -62,19 +67,16 @@ def fit_forest(
     (``sqrt``, ``log2``, ``all`` or a number as text).  Bagging draws rows, so equal rows stay apart.
     """
     used = train.select(*map(quoted, [*features, target]))
-    return Pipeline(stages=_stages(features, target, params)).fit(used)
+    return _for_scoring(Pipeline(stages=_stages(features, target, params)).fit(used))
 
 
 def forest_scores(model: PipelineModel, df: DataFrame, score_col: str = "score") -> DataFrame:
     """``df`` with the mean tree probability of class 1 and the more probable class."""
-    added = ["_features", "_weight", "rawPrediction", "probability"]
-    scored = model.transform(df).withColumns(
-        {
-            score_col: vector_to_array("probability")[1],
-            "prediction": F.col("prediction").cast("int"),
-        }
+    return model.transform(df).select(
+        *map(quoted, df.columns),
+        vector_to_array("probability")[1].alias(score_col),
+        F.col("prediction").cast("int"),
     )
-    return scored.drop(*added)
 
 
 def forest_importance(model: PipelineModel) -> DataFrame:
@@ -161,4 +163,4 @@ def tune_forest(
     table = train.sparkSession.createDataFrame(
         rows, "parameters string, mean_f1 double, std_f1 double, best boolean"
     )
-    return found.bestModel, table
+    return _for_scoring(found.bestModel), table

@@ -22,7 +22,7 @@ def recode(
     null_as: object = AS_DEFAULT,
     out: str | None = None,
 ) -> DataFrame:
-    """Replace each label by the name of its group.
+    """Replace each label by the name of its group, the first one that lists it.
 
     ``null_values`` become null.  Anything else, null included, becomes ``default`` (a label,
     None, or ``KEEP``); ``null_as`` sets another label, or None, for null.
@@ -30,8 +30,12 @@ def recode(
     value = F.col(quoted(col))
     probe = F.trim(value) if trim else value
     result = value if default is KEEP else F.lit(default).cast("string")
-    if groups:
-        result = F.coalesce(looked_up(probe, {v: k for k, vs in groups.items() for v in vs}), result)
+    labels: dict[str, str] = {}
+    for label, members in groups.items():
+        for member in members:
+            labels.setdefault(member, label)
+    if labels:
+        result = F.coalesce(looked_up(probe, labels), result)
     if null_values:
         result = F.when(~F.coalesce(probe.isin(list(null_values)), F.lit(False)), result)
     if null_as is not AS_DEFAULT:

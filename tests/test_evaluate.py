@@ -55,6 +55,16 @@ def test_roc_and_auc_equal_plain_counts(spark, scored, rows_per_range):
     assert row.gini == pytest.approx(2 * row.auc - 1)
 
 
+@pytest.mark.parametrize("rows_per_range", [1, 2, 1_000_000])
+def test_straight_stretches_at_both_ends(spark, rows_per_range):
+    rows = [(1, s, 0) for s in (0.9, 0.8, 0.7)] + [(0, 0.6, 0), (1, 0.5, 0)]
+    rows += [(0, s, 0) for s in (0.4, 0.3, 0.2, 0.1)]
+    found = ev.roc_points(frame(spark, rows), "y", "s", True, rows_per_range=rows_per_range).collect()
+    expected = without_straight_stretches(plain_roc(rows))
+    assert sorted((r.tp, r.fp) for r in found) == sorted(expected)
+    assert expected == [(0, 0), (1, 0), (3, 0), (3, 1), (4, 1), (4, 5)]
+
+
 def test_auc_extremes(spark):
     assert ev.auc(frame(spark, [(0, 0.5, 0), (1, 0.5, 0)]), "y", "s").first().auc == 0.5
     assert ev.auc(frame(spark, [(0, 0.1, 0), (1, 0.9, 0)]), "y", "s").first().auc == 1.0

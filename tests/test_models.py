@@ -123,6 +123,8 @@ def test_forest_separates_and_repeats(spark):
     scored = [forest.forest_scores(model, df) for model in models]
     assert binary_metrics(scored[0], "y", "prediction").first().accuracy == 1.0
     assert sorted(map(str, scored[0].collect())) == sorted(map(str, scored[1].collect()))
+    unlabelled = forest.forest_scores(models[0], df.select("a", "b"))
+    assert unlabelled.columns == ["a", "b", "score", "prediction"]
     shares = forest.forest_importance(models[0]).collect()
     assert sum(r.importance for r in shares) == pytest.approx(1.0) and shares[0].feature == "a"
     with pytest.raises(ValueError, match="unknown forest parameters"):
