@@ -21,7 +21,7 @@ def checkpoint_folder(spark: SparkSession) -> str:
         or context.getCheckpointDir()
     )
     if folder is None:
-        if not context.master.startswith("local"):
+        if not (context.master == "local" or context.master.startswith("local[")):
             raise ValueError("set spark.checkpoint.dir to a folder that every executor can reach")
         folder = tempfile.mkdtemp(prefix="psephos-")
         context.setCheckpointDir(folder)

@@ -3,9 +3,10 @@ import pytest
 
 import __spark_entry__ as contract
 from checks.compare import connect, differences
+from checks.oracles import ORACLES as SQL
+from checks.queries import QUERIES
 
 FOLDER = "/root/testdata/sf0.001"
-QUERIES, SQL = contract.queries(), contract.oracle_sql()
 
 
 @pytest.fixture(scope="module")
@@ -29,5 +30,10 @@ def test_query_equals_sql(spark, database, name):
     assert differences(rows, result.columns, sql.fetchall(), names) == ""
 
 
+def test_contract_holds_all():
+    assert set(QUERIES) <= set(contract.queries())
+    assert set(SQL) <= set(contract.oracle_sql()) <= set(contract.queries())
+
+
 def test_flagship(spark):
     assert contract.entry(spark).columns == ["ANO_ELEICAO", "RELIGIOSOS", "SEGURANCA", "total"]
