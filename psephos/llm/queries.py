@@ -6,7 +6,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from psephos.llm import bpe, exact, mixing
+from psephos.llm import bpe, exact, licenses, mixing, quality, rules, secrets
 from psephos.sources import stored
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -22,6 +22,10 @@ def documents(spark: SparkSession, folder: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/documents.parquet")
 
 
+def labelled(spark: SparkSession, folder: str) -> DataFrame:
+    return spark.read.parquet(f"{folder}/labels.parquet").withColumnRenamed("doc_id", "id")
+
+
 @query
 def op1_source_mix(spark: SparkSession, folder: str) -> DataFrame:
     """Words that a mix of one and a half times the corpus takes from each document."""
@@ -36,6 +40,21 @@ def op1_source_mix(spark: SparkSession, folder: str) -> DataFrame:
     return joined.select(F.col("id").alias("doc_id"), "size", "source_size", "target", "taken")
 
 
+@query
+def op2_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
+    """Rule counts, the two fixed rules, and the verdict of an isolation forest."""
+    labels = labelled(spark, folder)
+    judged = rules.judge(documents(spark, folder), labels.select("id", F.col("quality").alias("label")))
+    return judged.select(F.col("id").alias("doc_id"), *rules.COUNTS, "base_failed", "kept", "anomaly")
+
+
+@query
+def op4_license_scan(spark: SparkSession, folder: str) -> DataFrame:
+    """Fixed phrases and license rules found in each document."""
+    found = licenses.scan(documents(spark, folder))
+    return found.withColumnRenamed("id", "doc_id")
+
+
 @query
 def op5_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
     """Token counts and digests of the ids and of the decoded bytes."""
@@ -43,6 +62,27 @@ def op5_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
     return rows.select(F.col("id").alias("doc_id"), "n_tokens", "ids_sha256", "decoded_sha256")
 
 
+@query
+def op7_quality_ranking(spark: SparkSession, folder: str) -> DataFrame:
+    """Quality of each document by a ranking learnt from the labels outside every fifth of the ids."""
+    held_out = F.crc32(F.col("doc_id").cast("string")) % 5 == 0
+    docs = documents(spark, folder).select(F.col("doc_id").alias("id"), "text")
+    labels = labelled(spark, folder).select("id", F.col("quality").alias("label"))
+    learnt = labels.filter(F.crc32(F.col("id").cast("string")) % 5 != 0)
+    model = quality.fit_ranking(*quality.training_rates(docs, learnt))
+    scores = quality.quality_scores(docs, model).withColumnRenamed("id", "doc_id")
+    return scores.select(
+        "doc_id", held_out.alias("held_out"), "score", F.when(F.col("score") >= quality.CUT, 1).otherwise(0).alias("predicted")
+    )
+
+
+@query
+def op8_secret_scan(spark: SparkSession, folder: str) -> DataFrame:
+    """Secrets in each document: the fixed patterns and what lexing assignments adds."""
+    found = secrets.scan(documents(spark, folder)).withColumnRenamed("id", "doc_id")
+    return found.select("doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans")
+
+
 @query
 def op9_exact_index(spark: SparkSession, folder: str) -> DataFrame:
     """Every document with the one that stays of those with equal text."""

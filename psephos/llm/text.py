@@ -198,6 +198,9 @@ def statistics(texts: Texts) -> dict[str, np.ndarray]:
     sizes = np.diff(np.append(first, len(order)))
     again = at[order[np.repeat(sizes > 1, sizes)]]
     out["n_repeat_words"] = sums_between(covered(again, 5, len(words)), words.bounds)
+    twice = np.zeros(len(words), bool)
+    twice[1:] = (hashes[1:] == hashes[:-1]) & (owner[1:] == owner[:-1])
+    out["n_stutters"] = sums_between(twice, words.bounds)
     order, new = grouped_equal(owner, hashes)
     out["n_distinct"] = np.bincount(owner[order][new], minlength=n).astype(np.int64)
 
