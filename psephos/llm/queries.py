@@ -6,7 +6,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from psephos.llm import bpe, exact, licenses, mixing, quality, rules, secrets
+from psephos.llm import bpe, exact, jaccard, licenses, mixing, quality, rules, secrets
 from psephos.sources import stored
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -91,3 +91,10 @@ def op9_exact_index(spark: SparkSession, folder: str) -> DataFrame:
     return result.select(
         F.col("id").alias("doc_id"), "keep_id", "group_size", "kept", F.col("digest").alias("text_sha256")
     )
+
+
+@query
+def op10_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
+    """Components of documents linked by 90 per cent similarity of their three-word shingles."""
+    found = jaccard.similar(documents(spark, folder), jaccard.Measure(words=3, percent=90))
+    return found.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), "component_id")
