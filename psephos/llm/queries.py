@@ -6,7 +6,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from psephos.llm import bpe, exact, jaccard, licenses, mixing, quality, rules, secrets
+from psephos.llm import bpe, ctw, exact, fm_dedup, jaccard, licenses, mixing, quality, rules, secrets
 from psephos.sources import stored
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -98,3 +98,17 @@ def op10_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
     """Components of documents linked by 90 per cent similarity of their three-word shingles."""
     found = jaccard.similar(documents(spark, folder), jaccard.Measure(words=3, percent=90))
     return found.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), "component_id")
+
+
+@query
+def op3_ctw_score(spark: SparkSession, folder: str) -> DataFrame:
+    """Code lengths under context-tree weighting and under word counts, learnt outside every seventh of the ids."""
+    docs = documents(spark, folder).withColumn("__held", F.crc32(F.col("doc_id").cast("string")) % 7 == 2)
+    scores = ctw.score(docs, held_out="__held").withColumnRenamed("id", "doc_id")
+    return scores.drop("bits_per_byte")
+
+
+@query
+def op6_fm_substrings(spark: SparkSession, folder: str) -> DataFrame:
+    """Words left of each document when passages of earlier documents are removed."""
+    return fm_dedup.removed(documents(spark, folder)).withColumnRenamed("id", "doc_id")

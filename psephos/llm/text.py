@@ -158,6 +158,27 @@ def sums_between(values: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     return total[bounds[1:]] - total[bounds[:-1]]
 
 
+def word_streams(texts: Texts) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The words of each text, a blank after each and a line feed after the last, as bytes.
+
+    With the bounds of the texts and their numbers of words; a text without words is a lone line feed.
+    """
+    words = texts.words()
+    empty = np.flatnonzero(words.counts == 0)
+    starts = np.insert(words.starts, words.bounds[empty], 0)
+    lengths = np.insert(words.ends - words.starts, words.bounds[empty], -1) + 1
+    lengths[lengths == 0] = 1
+    counts = np.maximum(words.counts, 1)
+    ends = np.cumsum(lengths)
+    at = np.arange(ends[-1] if len(ends) else 0) - np.repeat(ends - lengths - starts, lengths)
+    data = texts.data[np.minimum(at, len(texts.data) - 1)] if len(texts.data) else np.zeros(len(at), np.uint8)
+    data = data.copy()
+    data[ends - 1] = 0x20
+    bounds = np.append(0, ends[np.cumsum(counts) - 1]) if len(counts) else np.zeros(1, np.int64)
+    data[bounds[1:] - 1] = 0x0A
+    return data, bounds, words.counts
+
+
 def grouped_equal(group: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """An order that puts equal (group, key) pairs together, and which of it begin a new pair."""
     order = np.argsort(mixed(group.astype(np.uint64) * _U(0x632BE59BD9B4E019)) ^ keys)
