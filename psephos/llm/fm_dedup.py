@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from psephos.llm.packed import packed, unpacked
-from psephos.llm.tables import by_block, columns
+from psephos.llm.tables import by_block, columns, place
 from psephos.llm.text import Texts, Words, _power_tables, covered, mixed, word_streams
 from psephos.sources import stored
 
@@ -320,7 +320,7 @@ def search_windows(words: DataFrame) -> DataFrame:
 def removed(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(id, n_words, n_removed, kept_sha256) of every row; the kept words are joined by one blank."""
     docs = docs.select(
-        F.coalesce(F.col(doc_id).cast("long"), F.lit(NO_ID)).alias("id"), F.xxhash64(text).alias("place"),
+        F.coalesce(F.col(doc_id).cast("long"), F.lit(NO_ID)).alias("id"), place(text).alias("place"),
         F.coalesce(F.col(text), F.lit("")).alias("text"),
     )
     found = stored(scanned(docs))

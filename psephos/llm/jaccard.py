@@ -23,11 +23,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from psephos.llm.components import components
-from psephos.llm.tables import by_block, columns, join_groups
+from psephos.llm.tables import by_block, columns, join_groups, place
 from psephos.llm.text import BLOCK_BYTES, Texts, blocks, grouped_equal, mixed, sums_between
 from psephos.sources import stored
 
@@ -80,7 +80,7 @@ def signatures(values: np.ndarray, bounds: np.ndarray) -> list[bytes]:
     """128 bits that identify each set."""
     low = sums_between(mixed(values).view(np.int64), bounds)
     high = sums_between(mixed(values * _U(0x9FB21C651E98DF25) + _U(77)).view(np.int64), bounds)
-    return [x.tobytes() for x in np.stack([low, high, ], axis=1)]
+    return [x.tobytes() for x in np.stack([low, high], axis=1)]
 
 
 def cell_counts(owners: np.ndarray, values: np.ndarray, n: int) -> np.ndarray:
@@ -116,7 +116,7 @@ def described(docs: DataFrame, measure: Measure) -> DataFrame:
         none = pa.nulls(PARTS)
         yield columns(schema, id=none, place=none, n=none, sig=none, cells=none, part=np.arange(PARTS), counts=parts)
 
-    rows = docs.select("id", "text", F.xxhash64("text").alias("place"))
+    rows = docs.select("id", "text", place("text").alias("place"))
     return rows.mapInArrow(run, "id long, place long, n long, sig binary, cells binary, part int, counts binary")
 
 
@@ -156,7 +156,7 @@ def postings(docs: DataFrame, measure: Measure, scale: np.ndarray) -> DataFrame:
     return by_block(docs.select("text"), "text", "token long, sig binary, n int, pos int", work)
 
 
-def within_reach(measure: Measure, left: str, right: str):
+def within_reach(measure: Measure, left: str, right: str) -> Column:
     """Length and positional filter on rows with n and pos of two classes."""
     n, m = F.col(f"{left}.n"), F.col(f"{right}.n")
     rest = F.least(n - F.col(f"{left}.pos"), m - F.col(f"{right}.pos"))
@@ -189,7 +189,7 @@ def verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, measure: Mea
     wanted = pairs.select(F.col("a").alias("sig")).unionByName(pairs.select(F.col("b").alias("sig"))).distinct()
     keys = stored(classes.join(wanted, "sig").select("sig", "id", "place"))
     keys = F.broadcast(keys) if keys.count() <= FEW else keys
-    whole = docs.select(F.col("id").alias("own"), F.xxhash64("text").alias("at"), "text")
+    whole = docs.select(F.col("id").alias("own"), place("text").alias("at"), "text")
     texts = stored(
         whole.join(keys, F.col("own").eqNullSafe(F.col("id")) & (F.col("at") == F.col("place")))
         .groupBy("sig").agg(F.min("text").alias("text"))  # rows equal in id and text
@@ -258,13 +258,35 @@ def join_classes(docs: DataFrame, measure: Measure) -> tuple[DataFrame, DataFram
     nodes = classes.select("sig", "size", "id").join(roots.withColumnRenamed("node", "sig"), "sig", "left")
     nodes = stored(nodes.select("sig", "size", "id", F.coalesce("root", "sig").alias("root")))
     least = stored(nodes.groupBy("root").agg(F.min("id").alias("component_id"), F.count(F.lit(1)).alias("degree")))
-    return rows, stored(join_groups(nodes, least, "root", "degree").select("sig", "size", "component_id"))
+    return rows, stored(join_groups(nodes, least, "root", "degree").select("sig", "size", "root", "component_id"))
 
 
 def similar(docs: DataFrame, measure: Measure, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(id, place, n, component_id) of every row; the component is named by its smallest id."""
+    """(id, place, n, component_id, root) of every row; the component is named by its smallest id.
+
+    ``root`` names it too, by a signature, also where no member has an id.
+    """
     docs = docs.select(F.col(doc_id).cast("long").alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     rows, classes = join_classes(docs, measure)
-    full = join_groups(rows.filter("n > 0"), classes, "sig", "size").select("id", "place", "n", "component_id")
-    alone = rows.filter("n = 0").select("id", "place", "n", F.col("id").alias("component_id"))
+    full = join_groups(rows.filter("n > 0"), classes, "sig", "size").select("id", "place", "n", "component_id", "root")
+    alone = rows.filter("n = 0").select("id", "place", "n", F.col("id").alias("component_id"), F.col("sig").alias("root"))
     return full.unionByName(alone)
+
+
+def keep_first(docs: DataFrame, measure: Measure, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """The rows of ``docs`` with the smallest id of their component, with all their columns.
+
+    Documents without words stay, as they are linked with nothing.
+    """
+    found = stored(similar(docs, measure, doc_id, text))
+    first = found.filter("n > 0").groupBy("root").agg(F.min(F.struct(F.col("id").isNull(), "id", "place")).alias("first"))
+    keys = first.select("first.id", "first.place")
+    times = found.filter("n > 0").groupBy("id", "place").agg(F.count(F.lit(1)).alias("times"))
+    on = keys["id"].eqNullSafe(times["id"]) & (keys["place"] == times["place"])
+    kept = stored(keys.join(times, on).select(keys["id"].alias("__id"), keys["place"].alias("__place"), times["times"].alias("__times")))
+    empty = F.coalesce(F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]")), F.lit(0)) == 0
+    match = F.col(doc_id).cast("long").eqNullSafe(F.col("__id")) & (place(text) == F.col("__place"))
+    rows = docs.filter(~empty).join(kept, match)
+    once = rows.filter("__times = 1")
+    again = rows.filter("__times > 1").dropDuplicates(["__id", "__place"])
+    return once.unionByName(again).select(*docs.columns).unionByName(docs.filter(empty))

@@ -41,9 +41,9 @@ def columns(schema: pa.Schema, **values) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(arrays, schema=schema)
 
 
-def row_key(doc_id: str, text: str) -> Column:
-    """Tells rows apart that share an id: the id with a 128-bit digest of the text."""
-    return F.struct(F.col(doc_id).alias("id"), F.md5(F.coalesce(F.col(text), F.lit(""))).alias("md5"))
+def place(text: str) -> Column:
+    """With the id, tells rows apart: a hash of the text, a null text being an empty one."""
+    return F.xxhash64(F.coalesce(F.col(text), F.lit("")))
 
 
 def join_groups(rows: DataFrame, groups: DataFrame, key: str, size: str) -> DataFrame:
