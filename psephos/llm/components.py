@@ -4,14 +4,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from psephos.llm.tables import join_groups
 from psephos.sources import stored
 
 
 def _least_neighbour(pairs: DataFrame) -> DataFrame:
-    """``pairs`` (a, b) with ``least``, the smallest b of the same a."""
-    least = pairs.groupBy("a").agg(F.min("b").alias("least"), F.count(F.lit(1)).alias("degree"))
-    return join_groups(pairs, stored(least), "a", "degree").drop("degree")
+    """Stored ``pairs`` (a, b) with ``least``, the smallest b of the same a.
+
+    Both sides of the join are stored tables, so a node with very many neighbours is split at run time.
+    """
+    return pairs.join(stored(pairs.groupBy("a").agg(F.min("b").alias("least"))), "a")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -21,19 +22,18 @@ def components(links: DataFrame) -> DataFrame:
     node, then the smaller ones; the number of rounds grows with the logarithm of the longest path.
     Every round is stored, so that a lost executor costs one round.
     """
-    down = lambda x, y: F.struct(F.greatest(x, y).alias("a"), F.least(x, y).alias("b"))
-    pairs = stored(links.select(down("a", "b").alias("p")).select("p.*").filter("a <> b").distinct())
-    before = None
+    pairs = stored(links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a <> b").distinct())
     while True:
-        state = pairs.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if tuple(state) == before:
-            return pairs.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(
-                pairs.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct()
-            )
-        before = tuple(state)
+        # Done when every node hangs under one other, and that one under none.
+        ends = pairs.select("a", F.lit(1).alias("below"), F.lit(0).alias("above")).unionByName(
+            pairs.select(F.col("b").alias("a"), F.lit(0).alias("below"), F.lit(1).alias("above"))
+        )
+        tangled = ends.groupBy("a").agg(F.sum("below").alias("below"), F.max("above").alias("above"))
+        if tangled.filter("below > 1 or below = 1 and above = 1").isEmpty():
+            roots = pairs.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct()
+            return pairs.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(roots)
         both = stored(pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"))))
         larger = _least_neighbour(both).filter("b > a").select(F.col("b").alias("a"), F.least("a", "least").alias("b"))
-        larger = stored(larger.filter("a <> b").distinct())
-        smaller = stored(_least_neighbour(larger))
+        smaller = stored(_least_neighbour(stored(larger.filter("a <> b").distinct())))
         hung = smaller.filter("b <> least").select(F.col("b").alias("a"), F.col("least").alias("b"))
         pairs = stored(hung.unionByName(smaller.select("a", F.col("least").alias("b"))).distinct())

@@ -3,8 +3,8 @@
 Rows with equal sets form a class, and only classes are compared.  N-grams are ordered
 rarest first; two sets as similar as asked for share an n-gram among the first few of each, their
 prefixes.  Classes that share a prefix n-gram are first compared with one hub of that n-gram,
-which settles groups of near copies in as many comparisons as they have members.  What
-then lies in different components is compared pair by pair.  Before any text is fetched, pairs
+which settles groups of near copies in as many comparisons as they have members.  Larger loose
+groups meet random hubs in rounds.  What then lies in different components is compared pair by pair.  Before any text is fetched, pairs
 pass filters on length, on the places of the shared n-gram, and on the counts of the sets in 64
 cells, which bound the overlap of the rest from above.  Each pair is verified once, exactly.
 
@@ -36,6 +36,9 @@ PARTS = 64
 CELLS = 64
 #: A set of keys of at most so many rows is broadcast; beyond it both sides are shuffled.
 FEW = 200_000
+#: Random classes that each class of a crowded n-gram meets in one round.  Rounds go on while there are more pairs
+#: than that and a tenth of the classes find links; then all pairs that are left are compared.
+HUBS = 64
 
 _U = np.uint64
 
@@ -164,10 +167,26 @@ def within_reach(measure: Measure, left: str, right: str) -> Column:
     return ok & (rest * (100 + measure.percent) >= measure.percent * (n + m))
 
 
+def prefix_filter(measure: Measure, left: str, right: str) -> Column:
+    """At the first token that two prefixes share, whether they share enough.
+
+    Outside the prefixes there is room for the rest of one set only.  As every pair has one first
+    shared token, it passes once.
+    """
+    n, m = F.col(f"{left}.n"), F.col(f"{right}.n")
+    both = F.array_intersect(f"{left}.own", f"{right}.own")
+    rest = F.floor((measure.percent * F.greatest(n, m) + 99) / 100) - 1
+    enough = (F.size(both) + rest) * (100 + measure.percent) >= measure.percent * (n + m)
+    return (both[0] == F.col(f"{left}.token")) & enough
+
+
 def cell_filter(pairs: DataFrame, classes: DataFrame, measure: Measure) -> DataFrame:
-    """Pairs (a, b) whose counts by cell leave room for the overlap they need."""
-    mine = classes.select(F.col("sig").alias("a"), F.col("n").alias("n_a"), F.col("cells").alias("cells_a"))
-    other = classes.select(F.col("sig").alias("b"), F.col("n").alias("n_b"), F.col("cells").alias("cells_b"))
+    """Pairs (a, b) whose counts by cell leave room for the overlap they need.
+
+    With the id and place of the row that stands for each class.
+    """
+    named = {x: [F.col("sig").alias(x), *(F.col(name).alias(f"{name}_{x}") for name in ("n", "cells", "id", "place"))] for x in "ab"}
+    kept = ["a", "b", "id_a", "place_a", "id_b", "place_b"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -179,21 +198,23 @@ def cell_filter(pairs: DataFrame, classes: DataFrame, measure: Measure) -> DataF
                 n, m = (np.asarray(batch.column(name)) for name in ("n_a", "n_b"))
                 apart = np.abs(x - y).sum(axis=1)
                 fits = apart <= n + m - 2 * measure.overlap(n, m)
-                yield batch.select(["a", "b"]).filter(pa.array(fits))
+                yield batch.select(kept).filter(pa.array(fits))
 
-    return pairs.join(mine, "a").join(other, "b").mapInArrow(run, "a binary, b binary")
+    joined = pairs.join(classes.select(named["a"]), "a").join(classes.select(named["b"]), "b")
+    return joined.mapInArrow(run, "a binary, b binary, id_a long, place_a long, id_b long, place_b long")
 
 
-def verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, measure: Measure) -> DataFrame:
+def verified(pairs: DataFrame, docs: DataFrame, measure: Measure) -> DataFrame:
     """Pairs (a, b) of stored ``pairs`` that are linked; the texts of their classes are compared."""
-    wanted = pairs.select(F.col("a").alias("sig")).unionByName(pairs.select(F.col("b").alias("sig"))).distinct()
-    keys = stored(classes.join(wanted, "sig").select("sig", "id", "place"))
+    ends = [pairs.select(F.col(x).alias("sig"), F.col(f"id_{x}").alias("id"), F.col(f"place_{x}").alias("place")) for x in "ab"]
+    keys = stored(ends[0].unionByName(ends[1]).distinct())
     keys = F.broadcast(keys) if keys.count() <= FEW else keys
     whole = docs.select(F.col("id").alias("own"), place("text").alias("at"), "text")
     texts = stored(
         whole.join(keys, F.col("own").eqNullSafe(F.col("id")) & (F.col("at") == F.col("place")))
         .groupBy("sig").agg(F.min("text").alias("text"))  # rows equal in id and text
     )
+    pairs = pairs.select("a", "b")
     joined = pairs.join(texts.select(F.col("sig").alias("a"), F.col("text").alias("text")), "a")
     joined = joined.join(texts.select(F.col("sig").alias("b"), F.col("text").alias("other")), "b")
 
@@ -215,6 +236,35 @@ def verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, measure: Mea
     return by_block(joined, "text", "a binary, b binary", work, BLOCK_BYTES)
 
 
+def open_postings(shared: DataFrame, under: DataFrame) -> tuple[DataFrame, int]:
+    """Postings of tokens whose classes have different roots, with the most frequent one as ``main``.
+
+    Also by how many the pairs across roots exceed ``HUBS`` for each posting.
+    """
+    placed = stored(shared.join(under, "sig", "left").select("token", "sig", "n", "pos", F.coalesce("root", "sig").alias("root")))
+    counts = placed.groupBy("token", "root").agg(F.count(F.lit(1)).alias("members"))
+    crowded = stored(
+        counts.groupBy("token").agg(
+            F.max(F.struct("members", "root")).alias("most"), F.count(F.lit(1)).alias("roots"), F.sum("members").alias("members")
+        ).filter("roots > 1").select("token", "members", F.col("most.root").alias("main"), F.col("most.members").alias("in_main"))
+    )
+    across, rows = crowded.agg(F.sum((F.col("members") - F.col("in_main")) * F.col("members")), F.sum("members")).first()
+    return stored(placed.join(crowded.drop("in_main"), "token")), (across or 0) - HUBS * (rows or 0)
+
+
+def random_hubs(open_: DataFrame, measure: Measure, turn: int) -> DataFrame:
+    """Pairs (a, b) of each class with up to ``HUBS`` random classes of its most frequent open token."""
+    best = open_.groupBy("sig").agg(F.max_by(F.struct("token", "n", "pos", "root"), F.struct("members", "token")).alias("x"))
+    lots = open_.withColumn("lot", F.pmod(F.xxhash64("sig", F.lit(turn)), F.lit(HUBS)))
+    hubs = lots.groupBy("token", "lot").agg(
+        F.min_by(F.struct("sig", "n", "pos", "root"), F.xxhash64("sig", F.lit(-turn))).alias("hub")
+    ).select("token", "hub.*")
+    x = stored(best.select("sig", "x.*"))
+    met = x.alias("x").join(stored(hubs).alias("y"), F.col("x.token") == F.col("y.token"))
+    met = met.filter((F.col("x.root") != F.col("y.root")) & within_reach(measure, "x", "y"))
+    return met.select(F.least("x.sig", "y.sig").alias("a"), F.greatest("x.sig", "y.sig").alias("b")).distinct()
+
+
 def join_classes(docs: DataFrame, measure: Measure) -> tuple[DataFrame, DataFrame]:
     """Rows (id, place, n, sig) of every document of ``docs`` (id, text), and components of the sigs."""
     found = stored(described(docs, measure))
@@ -227,7 +277,7 @@ def join_classes(docs: DataFrame, measure: Measure) -> tuple[DataFrame, DataFram
         ).select("sig", "n", "cells", "size", "first.id", "first.place")
     )
 
-    every = postings(docs, measure, scale)
+    every = stored(postings(docs, measure, scale))
     hubs = stored(
         every.groupBy("token").agg(F.min(F.struct("sig", "n", "pos")).alias("hub"), F.max("sig").alias("last"))
         .filter("hub.sig <> last").select("token", "hub")
@@ -235,25 +285,37 @@ def join_classes(docs: DataFrame, measure: Measure) -> tuple[DataFrame, DataFram
     shared = stored(every.join(hubs, "token").distinct())  # classes that share a token, once each
     to_hub = shared.alias("x").filter("sig <> hub.sig").filter(within_reach(measure, "x", "hub"))
     pairs = stored(to_hub.select(F.col("sig").alias("a"), F.col("hub.sig").alias("b")).distinct())
-    links = stored(verified(stored(cell_filter(pairs, classes, measure)), docs, classes, measure))
-    roots = stored(components(links))
+    links = stored(verified(stored(cell_filter(pairs, classes, measure)), docs, measure))
 
-    placed = shared.join(roots.withColumnRenamed("node", "sig"), "sig", "left").select(
-        "token", "sig", "n", "pos", F.coalesce("root", "sig").alias("root")
-    )
-    counts = stored(stored(placed).groupBy("token", "root").agg(F.count(F.lit(1)).alias("members")))
-    mixed_ = counts.groupBy("token").agg(
-        F.max(F.struct("members", "root")).alias("most"), F.count(F.lit(1)).alias("roots")
-    ).filter("roots > 1").select("token", F.col("most.root").alias("main"))
-    open_ = stored(placed.join(mixed_, "token"))
+    # Classes under one hub are settled, and so are those under its own hub.
+    under = stored(links.groupBy("a").agg(F.min("b").alias("root")).withColumnRenamed("a", "sig"))
+    above = under.select(F.col("sig").alias("root"), F.col("root").alias("higher"))
+    under = stored(under.join(above, "root", "left").select("sig", F.coalesce("higher", "root").alias("root")))
+    tried = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    open_, left = open_postings(shared, under)
+    turn, worth = 0, True
+    while left > 0 and worth:
+        turn += 1
+        pairs = stored(random_hubs(open_, measure, turn).join(tried, ["a", "b"], "left_anti"))
+        new = stored(verified(stored(cell_filter(pairs, classes, measure)), docs, measure))
+        worth = 10 * new.count() >= open_.select("sig").distinct().count()
+        tried = tried.unionByName(pairs)
+        links = stored(links.unionByName(new))
+        under = stored(components(links)).withColumnRenamed("node", "sig")
+        open_, left = open_postings(shared, under)
+
+    # All open tokens of a class, rarest first: what two prefixes can share.
+    tokens = open_.groupBy("sig").agg(F.sort_array(F.collect_list(F.struct("pos", "token"))).alias("own"))
+    open_ = stored(open_.join(tokens.select("sig", F.col("own.token").alias("own")), "sig"))
     few, all_ = open_.filter("root <> main").alias("x"), open_.alias("y")
     rest = few.join(all_, F.col("x.token") == F.col("y.token")).filter(
         (F.col("x.root") != F.col("y.root")) & ((F.col("y.root") == F.col("y.main")) | (F.col("x.sig") < F.col("y.sig")))
-    ).filter(within_reach(measure, "x", "y"))
-    rest = rest.select(F.least("x.sig", "y.sig").alias("a"), F.greatest("x.sig", "y.sig").alias("b")).distinct()
-    tried = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+        & within_reach(measure, "x", "y") & prefix_filter(measure, "x", "y")
+    )
+    rest = rest.select(F.least("x.sig", "y.sig").alias("a"), F.greatest("x.sig", "y.sig").alias("b"))
     rest = stored(cell_filter(stored(rest.join(tried, ["a", "b"], "left_anti")), classes, measure))
-    links = links.unionByName(verified(rest, docs, classes, measure))
+    if not rest.isEmpty():
+        links = links.unionByName(verified(rest, docs, measure))
     roots = stored(components(links))
     nodes = classes.select("sig", "size", "id").join(roots.withColumnRenamed("node", "sig"), "sig", "left")
     nodes = stored(nodes.select("sig", "size", "id", F.coalesce("root", "sig").alias("root")))
