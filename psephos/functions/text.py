@@ -73,8 +73,8 @@ def matches_any(column: Column, patterns: Sequence[str]) -> Column:
 
 
 def percent_text(column: Column, decimals: int) -> Column:
-    """A share as percent text, for example 0.125 as ``12.5%``."""
-    return F.format_string(f"%.{decimals}f%%", column * 100)
+    """A share as percent text, for example 0.125 as ``12.5%``; ties go to the even digit."""
+    return F.format_string(f"%.{decimals}f%%", F.bround(column * 100, decimals))
 
 
 def significant_text(column: Column, digits: int = 3) -> Column:

@@ -25,17 +25,20 @@ def encode_ordinal(
     return df.withColumn(out or col, F.coalesce(code, F.lit(default)))
 
 
-def discover_categories(df: DataFrame, cols: Sequence[str], limit: int = 1000) -> dict[str, list]:
+def discover_categories(
+    df: DataFrame, cols: Sequence[str], limit: int | None = None
+) -> dict[str, list]:
     """The distinct non-null values of each column, sorted, found in one pass.
 
-    Meant for columns with few values, since each becomes a column; more than ``limit``
-    in all is an error, and no more than that ever reaches the driver.
+    Meant for columns with few values, since each becomes a column.  With ``limit``, more than so
+    many in all is an error, and no more than that ever reaches the driver.
     """
     pairs = df.unpivot(
         [], [F.col(quoted(name)).cast("string").alias(name) for name in cols], "variable", "value"
     )
-    found = pairs.dropna().distinct().limit(limit + 1).collect()
-    if len(found) > limit:
+    found = pairs.dropna().distinct()
+    found = (found if limit is None else found.limit(limit + 1)).collect()
+    if limit is not None and len(found) > limit:
         raise ValueError(f"more than {limit} categories in {', '.join(cols)}")
     types = dict(df.dtypes)
     result: dict[str, list] = {name: [] for name in cols}
@@ -54,13 +57,15 @@ def one_hot(
 ) -> DataFrame:
     """Append a 0/1 column ``<col>_<category>`` per category but the reference.
 
-    Values outside the list, and null, are 0 in all of them.  A named reference that is
-    not among the categories leaves out nothing.
+    Values outside the list, and null, are 0 in all of them.  A named reference must be among
+    the categories; None leaves out nothing.
     """
     listed = sorted(set(categories))
     if reference is FIRST:
         listed = listed[1:]
-    elif reference in listed:
+    elif reference is not None:
+        if reference not in listed:
+            raise ValueError(f"{reference} is not among the categories of {col}")
         listed.remove(reference)
     value = F.col(quoted(col))
     kept: list[Column] = [

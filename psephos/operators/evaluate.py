@@ -1,7 +1,8 @@
 """Evaluation of binary classifiers: confusion, metrics, ROC, AUC, cutoffs.
 
 Labels and predictions are 0/1.  Every function takes ``weight``, a column with the number
-of rows that a row stands for.
+of rows that a row stands for.  A row without label, or without the score or prediction that is
+evaluated, takes no part; ``evaluate`` counts such rows.
 """
 from __future__ import annotations
 
@@ -184,9 +185,9 @@ def metrics_at_cutoff(
 ) -> DataFrame:
     """One row of cells and metrics when scores from ``cutoff`` on count as positive.
 
-    A missing score is not positive.  Specificity is null without negatives.
+    Specificity is null without negatives.
     """
-    positive = F.coalesce(known(F.col(quoted(score))) >= cutoff, F.lit(False))
+    positive = known(F.col(quoted(score))) >= cutoff
     return _cells(df, label, positive, weight).withColumns(_shares(empty_specificity=None))
 
 
@@ -196,9 +197,10 @@ def cutoff_sweep(
     """Sensitivity and specificity at the cutoffs 0, 1/steps, ..., 1, from a single scan.
 
     Each row goes to the highest cutoff it reaches; suffix sums over those few groups give the
-    rest.  A missing score reaches none.
+    rest.
     """
     step = 1.0 / steps
+    given = known(F.col(quoted(score))).isNotNull()
     value = F.least(F.greatest(known(F.col(quoted(score))), F.lit(-1.0)), F.lit(2.0))
     guess = F.floor(value / step)
     reached = (
@@ -206,11 +208,12 @@ def cutoff_sweep(
         .when(guess * step > value, guess - 1)
         .otherwise(guess)
     )
-    index = F.coalesce(F.greatest(F.least(reached, F.lit(steps)), F.lit(-1)), F.lit(-1))
+    index = F.greatest(F.least(reached, F.lit(steps)), F.lit(-1))
     actual = F.col(quoted(label))
     grouped = (
-        df.select(index.cast("int").alias("_index"), actual.alias("_label"),
+        df.select(index.cast("int").alias("_index"), actual.alias("_label"), given.alias("_known"),
                   *([weight] if weight else []))
+        .filter(F.col("_known"))
         .groupBy("_index")
         .agg(
             total(weight, F.col("_label") == 1).alias("pos"),
@@ -249,19 +252,26 @@ def evaluate(
     """Summary row, confusion matrix, class report and ROC points from one scan of ``df``.
 
     Rows are merged by label, prediction and score first.  AUC and Gini are null if they cannot
-    be computed, as with a single class; ROC points on straight stretches are left out.
+    be computed, as with a single class; ROC points on straight stretches are left out.  Rows without
+    label, prediction or score are left out of all tables and counted in ``n_missing``.
     """
-    merged = stored(
+    every = stored(
         df.groupBy(
             F.col(quoted(label)).alias("label"), F.col(quoted(pred)).alias("predicted"),
             known(F.col(quoted(score))).alias("score"),
         ).agg(total(weight).alias("n"))
     )
+    whole = F.col("label").isNotNull() & F.col("predicted").isNotNull() & F.col("score").isNotNull()
+    missing = every.agg(F.coalesce(total("n", ~whole), F.lit(0))).first()[0]
+    merged = every.filter(whole)
     grouped = _by_score(merged, "label", "score", "n")
     metrics = binary_metrics(merged, "label", "predicted", "n")
     area = _auc(grouped, ROWS_PER_RANGE).first()
     summary = metrics.withColumns(
-        {"auc": F.lit(area.auc).cast("double"), "gini": F.lit(area.gini).cast("double")}
+        {
+            "auc": F.lit(area.auc).cast("double"), "gini": F.lit(area.gini).cast("double"),
+            "n_missing": F.lit(missing).cast("bigint"),
+        }
     )
     return {
         "summary": summary,

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from psephos.operators.shape import quoted
-from psephos.operators.weights import MAX_CLASSES, BalancedWeights, BalancedWeightsModel
+from psephos.operators.weights import BalancedWeights, BalancedWeightsModel
 from psephos.sources.scratch import stored
 
 SEED = 100
@@ -34,7 +34,10 @@ def subset_size(features: int, rule: str) -> str:
 def _forest(features: Sequence[str], target: str, params: Mapping) -> RandomForestClassifier:
     settings = dict(params)
     rule = settings.pop("max_features", "sqrt")
-    names = {"trees": "numTrees", "depth": "maxDepth", "min_leaf": "minInstancesPerNode"}
+    names = {
+        "trees": "numTrees", "depth": "maxDepth", "min_leaf": "minInstancesPerNode", "min_gain": "minInfoGain",
+        "min_share": "minWeightFractionPerNode", "bins": "maxBins", "memory_mb": "maxMemoryInMB",
+    }
     unknown = set(settings) - set(names)
     if unknown:
         raise ValueError(f"unknown forest parameters: {', '.join(sorted(unknown))}")
@@ -64,7 +67,9 @@ def fit_forest(
     """Fit a forest on balanced classes.
 
     ``params``: ``trees``, ``depth`` (at most 30), ``min_leaf`` rows per leaf and ``max_features``
-    (``sqrt``, ``log2``, ``all`` or a number as text).  Bagging draws rows, so equal rows stay apart.
+    (``sqrt``, ``log2``, ``all`` or a number as text); also ``min_gain`` and ``min_share`` (of the total weight
+    in a leaf), which stand in for a least number of rows to split, ``bins`` per predictor, and ``memory_mb`` for
+    the statistics of one pass.  Bagging draws rows, so equal rows stay apart.
     """
     used = train.select(*map(quoted, [*features, target]))
     return _for_scoring(Pipeline(stages=_stages(features, target, params)).fit(used))
@@ -97,10 +102,7 @@ def stratified_folds(df: DataFrame, target: str, folds: int, out: str = "fold")
     placed = stored(
         df.withColumns({"_part": F.spark_partition_id(), "_pos": F.monotonically_increasing_id()})
     )
-    classes = placed.select(quoted(target)).distinct().limit(MAX_CLASSES + 1).count()
-    if classes > MAX_CLASSES:
-        raise ValueError(f"{target} has more than {MAX_CLASSES} values")
-    # One row per partition and class.
+    # One row per partition and class; both grow with the data, so Spark chooses the join.
     counts = placed.groupBy("_part", target).agg(F.count(F.lit(1)).alias("_rows"))
     earlier = (
         Window.partitionBy(target).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
@@ -111,7 +113,7 @@ def stratified_folds(df: DataFrame, target: str, folds: int, out: str = "fold")
     )
     inside = Window.partitionBy("_part", target).orderBy("_pos")
     same = (F.col("_part") == F.col("_in")) & F.col(quoted(target)).eqNullSafe(F.col("_class"))
-    numbered = placed.join(F.broadcast(starts), same).withColumn(
+    numbered = placed.join(starts, same).withColumn(
         out, ((F.col("_start") + F.row_number().over(inside) - 1) % folds).cast("int")
     )
     return numbered.select(*map(quoted, df.columns), out)
@@ -128,16 +130,23 @@ def tune_forest(
     """Try every combination of ``grid`` by cross-validated F1 of class 1.
 
     Returns the best model, fitted again on all rows, and one row per combination with
-    mean and spread of F1.  Class weights are balanced anew within each fold.
+    mean and spread of F1.  Class weights are balanced anew within each fold.  Combinations that
+    come to the same forest are fitted once, and the folds are stored once.
     """
     names = sorted(grid)
     points = [dict(zip(names, values)) for values in product(*(grid[name] for name in names))]
     base = _stages(features, target, {})
     estimator = Pipeline(stages=base)
-    maps = []
+    maps, place = [], []
+    known: dict[tuple, int] = {}
     for point in points:
-        forest = _forest(features, target, point)
-        maps.append({base[-1].getParam(p.name): v for p, v in forest._paramMap.items()})
+        rule = subset_size(len(features), point.get("max_features", "sqrt"))
+        same = tuple(sorted((point | {"max_features": rule}).items()))
+        if same not in known:
+            known[same] = len(maps)
+            forest = _forest(features, target, point)
+            maps.append({base[-1].getParam(p.name): v for p, v in forest._paramMap.items()})
+        place.append(known[same])
     search = CrossValidator(
         estimator=estimator,
         estimatorParamMaps=maps,
@@ -149,13 +158,13 @@ def tune_forest(
         parallelism=parallelism,
     )
     used = train.select(*map(quoted, [*features, target]))
-    found = search.fit(stratified_folds(used, target, folds, out="_fold"))
-    best = max(range(len(points)), key=lambda i: found.avgMetrics[i])
+    found = search.fit(stored(stratified_folds(used, target, folds, out="_fold")))
+    best = max(range(len(points)), key=lambda i: found.avgMetrics[place[i]])
     rows = [
         (
             ", ".join(f"{key}={value}" for key, value in point.items()),
-            float(found.avgMetrics[i]),
-            float(found.stdMetrics[i]),
+            float(found.avgMetrics[place[i]]),
+            float(found.stdMetrics[place[i]]),
             i == best,
         )
         for i, point in enumerate(points)

@@ -13,20 +13,20 @@ from pyspark.sql import functions as F
 
 from psephos.functions.numeric import Z_95, half_even
 from psephos.functions.text import significant_text
+from psephos.operators.collinearity import vif
 from psephos.operators.shape import quoted
 from psephos.sources.scratch import stored
 
 INTERCEPT = "const"
-MAX_SPREAD = 1e7  # standard error per root of the total weight, beyond any rare predictor
+ITERATIONS = 100
 
 
 @dataclass(frozen=True)
 class LogitModel:
-    """A fitted model; ``scale`` is what its row weights, ``total`` in sum, were divided by."""
+    """A fitted model; ``scale`` is what its row weights were divided by."""
 
     pipeline: PipelineModel
     scale: float
-    total: float
 
 
 def fit_logit(
@@ -43,12 +43,16 @@ def fit_logit(
     row per combination of predictors, with the share of positives and the total weight.
     That changes nothing in the fit and leaves little to iterate over when the predictors are
     coded categories; turn it off for predictors that hardly repeat.
+
+    Rows without a target, or without a positive weight, take no part either way.  A missing
+    predictor, predictors that depend on each other, and a fit that does not converge are errors.
     """
     used = train.select(
         *[F.col(quoted(name)).cast("double").alias(name) for name in features],
         F.col(quoted(target)).cast("double").alias("_hit"),
         (F.col(quoted(weight)) if weight else F.lit(1)).cast("double").alias("_times"),
     )
+    used = used.filter(F.col("_hit").isNotNull() & ~F.isnan("_hit") & (F.col("_times") > 0))
     if merge_equal_rows:
         used = used.groupBy(*map(quoted, features)).agg(
             (F.sum(F.col("_hit") * F.col("_times")) / F.sum("_times")).alias("_hit"),
@@ -57,15 +61,24 @@ def fit_logit(
     rows = stored(used)
     # The fit starts from values that depend on the weights and fails to converge from far
     # off when those are large, so the weights are brought down to at most 1.
-    scale, total = rows.agg(F.max("_times"), F.sum("_times")).first()
+    gaps = [F.count_if(F.col(quoted(name)).isNull()).alias(f"gap{i}") for i, name in enumerate(features)]
+    scale, *missing = rows.agg(F.max("_times"), *gaps).first()
+    if scale is None:
+        raise ValueError(f"no row has a known {target}")
+    if any(missing):
+        raise ValueError(f"missing values in {', '.join(n for n, gap in zip(features, missing) if gap)}")
+    if len(features) > 1:
+        vif(rows, features, "_times")  # names predictors that do not vary or depend on others
     assembler = VectorAssembler(inputCols=list(features), outputCol="_features")
     regression = GeneralizedLinearRegression(
         family="binomial", link="logit", featuresCol="_features", labelCol="_hit",
-        weightCol="_weight", predictionCol=score_col, tol=1e-10, maxIter=100,
+        weightCol="_weight", predictionCol=score_col, tol=1e-10, maxIter=ITERATIONS,
     )
     weighted = rows.withColumn("_weight", F.col("_times") / F.lit(scale))
     model = regression.fit(assembler.transform(weighted))
-    return LogitModel(PipelineModel([assembler, model]), scale, total)
+    if model.hasSummary and model.summary.numIterations >= ITERATIONS:
+        raise ValueError(f"the fit on {', '.join(features)} did not converge; are the classes separable?")
+    return LogitModel(PipelineModel([assembler, model]), scale)
 
 
 def logit_scores(model: LogitModel, df: DataFrame) -> DataFrame:
@@ -82,15 +95,7 @@ def logit_table(model: LogitModel) -> DataFrame:
     regression = model.pipeline.stages[-1]
     names = [*model.pipeline.stages[0].getInputCols(), INTERCEPT]
     values = [*regression.coefficients, regression.intercept]
-    problem = ValueError(f"some of {', '.join(names[:-1])} are linearly dependent")
-    try:
-        scaled = regression.summary.coefficientStandardErrors
-    except Exception as cause:
-        raise problem from cause
-    errors = [error / math.sqrt(model.scale) for error in scaled]
-    # A dependent predictor leaves only rounding errors to divide by.
-    if any(not error * math.sqrt(model.total) < MAX_SPREAD for error in errors):
-        raise problem
+    errors = [error / math.sqrt(model.scale) for error in regression.summary.coefficientStandardErrors]
     rows = []
     for name, value, error in zip(names, values, errors):
         z = value / error

@@ -71,8 +71,7 @@ def edges_from_counts(
     ``counts`` is read several times.  Without ``group`` there is one group, None.  Of many
     values only the ranges that hold a wanted rank are ever sorted.
     """
-    ranged = with_ranges(counts, "value", group, rows_per_range)
-    placed = counts.withColumn("_range", F.lit(0.0)) if ranged is None else ranged
+    placed = with_ranges(counts, "value", group, rows_per_range)
     name = F.lit(None).cast("string") if group is None else F.col(group)
     placed = placed.withColumn("_name", name)
     # One row per range.

@@ -44,8 +44,18 @@ def recode(
 
 
 def looked_up(value: Column, mapping: Mapping) -> Column:
-    """What ``mapping`` holds for the value, null if nothing: one lookup in a constant map."""
-    return F.create_map(*[F.lit(part) for pair in mapping.items() for part in pair])[value]
+    """What ``mapping`` holds for the value, null if nothing.
+
+    One set of keys per result: long lists become hash sets, while a constant map would be searched
+    key by key.
+    """
+    keys: dict = {}
+    for key, result in mapping.items():
+        keys.setdefault(result, []).append(key)
+    found = F.lit(None)
+    for i, (result, own) in enumerate(keys.items()):
+        found = (F if i == 0 else found).when(value.isin(own), F.lit(result))
+    return found
 
 
 def map_values(

@@ -1,40 +1,27 @@
 """Running totals over a whole ordered table, without a single-task window."""
 from __future__ import annotations
 
-import math
 from collections.abc import Sequence
 
-from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from psephos.sources.scratch import stored
+
 ROWS_PER_RANGE = 1_000_000  # distinct keys that one task sorts and sums
-MAX_RANGES = 2_000  # bounds the broadcast offsets; beyond it ranges grow, and their sort spills
+RANGES_PER_BLOCK = 1_000  # ranges whose totals one task sums
 
 
-def with_ranges(
-    grouped: DataFrame, key: str, group: str | None, rows_per_range: int
-) -> DataFrame | None:
-    """Add ``_range``, a number that rises with ``key``, or None if each group fits one task.
+def with_ranges(grouped: DataFrame, key: str, group: str | None, rows_per_range: int) -> DataFrame:
+    """``grouped`` stored with ``_range``, a number that rises with ``key`` within each group.
 
-    The cut points are plain numbers in the plan, so a recomputed task sees the same ranges.
+    A range holds about ``rows_per_range`` rows, whatever the size of the table.  The
+    ranges are stored with the rows, so a recomputed task cannot see others.
     """
-    name = F.lit(None).cast("string") if group is None else F.col(group)
-    sizes = grouped.groupBy(name.alias("name")).agg(F.count(F.lit(1)).alias("rows"))
-    large = sizes.filter(F.col("rows") > rows_per_range).collect()
-    placed, place = grouped, F.lit(0.0)
-    for i, size in enumerate(large):
-        ranges = min(-(-size.rows // rows_per_range), MAX_RANGES)
-        steps = [j / ranges for j in range(1, ranges)]
-        mine = F.lit(True) if group is None else F.col(group) == size.name
-        found = grouped.filter(mine).approxQuantile(key, steps, 0.25 / ranges)
-        cuts = sorted({cut for cut in found if math.isfinite(cut)})
-        splits = [-math.inf, *cuts, math.inf]
-        bucketizer = Bucketizer(splits=splits, inputCol=key, outputCol=f"_range_{i}")
-        placed = bucketizer.transform(placed)
-        place = F.when(mine, F.col(f"_range_{i}")).otherwise(place)
-    return placed.select(*grouped.columns, place.alias("_range")) if large else None
+    ranges = max(1, -(-grouped.count() // rows_per_range))
+    parts = [key] if group is None else [group, key]
+    return stored(grouped.repartitionByRange(ranges, *parts).withColumn("_range", F.spark_partition_id()))
 
 
 def running_totals(
@@ -49,9 +36,9 @@ def running_totals(
     """Add ``cum_<sum>`` (inclusive) for each sum in the order of ``key``, a double.
 
     ``grouped`` holds one row per key and should be stored or cached, as it is read
-    several times; with ``group``, a column of few values, each group has its own keys and totals.
-    The keys are cut into ranges of about ``rows_per_range`` rows.  Totals per range
-    give every range its offset, and each range is then summed on its own.
+    twice; with ``group``, each group has its own keys and totals.
+    The keys are cut into ranges of about ``rows_per_range`` rows and the ranges into blocks.  Totals
+    per block and per range give every range its offset, and each range is then summed on its own.
     ``following`` also adds ``next_<sum>``, the value of the next key, null for the last.
     """
     placed = with_ranges(grouped, key, group, rows_per_range)
@@ -60,38 +47,37 @@ def running_totals(
     def ordered(name: str) -> Column:
         return F.col(name).desc() if descending else F.col(name).asc()
 
-    def with_sums(df: DataFrame, parts: list, shifted: bool) -> DataFrame:
-        inside = Window.partitionBy(*(parts or [F.lit(0)])).orderBy(ordered(key))
-        upto = inside.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-        added = []
-        for name in sums:
-            cum, after = F.sum(name).over(upto), F.lead(name).over(inside)
-            if shifted:
-                cum = cum + F.col(f"_before_{name}")
-                after = F.coalesce(after, F.col(f"_after_{name}"))
-            added.append(cum.alias(f"cum_{name}"))
-            if following:
-                added.append(after.alias(f"next_{name}"))
-        return df.select(*grouped.columns, *added)
-
-    if placed is None:
-        return with_sums(grouped, groups, False)
+    def offsets(totals: DataFrame, parts: list, place: str, mark: str) -> DataFrame:
+        """What comes before each row of ``totals``, and the first value after it, within ``parts``."""
+        order = Window.partitionBy(*(parts or [F.lit(0)])).orderBy(ordered(place))
+        earlier = order.rowsBetween(Window.unboundedPreceding, -1)
+        return totals.withColumns(
+            {f"_before{mark}_{n}": F.coalesce(F.sum(f"_total_{n}").over(earlier), F.lit(0)) for n in sums}
+            | {f"_after{mark}_{n}": F.lead(f"_first_{n}").over(order) for n in sums}
+        )
 
-    parts = [*groups, "_range"]
     first = F.max_by if descending else F.min_by
-    totals = placed.groupBy(*parts).agg(
+    totals = placed.groupBy(*groups, "_range").agg(
         *[F.sum(name).alias(f"_total_{name}") for name in sums],
         *[first(name, key).alias(f"_first_{name}") for name in sums],
     )
-    # One row per range, so these two windows see as many rows as there are ranges.
-    before = Window.partitionBy(*(groups or [F.lit(0)])).orderBy(ordered("_range"))
-    earlier = before.rowsBetween(Window.unboundedPreceding, -1)
-    offsets = totals.select(
-        *parts,
-        *[
-            F.coalesce(F.sum(f"_total_{name}").over(earlier), F.lit(0)).alias(f"_before_{name}")
-            for name in sums
-        ],
-        *[F.lead(f"_first_{name}").over(before).alias(f"_after_{name}") for name in sums],
+    totals = stored(totals.withColumn("_block", F.floor(F.col("_range") / RANGES_PER_BLOCK)))
+    blocks = totals.groupBy(*groups, "_block").agg(
+        *[F.sum(f"_total_{name}").alias(f"_total_{name}") for name in sums],
+        *[first(f"_first_{name}", "_range").alias(f"_first_{name}") for name in sums],
     )
-    return with_sums(placed.join(F.broadcast(offsets), parts), parts, True)
+    outer = offsets(blocks, groups, "_block", "_block").drop(*[f"_{kind}_{n}" for kind in ("total", "first") for n in sums])
+    inner = offsets(totals, [*groups, "_block"], "_range", "")
+    whole = inner.join(outer, [*groups, "_block"]).select(
+        *groups, "_range",
+        *[(F.col(f"_before_{n}") + F.col(f"_before_block_{n}")).alias(f"_before_{n}") for n in sums],
+        *[F.coalesce(f"_after_{n}", f"_after_block_{n}").alias(f"_after_{n}") for n in sums],
+    )
+    inside = Window.partitionBy(*groups, "_range").orderBy(ordered(key))
+    upto = inside.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    added = []
+    for name in sums:
+        added.append((F.sum(name).over(upto) + F.col(f"_before_{name}")).alias(f"cum_{name}"))
+        if following:
+            added.append(F.coalesce(F.lead(name).over(inside), F.col(f"_after_{name}")).alias(f"next_{name}"))
+    return placed.join(whole, [*groups, "_range"]).select(*grouped.columns, *added)

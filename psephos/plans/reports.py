@@ -38,6 +38,13 @@ from psephos.sources import read_extracts, read_table, stored, write_report, wri
 ROWS = "n"
 
 
+#: Reports whose rows have an order of their own.
+SORTED = {
+    "raw_frequencies", "rows_by_year_and_office", "states", "cohort_summary", "category_summary",
+    "logit_coefficients", "logit_effects", "logit_odds", "vif",
+}
+
+
 def cohort_reports(cohort: DataFrame) -> dict[str, DataFrame]:
     """Flag counts and elected candidates per year of one office."""
     elected = positives_by_period(cohort, c.PERIOD, c.FLAGS, c.TARGET, c.ELECTED)
@@ -190,7 +197,11 @@ def run_analysis(
     def report(name: str, table: DataFrame) -> str:
         path = f"{folder}/reports/{name}"
         # A ROC curve has a row per distinct score, all other reports have few.
-        return write_table(table, path) if name.endswith("_roc") else write_report(table, path)
+        if name.endswith("_roc"):
+            return write_table(table, path)
+        last = name.rsplit("/", 1)[1]
+        order = [F.col(c.PERIOD).cast("string")] if last == "elected_by_year" else []
+        return write_report(table, path, order=order, keep_order=last in SORTED or last.endswith("_importance"))
 
     raw = kept(read_extracts(spark, extracts, c.RAW_SCHEMA), "extracts", [c.PERIOD])
     cohort = kept(build_cohort(raw), "cohort", ["DS_CARGO", c.PERIOD])

@@ -22,6 +22,7 @@ def read_extracts(
     wanted and their order changes from year to year.  So each path's own header
     fixes the order, the wanted columns take their declared types, and all others stay
     unread text that column pruning drops.  No value is inferred, hence no extra pass.
+    Files below one path must share their header; one that differs is an error.
     """
     wanted = {field.name: field for field in schema.fields}
     frames = []
@@ -31,7 +32,8 @@ def read_extracts(
         bound = T.StructType(
             [wanted.get(name, T.StructField(name, T.StringType())) for name in header]
         )
-        frames.append(select_columns(reader.schema(bound).csv(path), schema.names))
+        checked = reader.option("enforceSchema", False).schema(bound)
+        frames.append(select_columns(checked.csv(path), schema.names))
     return union_extracts(frames)
 
 

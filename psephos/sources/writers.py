@@ -18,13 +18,20 @@ def write_table(
     return path
 
 
-def write_report(df: DataFrame, path: str, fmt: str = "parquet", mode: str = "overwrite") -> str:
+def write_report(
+    df: DataFrame, path: str, fmt: str = "parquet", mode: str = "overwrite", order: Sequence = (),
+    keep_order: bool = False,
+) -> str:
     """Store a report of a few rows as one file (``parquet``, or ``csv`` with a header).
 
+    ``order`` sorts the rows in the writing task.  ``keep_order`` is for a table that ends in a sort:
+    the one task reads its sorted partitions in turn.  Otherwise any order may be lost on the way.
+
     Only its rows move to the one writing task; what computes them stays parallel.  A
     table that grows with the data, such as a ROC curve, goes to :func:`write_table`.
     """
-    writer = df.repartition(1).write.mode(mode)
+    single = df.coalesce(1) if keep_order else df.repartition(1)
+    writer = (single.sortWithinPartitions(*order) if order else single).write.mode(mode)
     if fmt == "csv":
         writer.option("header", True).csv(path)
     elif fmt == "parquet":

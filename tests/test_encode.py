@@ -23,11 +23,13 @@ def test_one_hot_drops_the_first_or_the_named_category(one_column, by_id):
     assert by_id(first, "value_b") == [1, 0, 0, 0, 0]
     named = one_hot(df, "value", ["a", "b", "c"], reference="b", drop_original=False)
     assert named.columns == ["id", "value", "value_a", "value_c"]
-    assert one_hot(df, "value", ["a", "b"], reference="q").columns == ["id", "value_a", "value_b"]
+    assert one_hot(df, "value", ["a", "b"], reference=None).columns == ["id", "value_a", "value_b"]
+    with pytest.raises(ValueError, match="q is not among"):
+        one_hot(df, "value", ["a", "b"], reference="q")
 
 
 def test_dummies_and_reference_add_up(one_column):
-    df = one_hot(one_column(["a", "b", "c", "a"]), "value", ["a", "b", "c"], reference="none")
+    df = one_hot(one_column(["a", "b", "c", "a"]), "value", ["a", "b", "c"], reference=None)
     assert all(row.value_a + row.value_b + row.value_c == 1 for row in df.collect())
 
 

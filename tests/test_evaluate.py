@@ -91,12 +91,16 @@ def test_undefined_metrics(spark):
     assert no_negatives.specificity is None and no_negatives.tp == 1
 
 
-def test_missing_scores_are_not_positive(spark):
-    rows = [(1, None, 0), (0, float("nan"), 0), (1, 0.7, 1)]
+def test_missing_scores_take_no_part(spark):
+    rows = [(1, None, 0), (0, float("nan"), 0), (1, 0.7, 1), (0, 0.2, None), (None, 0.9, 1), (0, 0.1, 0)]
     m = ev.metrics_at_cutoff(frame(spark, rows), "y", "s").first()
-    assert (m.tp, m.fp, m.tn, m.fn) == (1, 0, 1, 1)
+    assert (m.tp, m.fp, m.tn, m.fn) == (1, 0, 2, 0)
     first = ev.cutoff_sweep(frame(spark, rows), "y", "s").orderBy("cutoff").first()
-    assert (first.sensitivity, first.specificity) == (0.5, 1.0)
+    assert (first.sensitivity, first.specificity) == (1.0, 0.0)
+    found = ev.evaluate(frame(spark, rows), "y", "s", "p")
+    summary = found["summary"].first()
+    assert (summary.tp, summary.fp, summary.tn, summary.fn, summary.n_missing) == (1, 0, 1, 0, 4)
+    assert summary.auc == 1.0 and sum(row["count"] for row in found["confusion"].collect()) == 2
 
 
 def test_sweep_equals_each_cutoff(spark):

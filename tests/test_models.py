@@ -141,9 +141,21 @@ def test_folds_share_out_every_class(spark):
         assert max(sizes) - min(sizes) <= 1
 
 
-def test_folds_need_classes(spark):
-    with pytest.raises(ValueError, match="more than 100 values"):
-        forest.stratified_folds(spark.range(500), "id", 5)
+def test_folds_of_many_classes(spark):
+    df = spark.range(1500).selectExpr("id % 500 AS y", "id")
+    folded = forest.stratified_folds(df, "y", 3).groupBy("y").agg({"fold": "collect_set"}).collect()
+    assert len(folded) == 500 and all(sorted(row[1]) == [0, 1, 2] for row in folded)
+
+
+def test_points_that_come_to_one_forest_are_fitted_once(spark, train, monkeypatch):
+    fitted = []
+    plain = forest._forest
+    monkeypatch.setattr(forest, "_forest", lambda *a: fitted.append(a[2]) or plain(*a))
+    grid = {"trees": [2], "depth": [2], "max_features": ["sqrt", "log2", "1"], "min_leaf": [1]}
+    _, table = forest.tune_forest(train, ["a", "b", "c"], "y", grid, folds=2)
+    rows = table.collect()
+    assert len(rows) == 3 and len({row.mean_f1 for row in rows}) == 1
+    assert len(fitted) == 2  # one point, and the stages it is put into
 
 
 def test_tuning_refits_the_best(spark, train):
@@ -154,3 +166,19 @@ def test_tuning_refits_the_best(spark, train):
     best = max(rows, key=lambda r: r.mean_f1)
     assert best.best and f"depth={model.stages[-1].getMaxDepth()}" in best.parameters
     assert all(0 <= r.mean_f1 <= 1 for r in rows)
+
+
+@pytest.mark.parametrize("merge", [True, False])
+def test_null_targets_take_no_part(spark, merge):
+    rows = [(float(i % 2), int((i * 7) % 10 < 3 + 4 * (i % 2)), 1.0) for i in range(200)]
+    more = rows + [(1.0, None, 1.0)] * 100 + [(0.0, 1, None)] * 50 + [(0.0, 1, 0.0)] * 50
+    schema = "x double, y int, w double"
+    clean, gaps = (
+        logit.fit_logit(spark.createDataFrame(r, schema), ["x"], "y", "w", merge_equal_rows=merge) for r in (rows, more)
+    )
+    left, right = (logit.logit_table(model).collect() for model in (clean, gaps))
+    assert [row.coef for row in left] == pytest.approx([row.coef for row in right])
+    with pytest.raises(ValueError, match="missing values in x"):
+        logit.fit_logit(spark.createDataFrame([*rows, (None, 1, 1.0)], schema), ["x"], "y", "w", merge_equal_rows=merge)
+    with pytest.raises(ValueError, match="known y"):
+        logit.fit_logit(spark.createDataFrame([(1.0, None, 1.0)], schema), ["x"], "y", "w", merge_equal_rows=merge)

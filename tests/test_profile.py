@@ -150,3 +150,17 @@ def test_calibration(spark):
     ).orderBy("lower").collect()
     assert [(r.n, r.observed) for r in found] == [(5, 0.0), (5, 1.0)]
     assert [r.predicted for r in found] == pytest.approx([0.2, 0.7])
+
+
+def test_many_small_ranges_and_blocks(spark, monkeypatch):
+    from psephos.operators import running
+
+    monkeypatch.setattr(running, "RANGES_PER_BLOCK", 7)
+    df = spark.range(50_000).selectExpr("CAST((id * 7919) % 50000 AS double) AS k", "id % 5 AS n").cache()
+    found = running_totals(df, "k", ["n"], following=True, rows_per_range=1_000).orderBy("k").collect()
+    total, expected = 0, []
+    values = [row.n for row in df.orderBy("k").collect()]
+    for i, n in enumerate(values):
+        total += n
+        expected.append((total, values[i + 1] if i + 1 < len(values) else None))
+    assert [(row.cum_n, row.next_n) for row in found] == expected

@@ -74,3 +74,16 @@ def test_a_cluster_must_name_the_folder():
 
     with pytest.raises(ValueError, match="spark.checkpoint.dir"):
         scratch_folder(Session(), "x")
+
+
+def test_other_column_order_in_one_folder_is_an_error(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("ANO;NOME\n2014;x\n", "latin-1")
+    (tmp_path / "b.csv").write_text("NOME;ANO\ny;2018\n", "latin-1")
+    with pytest.raises(Exception, match="(?i)header"):
+        read_extracts(spark, [str(tmp_path)], SCHEMA).collect()
+
+
+def test_reports_are_sorted_as_asked(spark, tmp_path):
+    df = spark.range(0, 1000, 1, 7).selectExpr("CAST((id * 37) % 1000 AS int) AS ANO", "'x' AS NOME")
+    path = write_report(df, str(tmp_path / "r"), fmt="csv", order=["ANO"])
+    assert [int(row["ANO"]) for row in spark.read.csv(path, header=True).collect()] == list(range(1000))
