@@ -358,7 +358,7 @@ ORACLES["normalise_score"] = """
 SELECT c_custkey, c_acctbal, round((c_acctbal - low) / (high - low + 1e-12), 9) AS score
 FROM customer, (SELECT min(c_acctbal) AS low, max(c_acctbal) AS high FROM customer)"""
 ORACLES["evaluate_summary"] = f"""
-SELECT tp, fp, tn, fn, {SHARES}, {BALANCED}, round(a, 9) AS auc, round(2 * a - 1, 9) AS gini
+SELECT tp, fp, tn, fn, {SHARES}, {BALANCED}, round(a, 9) AS auc, round(2 * a - 1, 9) AS gini, 0::BIGINT AS n_missing
 FROM {CELLS}, {area('score')}"""
 
 # ---------------------------------------------------------------- logit model
@@ -415,6 +415,28 @@ SELECT DS_CARGO, (DS_SIT_TOT_TURNO = 'ELEITO')::INTEGER AS DS_SIT_TOT_TURNO,
   (REGIAO = 'CENTRO-OESTE')::INTEGER AS REGIAO_CENTRO_OESTE, (REGIAO = 'NORDESTE')::INTEGER AS REGIAO_NORDESTE,
   (REGIAO = 'NORTE')::INTEGER AS REGIAO_NORTE, (REGIAO = 'SUL')::INTEGER AS REGIAO_SUL, count(*)::BIGINT AS n
 FROM {COHORT} GROUP BY ALL"""
+_PREDICTORS = [
+    "DS_GENERO", "DS_COR_RACA", "RELIGIOSOS", "SEGURANCA", "DS_GRAU_INSTRUCAO_2", "DS_GRAU_INSTRUCAO_3",
+    "FAIXA_ETARIA_2", "FAIXA_ETARIA_3", "FAIXA_ETARIA_4", "DS_ESTADO_CIVIL_CASADOA", "DS_ESTADO_CIVIL_OUTRO",
+    "ESPECTRO_POL_Direita", "ESPECTRO_POL_Esquerda", "REGIAO_CENTRO_OESTE", "REGIAO_NORDESTE",
+    "REGIAO_NORTE", "REGIAO_SUL",
+]
+ORACLES["office_logit_totals"] = f"""
+WITH f AS (SELECT * FROM ({ORACLES["feature_rows"]}) WHERE DS_CARGO = '{c.FEDERAL}'
+    AND ANO_ELEICAO IN ({", ".join(map(str, c.TRAIN_YEARS))})),
+w AS (SELECT sum(n) / (2 * sum(n) FILTER (DS_SIT_TOT_TURNO = 1)) AS w FROM f),
+s AS (SELECT sum(n) AS const, {", ".join(f"sum(n * {name}) AS {name}" for name in _PREDICTORS)}
+  FROM f WHERE DS_SIT_TOT_TURNO = 1)
+SELECT variable, round(total * w, 2) AS total FROM (UNPIVOT s ON COLUMNS(*) INTO NAME variable VALUE total), w"""
+_RULED = f"""(SELECT pred AS open, (quantity > 25)::INTEGER AS many, pred * (quantity > 25)::INTEGER AS wanted
+  FROM {LINES})"""
+ORACLES["forest_finds_rule"] = f"""
+SELECT open, many, wanted, wanted AS prediction, count(*)::BIGINT AS count FROM {_RULED} GROUP BY ALL"""
+ORACLES["forest_importance_of_one"] = """
+SELECT unnest(['open', 'many', 'tax', 'discount']) AS feature, unnest([1, 0, 0, 0])::DOUBLE AS importance"""
+ORACLES["forest_tuning_depth"] = """
+SELECT 'depth=' || depth || ', max_features=all, min_leaf=1, trees=20' AS parameters, depth = 2 AS best,
+  depth = 2 AS without_error FROM range(1, 3) AS r(depth)"""
 ORACLES["elected_by_year"] = f"""
 WITH e AS (SELECT * FROM {COHORT} WHERE DS_CARGO = '{c.STATE}' AND DS_SIT_TOT_TURNO = 'ELEITO'
     AND RELIGIOSOS + SEGURANCA > 0),

@@ -600,6 +600,19 @@ def office_logit(spark: SparkSession, folder: str) -> DataFrame:
     return logit.logit_table(logit.fit_logit(weighted, predictors, c.TARGET, "weight"))
 
 
+@query
+def office_logit_totals(spark: SparkSession, folder: str) -> DataFrame:
+    """At the optimum the weighted scores add up to the weighted positives, for each predictor."""
+    train, _, predictors = _features(spark, folder)
+    weighted = weights.balanced_weights(train, c.TARGET, "weight")
+    scored = logit.logit_scores(logit.fit_logit(weighted, predictors, c.TARGET, "weight"), weighted)
+    sums = scored.agg(
+        F.sum(F.col("weight") * F.col("score")).alias("const"),
+        *[F.sum(F.col("weight") * F.col("score") * F.col(name)).alias(name) for name in predictors],
+    )
+    return rounded(sums.unpivot([], sums.columns, "variable", "total"), 2, "total")
+
+
 @query
 def office_vif(spark: SparkSession, folder: str) -> DataFrame:
     train, _, predictors = _features(spark, folder)
@@ -621,6 +634,42 @@ def forest_importance(spark: SparkSession, folder: str) -> DataFrame:
     return forest.forest_importance(forest.fit_forest(train, predictors, c.TARGET, FOREST))
 
 
+def _ruled(spark: SparkSession, folder: str) -> tuple[DataFrame, list[str]]:
+    """Lines with a target that is set if two of their columns are."""
+    lines = scored_lines(spark, folder).select(
+        F.col("pred").alias("open"), (F.col("quantity") > 25).cast("int").alias("many"),
+        F.col("tax").cast("double").alias("tax"), F.col("score").cast("double").alias("discount"),
+    )
+    return lines.withColumn("wanted", F.col("open") * F.col("many")), ["open", "many", "tax", "discount"]
+
+
+@query
+def forest_finds_rule(spark: SparkSession, folder: str) -> DataFrame:
+    """The shipped forest, trying all predictors, predicts a rule on two columns without error."""
+    lines, predictors = _ruled(spark, folder)
+    model = forest.fit_forest(lines, predictors, "wanted", {**c.FOREST, "max_features": "all"})
+    return profile.count_by(forest.forest_scores(model, lines), ["open", "many", "wanted", "prediction"])
+
+
+@query
+def forest_importance_of_one(spark: SparkSession, folder: str) -> DataFrame:
+    """A predictor that is the target has all the importance."""
+    lines, predictors = _ruled(spark, folder)
+    model = forest.fit_forest(
+        lines.withColumn("target", F.col("open")), predictors, "target", {**c.FOREST, "max_features": "all"}
+    )
+    return rounded(forest.forest_importance(model), 9, "importance")
+
+
+@query
+def forest_tuning_depth(spark: SparkSession, folder: str) -> DataFrame:
+    """A target that needs two columns at once needs a depth of two."""
+    lines, predictors = _ruled(spark, folder)
+    grid = {"trees": [20], "depth": [1, 2], "max_features": ["all"], "min_leaf": [1]}
+    found = forest.tune_forest(lines, predictors, "wanted", grid)[1]
+    return found.select("parameters", "best", (F.col("mean_f1") == 1).alias("without_error"))
+
+
 @query
 def stratified_folds(spark: SparkSession, folder: str) -> DataFrame:
     """Rows per class and fold, which differ by one at most."""

@@ -23,9 +23,12 @@ def test_sql_belongs_to_queries():
 
 @pytest.mark.parametrize("name", sorted(SQL))
 def test_query_equals_sql(spark, database, name):
-    result = QUERIES[name](spark, FOLDER)
+    # On the smallest tables some predictors of the model do not vary.
+    larger = name == "office_logit_totals"
+    folder = FOLDER.replace("0.001", "0.01") if larger else FOLDER
+    result = QUERIES[name](spark, folder)
     rows = [tuple(row) for row in result.collect()]
-    sql = database.execute(SQL[name])
+    sql = (connect(folder) if larger else database).execute(SQL[name])
     names = [column[0] for column in sql.description]
     assert differences(rows, result.columns, sql.fetchall(), names) == ""
 
