@@ -5,7 +5,7 @@ rarest first; two sets as similar as asked for share an n-gram among the first f
 prefixes.  Classes that share a prefix n-gram are first compared with one hub of that n-gram,
 which settles groups of near copies in as many comparisons as they have members.  Larger loose
 groups meet random hubs in rounds.  What then lies in different components is compared pair by pair.  Before any text is fetched, pairs
-pass filters on length, on the places of the shared n-gram, and on the counts of the sets in 64
+pass filters on length, on the places of the shared n-gram, and on the counts of the sets in 256
 cells, which bound the overlap of the rest from above.  Each pair is verified once, exactly.
 
 How rare an n-gram is comes from a table of ``SLOTS`` counters over all documents; n-grams that
@@ -33,7 +33,7 @@ from psephos.sources import stored
 
 SLOTS = 1 << 24
 PARTS = 64
-CELLS = 64
+CELLS = 256
 #: A set of keys of at most so many rows is broadcast; beyond it both sides are shuffled.
 FEW = 200_000
 #: Random classes that each class of a crowded n-gram meets in one round.  Rounds go on while there are more pairs
@@ -79,17 +79,17 @@ def sets(texts: Texts, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return owners, values, np.searchsorted(owners, np.arange(len(texts) + 1))
 
 
-def signatures(values: np.ndarray, bounds: np.ndarray) -> list[bytes]:
-    """128 bits that identify each set."""
-    low = sums_between(mixed(values).view(np.int64), bounds)
-    high = sums_between(mixed(values * _U(0x9FB21C651E98DF25) + _U(77)).view(np.int64), bounds)
-    return [x.tobytes() for x in np.stack([low, high], axis=1)]
+def signatures(values: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """64 bits that identify each set: two sums over its members, scrambled together."""
+    low = sums_between(mixed(values).view(np.int64), bounds).view(np.uint64)
+    high = sums_between(mixed(values * _U(0x9FB21C651E98DF25) + _U(77)).view(np.int64), bounds).view(np.uint64)
+    return (mixed(low) ^ mixed(high + _U(0x632BE59BD9B4E019))).view(np.int64)
 
 
 def cell_counts(owners: np.ndarray, values: np.ndarray, n: int) -> np.ndarray:
-    """How many members of each set fall into each cell, at most 65535."""
+    """How many members of each set fall into each cell, at most 255."""
     cells = np.bincount(owners * CELLS + (values & _U(CELLS - 1)).astype(np.int64), minlength=n * CELLS)
-    return np.minimum(cells, 65535).astype(np.uint16).reshape(n, CELLS)
+    return np.minimum(cells, 255).astype(np.uint8).reshape(n, CELLS)
 
 
 def described(docs: DataFrame, measure: Measure) -> DataFrame:
@@ -98,7 +98,7 @@ def described(docs: DataFrame, measure: Measure) -> DataFrame:
     Rows of documents have id, place (a hash of the text), n, sig and cells; rows of counters part and counts.
     """
     schema = pa.schema([
-        ("id", pa.int64()), ("place", pa.int64()), ("n", pa.int64()), ("sig", pa.binary()), ("cells", pa.binary()),
+        ("id", pa.int64()), ("place", pa.int64()), ("n", pa.int64()), ("sig", pa.int64()), ("cells", pa.binary()),
         ("part", pa.int32()), ("counts", pa.binary()),
     ])
 
@@ -120,7 +120,7 @@ def described(docs: DataFrame, measure: Measure) -> DataFrame:
         yield columns(schema, id=none, place=none, n=none, sig=none, cells=none, part=np.arange(PARTS), counts=parts)
 
     rows = docs.select("id", "text", place("text").alias("place"))
-    return rows.mapInArrow(run, "id long, place long, n long, sig binary, cells binary, part int, counts binary")
+    return rows.mapInArrow(run, "id long, place long, n long, sig long, cells binary, part int, counts binary")
 
 
 def frequencies(counters: DataFrame) -> np.ndarray:
@@ -145,7 +145,7 @@ def frequencies(counters: DataFrame) -> np.ndarray:
 def postings(docs: DataFrame, measure: Measure, scale: np.ndarray) -> DataFrame:
     """(token, sig, n, pos): the prefix of the set of every document, ``pos`` from 0."""
     shared = docs.sparkSession.sparkContext.broadcast(scale)  # SLOTS bytes
-    schema = pa.schema([("token", pa.int64()), ("sig", pa.binary()), ("n", pa.int32()), ("pos", pa.int32())])
+    schema = pa.schema([("token", pa.int64()), ("sig", pa.int64()), ("n", pa.int32()), ("pos", pa.int32())])
 
     def work(block: pa.RecordBatch) -> pa.RecordBatch:
         owners, values, bounds = sets(Texts(block.column("text"), lower=True), measure.words)
@@ -153,10 +153,10 @@ def postings(docs: DataFrame, measure: Measure, scale: np.ndarray) -> DataFrame:
         order = np.lexsort((values, shared.value[(values >> _U(40)).astype(np.int64)], owners))
         pos = np.arange(len(values)) - bounds[owners]
         kept = pos < measure.prefix(sizes)[owners]
-        sig = pa.array(signatures(values, bounds), pa.binary()).take(pa.array(owners[kept]))
+        sig = signatures(values, bounds)[owners[kept]]
         return columns(schema, token=values[order][kept].view(np.int64), sig=sig, n=sizes[owners[kept]], pos=pos[kept])
 
-    return by_block(docs.select("text"), "text", "token long, sig binary, n int, pos int", work)
+    return by_block(docs.select("text"), "text", "token long, sig long, n int, pos int", work)
 
 
 def within_reach(measure: Measure, left: str, right: str) -> Column:
@@ -192,16 +192,16 @@ def cell_filter(pairs: DataFrame, classes: DataFrame, measure: Measure) -> DataF
         for batch in batches:
             if batch.num_rows:
                 x, y = (
-                    np.frombuffer(b"".join(batch.column(name).to_pylist()), np.uint16).reshape(-1, CELLS).astype(np.int32)
+                    np.frombuffer(b"".join(batch.column(name).to_pylist()), np.uint8).reshape(-1, CELLS).astype(np.int16)
                     for name in ("cells_a", "cells_b")
                 )
                 n, m = (np.asarray(batch.column(name)) for name in ("n_a", "n_b"))
-                apart = np.abs(x - y).sum(axis=1)
+                apart = np.abs(x - y).sum(axis=1, dtype=np.int64)
                 fits = apart <= n + m - 2 * measure.overlap(n, m)
                 yield batch.select(kept).filter(pa.array(fits))
 
     joined = pairs.join(classes.select(named["a"]), "a").join(classes.select(named["b"]), "b")
-    return joined.mapInArrow(run, "a binary, b binary, id_a long, place_a long, id_b long, place_b long")
+    return joined.mapInArrow(run, "a long, b long, id_a long, place_a long, id_b long, place_b long")
 
 
 def verified(pairs: DataFrame, docs: DataFrame, measure: Measure) -> DataFrame:
@@ -233,7 +233,7 @@ def verified(pairs: DataFrame, docs: DataFrame, measure: Measure) -> DataFrame:
             linked[i] = 100 * both >= measure.percent * (len(own) + len(theirs) - both)
         return block.select(["a", "b"]).filter(pa.array(linked))
 
-    return by_block(joined, "text", "a binary, b binary", work, BLOCK_BYTES)
+    return by_block(joined, "text", "a long, b long", work, BLOCK_BYTES)
 
 
 def open_postings(shared: DataFrame, under: DataFrame) -> tuple[DataFrame, int]:
@@ -241,7 +241,7 @@ def open_postings(shared: DataFrame, under: DataFrame) -> tuple[DataFrame, int]:
 
     Also by how many the pairs across roots exceed ``HUBS`` for each posting.
     """
-    placed = stored(shared.join(under, "sig", "left").select("token", "sig", "n", "pos", F.coalesce("root", "sig").alias("root")))
+    placed = shared.join(under, "sig", "left").select("token", "sig", "n", "pos", F.coalesce("root", "sig").alias("root"))
     counts = placed.groupBy("token", "root").agg(F.count(F.lit(1)).alias("members"))
     crowded = stored(
         counts.groupBy("token").agg(
@@ -277,14 +277,15 @@ def join_classes(docs: DataFrame, measure: Measure) -> tuple[DataFrame, DataFram
         ).select("sig", "n", "cells", "size", "first.id", "first.place")
     )
 
-    every = stored(postings(docs, measure, scale))
-    hubs = stored(
-        every.groupBy("token").agg(F.min(F.struct("sig", "n", "pos")).alias("hub"), F.max("sig").alias("last"))
-        .filter("hub.sig <> last").select("token", "hub")
-    )
-    shared = stored(every.join(hubs, "token").distinct())  # classes that share a token, once each
-    to_hub = shared.alias("x").filter("sig <> hub.sig").filter(within_reach(measure, "x", "hub"))
-    pairs = stored(to_hub.select(F.col("sig").alias("a"), F.col("hub.sig").alias("b")).distinct())
+    # The prefixes are computed twice rather than stored: most of their tokens are nobody else's.
+    every = postings(docs, measure, scale)
+    tokens = every.groupBy("token").agg(F.min("sig").alias("hub"), F.max("sig").alias("last"))
+    tokens = stored(tokens.filter("hub <> last").select("token", "hub"))
+    shared = stored(every.join(tokens, "token").distinct())  # classes that share a token, once each
+    hubs = stored(shared.filter("sig = hub").select("token", "sig", "n", "pos"))
+    met = shared.filter("sig <> hub").alias("x").join(hubs.alias("y"), F.col("x.token") == F.col("y.token"))
+    met = met.filter(within_reach(measure, "x", "y"))
+    pairs = stored(met.select(F.col("x.sig").alias("a"), F.col("y.sig").alias("b")).distinct())
     links = stored(verified(stored(cell_filter(pairs, classes, measure)), docs, measure))
 
     # Classes under one hub are settled, and so are those under its own hub.
