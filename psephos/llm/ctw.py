@@ -54,7 +54,7 @@ def context_codes(data: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     place = np.arange(n) - np.repeat(bounds[:-1], np.diff(bounds))
     for d in range(1, DEPTH + 1):
         before = np.full(n, 0x0A, np.uint64)
-        before[d:] = data[: n - d]
+        before[d:] = data[: max(n - d, 0)]
         before[place < d] = 0x0A
         codes |= before << _U(8 * (DEPTH - d + 1))
     return codes
