@@ -33,7 +33,8 @@ from psephos.sources import stored
 DEPTH = 5
 #: Bytes of text that share one request for code lengths.
 BLOCK = 32 << 20
-_STEP = 4 << 20
+_STEP = 1 << 20
+_CHUNK = 1 << 16
 _U = np.uint64
 _LOG2 = float(np.log(2))
 
@@ -50,16 +51,44 @@ TEXT, GRAMS, WORDS = 0, 1, 2
 def context_codes(data: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     """For each byte: its context, the nearest byte highest, and the byte itself lowest."""
     n = len(data)
-    codes = data.astype(np.uint64)
-    place = np.arange(n) - np.repeat(bounds[:-1], np.diff(bounds))
-    for d in range(1, DEPTH + 1):
-        before = np.full(n, 0x0A, np.uint64)
-        before[d:] = data[: max(n - d, 0)]
-        before[place < d] = 0x0A
-        codes |= before << _U(8 * (DEPTH - d + 1))
+    padded = np.concatenate([np.full(DEPTH, 0x0A, np.uint8), data])
+    codes = np.empty(n, np.uint64)
+    shifts = [_U(8 * (DEPTH - d + 1)) for d in range(1, DEPTH + 1)]
+    for i in range(0, n, _CHUNK):
+        j = min(i + _CHUNK, n)
+        part = padded[i + DEPTH : j + DEPTH].astype(np.uint64)
+        for d, shift in enumerate(shifts, 1):
+            part |= padded[i + DEPTH - d : j + DEPTH - d].astype(np.uint64) << shift
+        codes[i:j] = part
+    # The first bytes of a text have line feeds before them, not the text before.
+    for k in range(DEPTH):
+        at = bounds[:-1][np.diff(bounds) > k] + k
+        for shift in shifts[k:]:
+            codes[at] = codes[at] & ~(_U(0xFF) << shift) | (_U(0x0A) << shift)
     return codes
 
 
+def counted(codes: np.ndarray, learnt: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct codes in order, and how often each is among those learnt."""
+    mine = np.sort(codes[learnt])
+    first = np.flatnonzero(np.append(True, mine[1:] != mine[:-1])) if len(mine) else np.zeros(0, np.int64)
+    others = np.sort(codes[~learnt])
+    others = others[np.append(True, others[1:] != others[:-1])] if len(others) else others
+    times = np.diff(np.append(first, len(mine))).astype(np.float64)
+    return summed(np.concatenate([mine[first], others]), np.concatenate([times, np.zeros(len(others))]))
+
+
+def looked_up(table: np.ndarray, values: np.ndarray, codes: np.ndarray) -> np.ndarray:
+    """The value of each code; codes are looked up in order, piece by piece, as that is far faster."""
+    out = np.empty(len(codes))
+    for i in range(0, len(codes), _CHUNK):
+        part = codes[i : i + _CHUNK]
+        # A code has 48 bits, which leaves 16 for its place in the piece.
+        order = np.sort(part << _U(16) | np.arange(len(part), dtype=np.uint64))
+        out[i + (order & _U(0xFFFF)).astype(np.int64)] = values[np.searchsorted(table, order >> _U(16))]
+    return out
+
+
 def stream_words(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of the words of byte sequences, and how many words each sequence has."""
     texts = Texts.__new__(Texts)
@@ -102,10 +131,9 @@ def blocked(docs: DataFrame) -> DataFrame:
                     number, size, grams, words = number + 1, 0, [], []
                 size += len(data)
                 held = np.asarray(part.column("held_out").to_pylist(), bool)
-                codes = context_codes(data, bounds)
-                grams.append(summed(codes, np.repeat((~held).astype(np.float64), np.diff(bounds))))
+                grams.append(counted(context_codes(data, bounds), np.repeat(~held, np.diff(bounds))))
                 hashes, own = stream_words(data, bounds)
-                words.append(summed(hashes, np.repeat((~held).astype(np.float64), own)))
+                words.append(counted(hashes, np.repeat(~held, own)))
                 n = part.num_rows
                 none = pa.nulls(n)
                 yield columns(
@@ -327,23 +355,19 @@ def score(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", held_out:
         kind = np.asarray(served.column("kind").to_numpy())
         values = []
         for number, dtype in ((GRAMS, "<f4"), (WORDS, "<f8")):
-            own = served.filter(pa.array(kind == number)).column("found").combine_chunks()
-            own = pa.concat_arrays(own.chunks) if isinstance(own, pa.ChunkedArray) else own
-            values.append(unpacked(own, dtype)[0].astype(np.float64) if len(own) else np.zeros(0))
+            own = served.filter(pa.array(kind == number)).combine_chunks().to_batches()
+            if own:
+                values.append((unpacked(own[0].column("codes"), "<u8")[0], unpacked(own[0].column("found"), dtype)[0].astype(np.float64)))
+            else:
+                values.append((np.zeros(0, np.uint64), np.zeros(0)))
         batches = [part for batch in mine.to_batches() for part in blocks(batch, "stream", _STEP)]
-        parts = []
+        out = []
         for part in batches:
             data, sizes = unpacked(part.column("stream"), "u1")
             bounds = np.append(0, np.cumsum(sizes))
-            parts.append((part, bounds, data))
-        gram_table = distinct(context_codes(data, bounds) for _, bounds, data in parts)
-        word_table = distinct(stream_words(data, bounds)[0] for _, bounds, data in parts)
-        out = []
-        for part, bounds, data in parts:
-            bytes_ = values[0][np.searchsorted(gram_table, context_codes(data, bounds))]
-            whole = sums_between(bytes_, bounds)
+            whole = sums_between(looked_up(*values[0], context_codes(data, bounds)), bounds)
             hashes, counts = stream_words(data, bounds)
-            seen = values[1][np.searchsorted(word_table, hashes)]
+            seen = values[1][1][np.searchsorted(values[1][0], hashes)]
             at = np.append(0, np.cumsum(counts))
             base = sums_between(np.log10(seen + 1), at) + np.log10(ends + 1) - (counts + 1) * np.log10(total)
             n_known = sums_between((seen > 0).astype(np.int64), at) + int(ends > 0)
@@ -354,19 +378,13 @@ def score(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", held_out:
             ))
         return pa.Table.from_batches(out, schema)
 
-    served = lengths.unionByName(known).select("block", "kind", "key", "found")
+    served = lengths.unionByName(known).select("block", "kind", "key", "codes", "found")
     return texts.groupBy("block").cogroup(served.groupBy("block")).applyInArrow(
         finish,
         "id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, bits_per_byte double",
     )
 
 
-def distinct(codes: Iterator[np.ndarray]) -> np.ndarray:
-    """The distinct codes of all arrays, in order."""
-    parts = [np.unique(x) for x in codes]
-    return np.unique(np.concatenate(parts)) if parts else np.zeros(0, np.uint64)
-
-
 def known_codes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         sums, _ = unpacked(batch.column("sums"), "<f8")
