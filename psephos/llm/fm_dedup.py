@@ -41,8 +41,6 @@ ANCHOR = 8
 RUN = WINDOW - ANCHOR + 1
 CLASSES = 2000
 SHARD_WORDS = 400_000
-#: Tables of at most so many rows are broadcast to the texts; beyond it both sides are shuffled.
-FEW = 200_000
 
 _U = np.uint64
 NO_ID = (1 << 63) - 1
@@ -232,19 +230,14 @@ def scanned(docs: DataFrame) -> DataFrame:
     return by_block(docs, "text", "id long, place long, n_words long, sha256 string, anchor long, seg long, low int, n int", work)
 
 
-def with_texts(docs: DataFrame, rows: DataFrame, items: str) -> DataFrame:
-    """``rows`` (stored; id, place, an array) with the text of their document, one row each."""
-    size = rows.agg(F.sum(F.size(items) + 1)).first()[0] or 0
-    rows = F.broadcast(rows) if size <= FEW else rows
-    return docs.join(rows, ["id", "place"])
-
-
 def segment_words(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(anchor, seg, first, words) of each class of ``wanted`` (id, place, anchor, seg, low, n)."""
-    lists = stored(wanted.groupBy("id", "place").agg(F.collect_list(F.struct("anchor", "seg", "low", "n")).alias("items")))
+    """(anchor, seg, first, classes, words) of each class of ``wanted`` (id, place, anchor, seg, low, n, classes)."""
+    items = F.collect_list(F.struct("anchor", "seg", "low", "n", "classes")).alias("items")
     # Rows that are equal in id and text give the same words; the index takes them as one.
-    rows = with_texts(docs, lists, "items")
-    schema = pa.schema([("anchor", pa.int64()), ("seg", pa.int64()), ("first", pa.int64()), ("words", pa.binary())])
+    rows = docs.join(wanted.groupBy("id", "place").agg(items), ["id", "place"])
+    schema = pa.schema([
+        ("anchor", pa.int64()), ("seg", pa.int64()), ("first", pa.int64()), ("classes", pa.int64()), ("words", pa.binary()),
+    ])
 
     def work(block: pa.RecordBatch) -> pa.RecordBatch:
         words = Texts(block.column("text")).words()
@@ -259,10 +252,10 @@ def segment_words(docs: DataFrame, wanted: DataFrame) -> DataFrame:
         at = np.arange(bounds[-1]) - np.repeat(bounds[:-1] - low, length)
         return columns(
             schema, anchor=flat.field("anchor"), seg=flat.field("seg"), first=np.asarray(block.column("id"))[row],
-            words=packed(hashes[at], bounds),
+            classes=flat.field("classes"), words=packed(hashes[at], bounds),
         )
 
-    return by_block(rows, "text", "anchor long, seg long, first long, words binary", work)
+    return by_block(rows, "text", "anchor long, seg long, first long, classes long, words binary", work)
 
 
 RANGES = "anchor long, seg long, ranges array<struct<low:int,high:int>>"
@@ -336,12 +329,13 @@ def removed(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Data
     shared = stored(classes.join(stored(anchors), "anchor").drop("least", "most"))
     several = shared.filter("classes > 1").select("id", "place", "anchor", "seg", "low", "n", "classes")
 
-    plain = stored(segment_words(docs, several.filter(F.col("classes") <= CLASSES)))
+    fetched = stored(segment_words(docs, several))
+    plain = fetched.filter(F.col("classes") <= CLASSES)
     total = plain.agg(F.sum(F.length("words"))).first()[0] or 0
     shards = max(1, -(-total // (8 * SHARD_WORDS)))
     indexed = plain.withColumn("shard", F.pmod(F.xxhash64("anchor"), F.lit(shards))).groupBy("shard")
     by_index = indexed.applyInArrow(lambda table: search_shard(table.select(["anchor", "seg", "first", "words"])), RANGES)
-    crowded = search_windows(segment_words(docs, several.filter(F.col("classes") > CLASSES)))
+    crowded = search_windows(fetched.filter(F.col("classes") > CLASSES))
     ranges = stored(by_index.unionByName(crowded))
 
     known = stored(shared.select("anchor", "seg", F.col("id").alias("first"), "last").join(ranges, ["anchor", "seg"], "left")
@@ -377,7 +371,7 @@ def removed(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Data
             counts.append(int(gone[a:b].sum()))
         return columns(schema, id=block.column("id"), n_words=words.counts, n_removed=counts, kept_sha256=sha)
 
-    changed = by_block(with_texts(docs, cuts, "cuts"), "text", "id long, n_words long, n_removed long, kept_sha256 string", work)
+    changed = by_block(docs.join(cuts, ["id", "place"]), "text", "id long, n_words long, n_removed long, kept_sha256 string", work)
     keys = cuts.select("id", "place")
     same = wholes.join(keys, ["id", "place"], "left_anti")
     same = same.select("id", "n_words", F.lit(0).cast("long").alias("n_removed"), F.col("sha256").alias("kept_sha256"))

@@ -23,9 +23,8 @@ def test_removed_words_equal_a_table_of_windows(spark, monkeypatch, classes):
     assert ordered(found.collect()) == ordered(without_repeats(rows))
 
 
-def test_many_shards_and_no_broadcast(spark, monkeypatch):
+def test_many_shards(spark, monkeypatch):
     monkeypatch.setattr(fm_dedup, "SHARD_WORDS", 500)
-    monkeypatch.setattr(fm_dedup, "FEW", 0)
     rows = passages()
     assert ordered(fm_dedup.removed(table(spark, rows)).collect()) == ordered(without_repeats(rows))
 
