@@ -356,18 +356,20 @@ def score(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", held_out:
         values = []
         for number, dtype in ((GRAMS, "<f4"), (WORDS, "<f8")):
             own = served.filter(pa.array(kind == number)).combine_chunks().to_batches()
-            if own:
-                values.append((unpacked(own[0].column("codes"), "<u8")[0], unpacked(own[0].column("found"), dtype)[0].astype(np.float64)))
-            else:
-                values.append((np.zeros(0, np.uint64), np.zeros(0)))
+            values.append(unpacked(own[0].column("found"), dtype)[0].astype(np.float64) if own else np.zeros(0))
         batches = [part for batch in mine.to_batches() for part in blocks(batch, "stream", _STEP)]
-        out = []
+        parts = []
         for part in batches:
             data, sizes = unpacked(part.column("stream"), "u1")
-            bounds = np.append(0, np.cumsum(sizes))
-            whole = sums_between(looked_up(*values[0], context_codes(data, bounds)), bounds)
+            parts.append((part, np.append(0, np.cumsum(sizes)), data))
+        # The values come in the order of the block's distinct codes.
+        grams_ = distinct(context_codes(data, bounds) for _, bounds, data in parts)
+        words_ = distinct(stream_words(data, bounds)[0] for _, bounds, data in parts)
+        out = []
+        for part, bounds, data in parts:
+            whole = sums_between(looked_up(grams_, values[0], context_codes(data, bounds)), bounds)
             hashes, counts = stream_words(data, bounds)
-            seen = values[1][1][np.searchsorted(values[1][0], hashes)]
+            seen = values[1][np.searchsorted(words_, hashes)]
             at = np.append(0, np.cumsum(counts))
             base = sums_between(np.log10(seen + 1), at) + np.log10(ends + 1) - (counts + 1) * np.log10(total)
             n_known = sums_between((seen > 0).astype(np.int64), at) + int(ends > 0)
@@ -378,13 +380,24 @@ def score(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", held_out:
             ))
         return pa.Table.from_batches(out, schema)
 
-    served = lengths.unionByName(known).select("block", "kind", "key", "codes", "found")
+    served = lengths.unionByName(known).select("block", "kind", "key", "found")
     return texts.groupBy("block").cogroup(served.groupBy("block")).applyInArrow(
         finish,
         "id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, bits_per_byte double",
     )
 
 
+def distinct(codes: Iterator[np.ndarray]) -> np.ndarray:
+    """The distinct codes of all arrays, in order."""
+
+    def once(x: np.ndarray) -> np.ndarray:
+        x = np.sort(x)
+        return x[np.append(True, x[1:] != x[:-1])] if len(x) else x
+
+    parts = [once(x) for x in codes]
+    return once(np.concatenate(parts)) if parts else np.zeros(0, np.uint64)
+
+
 def known_codes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         sums, _ = unpacked(batch.column("sums"), "<f8")

@@ -103,12 +103,12 @@ def merged(rows: DataFrame, groups: int) -> DataFrame:
 
 
 def answers(requests: DataFrame, table: DataFrame, groups: int, dtype: str) -> DataFrame:
-    """(key, block, codes, found): the value of each code of each request (key, block, codes).
+    """(key, block, found): the value of each code of each request (key, block, codes), in the same order.
 
     ``table`` has one row per key (key, codes, found as ``dtype``), and every code that is asked for.
     A key that every block asks for is served in ``groups`` places.
     """
-    schema = pa.schema([("key", pa.int64()), ("block", pa.int64()), ("codes", pa.binary()), ("found", pa.binary())])
+    schema = pa.schema([("key", pa.int64()), ("block", pa.int64()), ("found", pa.binary())])
 
     def serve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last = None
@@ -132,8 +132,7 @@ def answers(requests: DataFrame, table: DataFrame, groups: int, dtype: str) -> D
                 wanted, lengths = unpacked(rows.column("codes"), "<u8")
                 bounds = np.append(0, np.cumsum(lengths))
                 out = values[np.searchsorted(codes, wanted)]
-                values_ = {name: rows.column(name) for name in ("key", "block", "codes")}
-                yield columns(schema, found=packed(out, bounds), **values_)
+                yield columns(schema, key=rows.column("key"), block=rows.column("block"), found=packed(out, bounds))
 
     salts = F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("salt")
     served = table.select("key", F.lit(None).cast("long").alias("block"), "codes", "found", F.lit(0).alias("kind"), salts)
@@ -142,4 +141,4 @@ def answers(requests: DataFrame, table: DataFrame, groups: int, dtype: str) -> D
         F.pmod(F.hash("block"), F.lit(groups)).alias("salt"),
     )
     both = served.unionByName(asking).repartition("key", "salt").sortWithinPartitions("key", "kind", "salt")
-    return both.select("key", "block", "codes", "found", "kind").mapInArrow(serve, "key long, block long, codes binary, found binary")
+    return both.select("key", "block", "codes", "found", "kind").mapInArrow(serve, "key long, block long, found binary")
