@@ -1,8 +1,10 @@
 """License scans by ordered signature rules.
 
 A rule is a label, a priority, the keywords that gate it and a regular expression over the
-normalised text: lower-case words joined by single blanks.  Keywords are found for a
-whole block of texts by the hashes of their words, so that an expression runs only on texts
+normalised text: lower-case words joined by single blanks.  A gate holds only keywords that every match
+of its expression contains; keywords parted by a slash stand for one another.  Keywords are found for a
+whole block of texts by the hashes of their runs of ASCII letters and digits, as an expression also
+matches next to quotes and dashes beyond ASCII, so that it runs only on texts
 that hold all its keywords.  Where detections overlap, one that lies within another of higher
 priority, or of the same priority and greater length, is suppressed.
 
@@ -65,7 +67,7 @@ boost-1.0       | boost      | boost software licen[sc]e | bsl 1 0
 artistic-1.0    | artistic   | artistic licen[sc]e(?: version)? 1 0 | artistic 1 0
 artistic-2.0    | artistic   | artistic licen[sc]e(?: version)? 2 0 | artistic 2 0
 artistic        | artistic   | artistic licen[sc]e | artistic
-python-2.0      | python     | (?:psf|python(?: software foundation)?) licen[sc]e | psf 2 0
+python-2.0      | python/psf | (?:psf|python(?: software foundation)?) licen[sc]e | psf 2 0
 ruby            | ruby       | ruby licen[sc]e | ruby
 php-3.0         | php        | php licen[sc]e | php 3 0
 perl            | perl       | same terms as perl(?: itself)? | perl
@@ -106,14 +108,14 @@ isc             | 80 | permission fee      | permission to use copy modify and (
 bsd             | 70 | redistribution      | redistribution and use in source and binary forms with or without modification are permitted
 bsd-3-clause    | 75 | endorse             | neither the names? of .{1,120}? may be used to endorse or promote products
 bsd-4-clause    | 75 | advertising         | all advertising materials mentioning features or use of this software
-warranty        | 30 | warranty            | (?:provided|distributed) .{0,80}?(?:as is )?without (?:any )?warrant(?:y|ies)
+warranty        | 30 | warranty/warranties | (?:provided|distributed) .{0,80}?(?:as is )?without (?:any )?warrant(?:y|ies)
 warranty        | 30 | warranties          | without warranties or conditions of any kind
 zlib            | 70 | implied             | provided as is without any express or implied warranty
 apache-2.0      | 75 | compliance          | you may not use this file except in compliance with the licen[sc]e
 gpl             | 60 | redistribute        | you can redistribute it and or modify it under the terms of the gnu general public licen[sc]e
 lgpl            | 65 | redistribute        | you can redistribute it and or modify it under the terms of the gnu lesser general public licen[sc]e
 agpl            | 65 | redistribute        | you can redistribute it and or modify it under the terms of the gnu affero general public licen[sc]e
-mpl-2.0         | 75 | mpl                 | subject to the terms of the mozilla public licen[sc]e v 2 0
+mpl-2.0         | 75 | mozilla             | subject to the terms of the mozilla public licen[sc]e v 2 0
 unlicense       | 75 | unencumbered        | free and unencumbered software released into the public domain
 public-domain   | 50 | domain              | (?:released|placed|dedicated) (?:in|into|to) the public domain
 public-domain   | 35 | domain              | (?:in the|is) public domain
@@ -134,11 +136,46 @@ reserved        | 40 | droits              | tous droits r[ée]serv[ée]s
 reserved        | 40 | derechos            | todos los derechos reservados
 copyright       | 20 | copyright           | copyright (?:c |© )?(?:19|20)\d\d
 copyright       | 15 | copyrighted         | copyrighted (?:material|work)
-eula            | 45 | eula                | (?:end user licen[sc]e agreement|eula)
+eula            | 45 | user agreement      | end user licen[sc]e agreement
+eula            | 45 | eula                | eula
 tos             | 30 | terms               | (?:terms of (?:service|use) apply|subject to the terms of (?:service|use))
 gpl             | 38 | general             | general public licen[sc]e
 """
 
+# Links as their hosts write them: label, gating words, expression.  Written by hand.
+LINKS = r"""
+apache-2.0      | apache license      | apache org licenses license 2 0
+apache-1.1      | apache license      | apache org licenses license 1 1
+gpl             | gnu licenses        | gnu org licenses (?:old licenses )?gpl
+gpl             | gnu copyleft        | gnu org copyleft gpl
+gpl-1.0         | gnu licenses        | gnu org licenses (?:old licenses )?gpl 1 0
+gpl-2.0         | gnu licenses        | gnu org licenses old licenses gpl 2 0
+lgpl            | gnu licenses        | gnu org licenses (?:old licenses )?lgpl
+lgpl            | gnu copyleft        | gnu org copyleft (?:lesser|lgpl)
+lgpl-2.1        | gnu licenses        | gnu org licenses old licenses lgpl 2 1
+agpl            | gnu licenses        | gnu org licenses agpl
+fdl             | gnu licenses        | gnu org licenses (?:old licenses )?fdl(?: 1 \d)?
+fdl             | gnu copyleft        | gnu org copyleft fdl
+mpl-1.1         | mozilla mpl         | mozilla org (?:en us )?mpl (?:mpl )?1 1
+mpl-2.0         | mozilla mpl         | mozilla org (?:en us )?mpl 2 0
+mpl             | mozilla mpl         | mozilla org (?:en us )?mpl
+epl-1.0         | eclipse legal       | eclipse org (?:org )?legal epl (?:v10|1 0)
+epl-2.0         | eclipse legal       | eclipse org (?:org )?legal epl (?:v20|2 0)
+edl             | eclipse edl         | eclipse org (?:org )?(?:legal|documents) edl
+boost-1.0       | boost license       | boost org license 1 0
+php-3.0         | php license         | php net license 3 0\d?
+ofl-1.1         | sil ofl             | scripts sil org ofl
+odbl            | opendatacommons     | opendatacommons org licenses odbl(?: 1 0)?
+odc-by          | opendatacommons     | opendatacommons org licenses by(?: 1 0)?
+cc0             | creativecommons zero | creativecommons org publicdomain zero(?: 1 0)?
+cc-by           | creativecommons by  | creativecommons org licenses by(?: \d \d)?
+cc-by-sa        | creativecommons sa  | creativecommons org licenses by sa(?: \d \d)?
+cc-by-nc        | creativecommons nc  | creativecommons org licenses by nc(?: \d \d)?
+cc-by-nd        | creativecommons nd  | creativecommons org licenses by nd(?: \d \d)?
+cc-by-nc-sa     | creativecommons sa  | creativecommons org licenses by nc sa(?: \d \d)?
+cc-by-nc-nd     | creativecommons nd  | creativecommons org licenses by nc nd(?: \d \d)?
+"""
+
 
 @dataclass(frozen=True)
 class Rule:
@@ -146,35 +183,53 @@ class Rule:
     priority: int
     keywords: tuple[str, ...]
     expression: re.Pattern[str]
+    either: tuple[str, ...] = ()  # keywords of which one is enough
+
+    def passes(self, present: set[str]) -> bool:
+        """Whether the gate lets a text with these keywords through."""
+        return present.issuperset(self.keywords) and (not self.either or not present.isdisjoint(self.either))
+
+
+def _rule(label: str, priority: int, gate: str, expression: str) -> Rule:
+    words = gate.split()
+    either = tuple(word for group in words if "/" in group for word in group.split("/"))
+    return Rule(label, priority, tuple(word for word in words if "/" not in word), re.compile(rf"\b(?:{expression})\b"), either)
 
 
 def _split(table: str) -> list[list[str]]:
-    """Rows of four cells; only blanks around a bar part cells, as expressions hold bars too."""
+    """Rows of cells; only blanks around a bar part cells, as expressions hold bars too."""
     return [[cell.strip() for cell in re.split(r"\s+\|\s+", line.strip())] for line in table.splitlines() if line.strip()]
 
 
 def all_rules() -> list[Rule]:
-    """The clauses, and four forms of each family: identifier, notice, name, link."""
+    """The clauses, the links of single hosts, and five forms of each family: identifier, notice, name, two links."""
     rules = []
-    for label, priority, keywords, expression in _split(CLAUSES):
-        rules.append(Rule(label, int(priority), tuple(keywords.split()), re.compile(rf"\b(?:{expression})\b")))
+    for label, priority, gate, expression in _split(CLAUSES):
+        rules.append(_rule(label, int(priority), gate, expression))
+    for label, gate, expression in _split(LINKS):
+        rules.append(_rule(label, 60 + _version(label), gate, expression))
     for label, word, name, tag in _split(FAMILIES):
-        version = 5 if re.search(r"\d", label) else 0
+        version = _version(label)
         first = tag.split()[0]
         forms = [
-            (90 + version, ("spdx", first), rf"spdx licen[sc]e identifier {tag}(?: only| or later)?"),
-            (70 + version, (word,), rf"(?:licen[sc]ed|released|distributed|available|published) under (?:the )?(?:terms of )?(?:the )?(?:{name})"),
-            (50 + version, (word,), rf"(?:{name})"),
-            (60 + version, ("licenses", first), rf"(?:opensource|spdx|gnu|apache|creativecommons|choosealicense) (?:org|com) licenses {tag}"),
+            (90 + version, f"spdx {first}", rf"spdx licen[sc]e identifier {tag}(?: only| or later)?"),
+            (70 + version, word, rf"(?:licen[sc]ed|released|distributed|available|published) under (?:the )?(?:terms of )?(?:the )?(?:{name})"),
+            (50 + version, word, rf"(?:{name})"),
+            (60 + version, f"licenses {first}", rf"(?:opensource|spdx|gnu|apache|creativecommons|choosealicense) (?:org|com) licenses {tag}"),
+            (60 + version, f"opensource license {first}", rf"opensource org license {tag}"),
         ]
-        rules += [Rule(label, priority, keywords, re.compile(rf"\b(?:{expression})\b")) for priority, keywords, expression in forms]
+        rules += [_rule(label, priority, gate, expression) for priority, gate, expression in forms]
     return rules
 
 
+def _version(label: str) -> int:
+    return 5 if re.search(r"\d", label) else 0
+
+
 RULES = all_rules()
 _GATES: dict[str, list[int]] = {}
-for _number, _rule in enumerate(RULES):
-    for _word in _rule.keywords:
+for _number, _gated in enumerate(RULES):
+    for _word in _gated.keywords + _gated.either:
         _GATES.setdefault(_word, []).append(_number)
 
 
@@ -185,6 +240,8 @@ def hashes_of(words: list[str]) -> np.ndarray:
 _KEYWORDS = sorted(_GATES)
 _KEYS = hashes_of(_KEYWORDS)
 _KEY_ORDER = np.argsort(_KEYS)
+_ASCII = WORD.copy()
+_ASCII[0x80:] = False
 
 
 @dataclass(frozen=True)
@@ -197,18 +254,21 @@ class Detection:
     label: str
 
 
+def passing(present: set[str]) -> list[int]:
+    """Numbers of the rules whose gate lets a text with these keywords through."""
+    return sorted(number for number in {number for word in present for number in _GATES[word]} if RULES[number].passes(present))
+
+
 def detections(words: list[str], present: set[str]) -> list[Detection]:
     """What the gated rules find in a text, before suppression."""
     text = " ".join(words)
     starts = np.cumsum([0, *(len(word) + 1 for word in words)]).tolist()
-    candidates = {number for word in present for number in _GATES[word]}
     found = []
-    for number in sorted(candidates):
+    for number in passing(present):
         rule = RULES[number]
-        if all(word in present for word in rule.keywords):
-            for match in rule.expression.finditer(text):
-                first, last = bisect_right(starts, match.start()) - 1, bisect_right(starts, match.end() - 1)
-                found.append(Detection(first, last, rule.priority, rule.label))
+        for match in rule.expression.finditer(text):
+            first, last = bisect_right(starts, match.start()) - 1, bisect_right(starts, match.end() - 1)
+            found.append(Detection(first, last, rule.priority, rule.label))
     return found
 
 
@@ -258,13 +318,17 @@ def scan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFra
                 base[i].add(label)
                 first[i] = place if first[i] < 0 else min(first[i], place)
                 last[i] = max(last[i], place)
+        plain = texts.words(_ASCII[texts.data]) if len(texts.data) and texts.data.max() > 0x7F else words
+        hashes = hashes if plain is words else plain.hashes()
         slot = np.minimum(np.searchsorted(_KEYS[_KEY_ORDER], hashes), len(_KEYS) - 1)
         hits = np.flatnonzero(_KEYS[_KEY_ORDER][slot] == hashes)
         present: dict[int, set[str]] = {}
-        for i, key in zip(owner[hits].tolist(), _KEY_ORDER[slot[hits]].tolist(), strict=True):
+        for i, key in zip(plain.text_of_each()[hits].tolist(), _KEY_ORDER[slot[hits]].tolist(), strict=True):
             present.setdefault(i, set()).add(_KEYWORDS[key])
         labels, scores, spans = [",".join(sorted(x)) for x in base], np.where(n_base > 0, 0.4, 0.0), [""] * n
         for i, keywords in present.items():
+            if not passing(keywords):
+                continue
             low, high = words.bounds[i], words.bounds[i + 1]
             parts = [texts.data[s:e].tobytes().decode() for s, e in zip(words.starts[low:high].tolist(), words.ends[low:high].tolist(), strict=True)]
             kept = unsuppressed(detections(parts, keywords))

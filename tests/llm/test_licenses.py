@@ -82,3 +82,72 @@ def test_rules_are_many_and_distinct(nothing):
         groups[rule.label, rule.expression.pattern] += 1
     assert len(groups) > 250 and max(groups.values()) == 1
     assert licenses.scan(nothing).count() == 0
+
+
+# A text for each alternative of a gate, for links as their hosts write them, and for words next to signs beyond ASCII.
+ALTERNATIVES = [
+    ("This End User License Agreement is made with you.", "eula"),
+    ("Read the EULA", "eula"),
+    ("Released under the PSF License", "python-2.0"),
+    ("the psf licence", "python-2.0"),
+    ("distributed on an as is basis without any warranties", "warranty"),
+    ("provided without any warranty", "warranty"),
+    ("subject to the terms of the Mozilla Public License, v. 2.0", "mpl-2.0"),
+    ("https://creativecommons.org/licenses/by/4.0/", "cc-by"),
+    ("https://creativecommons.org/licenses/by-nc-sa/3.0/de/", "cc-by-nc-sa"),
+    ("https://creativecommons.org/publicdomain/zero/1.0/", "cc0"),
+    ("http://www.apache.org/licenses/LICENSE-2.0.txt", "apache-2.0"),
+    ("https://www.gnu.org/licenses/old-licenses/gpl-2.0.html", "gpl-2.0"),
+    ("https://opensource.org/license/mit", "mit"),
+    ("https://www.mozilla.org/en-US/MPL/2.0/", "mpl-2.0"),
+    ("the \u201cApache License, Version 2.0\u201d \u2014 \u00abMIT License\u00bb", "apache-2.0,mit"),
+]
+
+
+def expansions(expression):
+    """Texts that the expression matches, with each alternative and each part left out or in."""
+    from re import _parser
+
+    def written(nodes):
+        texts = [""]
+        for kind, value in nodes:
+            name = str(kind)
+            if name == "LITERAL":
+                more = [chr(value)]
+            elif name == "ANY":
+                more = ["x"]
+            elif name == "IN":
+                more = [chr(v) if str(k) == "LITERAL" else "1" for k, v in value]
+            elif name == "BRANCH":
+                more = [text for branch in value[1] for text in written(branch)]
+            elif name == "SUBPATTERN":
+                more = written(value[3])
+            elif name in ("MAX_REPEAT", "MIN_REPEAT"):
+                more = [text * n for text in written(value[2]) for n in {value[0], min(value[1], value[0] + 1)}]
+            else:
+                assert name == "AT", name
+                more = [""]
+            texts = [a + b for a in texts for b in more]
+        return texts
+
+    return written(_parser.parse(expression.pattern))
+
+
+def test_gates_are_in_every_match():
+    for rule in licenses.RULES:
+        for text in expansions(rule.expression):
+            assert rule.expression.search(text), (rule, text)
+            assert rule.passes(set(re.findall("[0-9a-z]+", text))), (rule, text)
+
+
+@pytest.mark.parametrize("text, labels", ALTERNATIVES)
+def test_every_alternative_is_found_as_without_gates(spark, text, labels):
+    row = licenses.scan(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()
+    words = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", text.translate(LOWER))
+    kept = licenses.unsuppressed([
+        licenses.Detection(" ".join(words)[: m.start()].count(" "), " ".join(words)[: m.end()].count(" ") + 1, r.priority, r.label)
+        for r in licenses.RULES for m in r.expression.finditer(" ".join(words))
+    ])
+    assert row["labels"] == labels
+    assert row["spans"] == ",".join(f"{d.label}:{d.start}:{d.end}" for d in sorted(kept, key=lambda d: (d.start, d.end, d.label)))
+    assert row["score"] == max(d.priority for d in kept) / 100
