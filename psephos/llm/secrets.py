@@ -2,7 +2,8 @@
 
 Around every ``=`` and ``:`` the text is read as an assignment: a name on the left, and on the
 right terms joined by ``+``, each a quoted or bare literal or the name of an earlier constant.
-Constants are propagated in the order of the text.  A literal is reported when the name that
+Constants are propagated in the order of the text, with all their terms: a constant refers to the
+constants that it is made of, so that one that is doubled again and again stays small.  A literal is reported when the name that
 receives it is sensitive and the literal looks like a secret rather than a placeholder.
 Three fixed patterns are always reported as well.
 
@@ -14,6 +15,7 @@ from __future__ import annotations
 import hashlib
 import re
 from collections import Counter
+from collections.abc import Iterable, Iterator
 from math import log2
 
 import numpy as np
@@ -34,7 +36,8 @@ _HEX = np.zeros(256, bool)
 _HEX[np.frombuffer(b"0123456789abcdef", np.uint8)] = True
 _GATES = (b"password", b"passwd", b"secret", b"token", b"apikey", b"api_key")
 
-_NAME = re.compile(rb"""([A-Za-z_$][A-Za-z0-9_$.\-]*)(?:["']?\])?["'`]?[\x20\t]*(?::[\x20\t]*[A-Za-z_][A-Za-z0-9_<>\[\]]*[\x20\t]*)?$""")
+# The name, and perhaps its type, in the reversed text: read from the operator back, it takes time only for what it finds.
+_NAME = re.compile(rb"""\n?(?:[\x20\t]*[A-Za-z0-9_<>\[\]]*[A-Za-z_][\x20\t]*:)?[\x20\t]*["'`]?(?:\]["']?)?([A-Za-z0-9_$.\-]*[A-Za-z_$])""")
 _TERM = re.compile(
     rb"""[\x20\t]*(?:
         [rbuf]{0,2}"((?:[^"\\\n]|\\.)*)"
@@ -74,36 +77,109 @@ def name_score(name: str) -> float:
     return score - 0.7 * sum(part in HARMLESS for part in lower)
 
 
+_ENDS = 16  # characters kept of either end of a value: more than any fixed placeholder has
+
+
+class Value:
+    """What the score needs of a value that may be too long to write out: how often it has each character
+    (in units of 2**shift, exact up to 256 bits of length), and its two ends."""
+
+    def __init__(self, counts: Counter[str], shift: int, head: str, tail: str) -> None:
+        self.counts, self.shift, self.head, self.tail = counts, shift, head, tail
+
+    @classmethod
+    def of(cls, value: str) -> Value:
+        return cls(Counter(value), 0, value[:_ENDS], value[-_ENDS:])
+
+    @classmethod
+    def joined(cls, parts: Iterable[Value]) -> Value:
+        parts = list(parts)
+        shift, counts, head, tail = max(part.shift for part in parts), Counter(), "", ""
+        for part in parts:
+            for character, n in part.counts.items():
+                counts[character] += n >> (shift - part.shift)
+            head, tail = (head + part.head)[:_ENDS], (tail + part.tail)[-_ENDS:]
+        if (bits := counts.total().bit_length()) > 256:
+            counts = Counter({character: n >> (bits - 128) for character, n in counts.items()})
+            shift += bits - 128
+        return cls(counts, shift, head, tail)
+
+    def placeholder(self) -> bool:
+        """Long values are one by their ends and by the characters between."""
+        whole = self.head if self.counts.total() <= _ENDS and not self.shift else self.head + "".join(self.counts) + self.tail
+        return bool(PLACEHOLDERS.match(whole))
+
+    def score(self) -> float:
+        """How much it looks like a secret: its length and the entropy of its characters."""
+        length = self.counts.total()
+        if length < 8 and not self.shift or self.placeholder() or any(c.isspace() for c in self.counts):
+            return -1.0
+        entropy = -sum(n / length * log2(n / length) for n in self.counts.values() if n)
+        characters = "".join(self.counts)
+        kinds = sum(bool(re.search(p, characters)) for p in ("[a-z]", "[A-Z]", "[0-9]", "[^A-Za-z0-9]"))
+        return 0.15 * min(entropy, 4.0) + 0.1 * kinds - 0.2
+
+
 def literal_score(value: str) -> float:
     """How much a literal looks like a secret: its length and the entropy of its characters."""
-    if len(value) < 8 or PLACEHOLDERS.match(value) or any(c.isspace() for c in value):
-        return -1.0
-    counts = Counter(value)
-    entropy = -sum(n / len(value) * log2(n / len(value)) for n in counts.values())
-    kinds = sum(bool(re.search(p, value)) for p in ("[a-z]", "[A-Z]", "[0-9]", "[^A-Za-z0-9]"))
-    return 0.15 * min(entropy, 4.0) + 0.1 * kinds - 0.2
+    return Value.of(value).score()
+
+
+class Term:
+    """A literal with its span, or a constant with the terms that it is made of."""
+
+    def __init__(self, span: tuple[int, int] | None, parts: list[Term]) -> None:
+        self.span, self.parts = span, parts
+        self.value: Value | None = None
+        self.reported = False
+
+    def valued(self, text: bytes) -> Value:
+        """Its value; each term below is worked out once."""
+        waiting = [self]
+        while waiting:
+            term = waiting[-1]
+            todo = [part for part in term.parts if part.value is None]
+            if term.value is None and not todo:
+                own = term.span and Value.of(text[term.span[0] : term.span[1]].decode(errors="replace"))
+                term.value = own or Value.joined(part.value for part in term.parts)
+            if term.value is None:
+                waiting += todo
+            else:
+                waiting.pop()
+        return self.value
+
+    def unreported(self) -> Iterator[tuple[int, int]]:
+        """The spans of the literals below that no call gave before."""
+        waiting = [self]
+        while waiting:
+            term = waiting.pop()
+            if term.reported:
+                continue
+            term.reported = True
+            waiting += term.parts
+            if term.span and term.span[1] > term.span[0]:
+                yield term.span
 
 
 def lexed(text: bytes) -> list[tuple[int, int]]:
     """Byte spans of the literals that are given to sensitive names."""
-    constants: dict[bytes, list[tuple[int, int]]] = {}
+    constants: dict[bytes, Term] = {}
     found: list[tuple[int, int]] = []
     done = 0
+    backwards = text[::-1]
     for operator in _OPERATOR.finditer(text):
         if operator.start() < done:
             continue  # inside the value of the assignment before
-        name = _NAME.search(text, max(done, operator.start() - 120), operator.start())
+        name = _NAME.match(backwards, len(text) - operator.start(), len(text) - done)
         if not name:
             continue
-        terms: list[tuple[int, int]] = []
+        terms: list[Term] = []
         at = operator.end()
         while term := _TERM.match(text, at):
             group = next(i for i in (1, 2, 3, 4) if term.group(i) is not None)
             value = term.group(group)
-            if group == 4 and _IDENTIFIER.match(value):
-                terms += constants.get(value, [term.span(group)] if terms or value not in constants else [])
-            else:
-                terms.append(term.span(group))
+            constant = constants.get(value) if group == 4 and _IDENTIFIER.match(value) else None
+            terms.append(constant or Term(term.span(group), []))
             at = term.end()
             plus = _PLUS.match(text, at)
             if not plus:
@@ -112,14 +188,13 @@ def lexed(text: bytes) -> list[tuple[int, int]]:
         if not terms or operator.group() == b":" and _TYPED.match(text, at):
             continue  # nothing is assigned, or what follows the colon is a type
         done = at
-        target = name.group(1)
-        constants[target] = terms[:8]
+        target = name.group(1)[::-1]
+        whole = constants[target] = terms[0] if len(terms) == 1 else Term(None, terms)
         sensitive = name_score(target.decode())
         if sensitive <= 0:
             continue
-        whole = b"".join(text[s:e] for s, e in terms).decode(errors="replace")
-        if sensitive + literal_score(whole) >= SURE:
-            found += [span for span in terms if span[1] > span[0]]
+        if sensitive + whole.valued(text).score() >= SURE:
+            found += whole.unreported()
     return sorted(set(found))
 
 

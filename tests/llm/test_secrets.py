@@ -63,3 +63,44 @@ def test_spans_count_code_points(spark, nothing):
     kind, start, end = row["spans"].split(",")[0].split(":")
     assert kind == "lexed" and text[int(start) : int(end)] == "dfd1944d2e84"
     assert secrets.scan(nothing).count() == 0
+
+
+def test_constants_keep_all_their_parts():
+    parts = [f"pA{i:02d}" for i in range(1, 13)]
+    direct = " + ".join(f'"{part}"' for part in parts)
+    assert values(f"api_secret = {direct}") == parts
+    assert values(f"k = {direct}\napi_secret = k") == parts
+    chain = "k = \"pA01\"\n" + "".join(f'k = k + "{part}"\n' for part in parts[1:])
+    assert values(chain + "api_secret = k") == parts
+    many = [f"q{i:05d}Z" for i in range(3000)]
+    chain = f'k = "{many[0]}"\n' + "".join(f'k = k + "{part}"\n' for part in many[1:])
+    assert values(chain + "api_secret = k") == many
+
+
+def test_doubled_constants_stay_small():
+    text = 'a = "h4nT" + "3r!2"\n' + "a = a + a\n" * 3000 + "password = a\n" + "api_key = a + a"
+    assert values(text) == ["h4nT", "3r!2"]
+    assert values('a = "x9"\napi_secret = a + a') == [] and values('a = "xK9!"\napi_secret = a + a') == ["xK9!"]
+    assert values('a = "xx"\n' + "a = a + a\n" * 400 + "password = a") == []  # a placeholder
+
+
+def test_joined_values_score_as_if_written_out():
+    import random
+
+    draw = random.Random(8)
+    shapes = ["x", "your_", "<ab", "q>", "${k", "}", "{{", "}}", "****", "todo", "%(", ")s", "aB3", "9f+/", "é", " ", "changeme", "A" * 20]
+    for _ in range(3000):
+        parts = draw.choices(shapes, k=draw.randint(1, 7))
+        joined, whole = secrets.Value.joined(map(secrets.Value.of, parts)), "".join(parts)
+        assert joined.placeholder() == bool(secrets.PLACEHOLDERS.match(whole))
+        assert joined.score() == secrets.literal_score(whole)
+
+
+def test_names_are_read_whole():
+    name = "service_password_" + "a" * 200
+    assert values(f'{name} = "h4nT3r!2xyz"') == ["h4nT3r!2xyz"]  # its tail says nothing
+    part = "part_" + "b" * 200
+    assert values(f'{part} = "h4nT3r!2xyz"\napi_secret = {part}') == ["h4nT3r!2xyz"]
+    assert values(f"password: Secured{'Inner' * 40} = 'h4nT3r!2xyz'") == ["h4nT3r!2xyz"]
+    assert values("x = 1 password = 'h4nT3r!2xyz'") == ["h4nT3r!2xyz"]  # after the assignment before
+    assert values('key["token"] = "aB3dE6gH9"\nconst dbPassword : string = "h4nT3r!2xyz"') == ["aB3dE6gH9", "h4nT3r!2xyz"]
