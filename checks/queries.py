@@ -27,7 +27,6 @@ QUERIES: dict[str, Query] = {}
 
 NAME_PATTERNS = [r"^hot", r"gear$", r"lue\s", r"izm", r"^new", r"^newer", r"wid\.", r"old ring"]
 TEXT_PATTERNS = [r"^The", r"^Un", r"tion\.", r"eau", r"\sder\s", r"[0-9]{4}"]
-FOREST = {"trees": 10, "depth": 6, "max_features": "sqrt", "min_leaf": 1}
 
 
 def query(function: Query) -> Query:
@@ -534,7 +533,7 @@ def _doc_model(spark: SparkSession, folder: str):
 @query
 def significant_effects(spark: SparkSession, folder: str) -> DataFrame:
     table_ = logit.logit_table(_doc_model(spark, folder)[1])
-    return logit.significant_effects(table_, alpha=1.1).drop("p_value", "p_text")
+    return logit.significant_effects(table_).drop("p_value", "p_text")
 
 
 @query
@@ -623,7 +622,7 @@ def office_vif(spark: SparkSession, folder: str) -> DataFrame:
 def forest_scores(spark: SparkSession, folder: str) -> DataFrame:
     """Test rows per predicted class and decile of the score."""
     train, test, predictors = _features(spark, folder)
-    scored = forest.forest_scores(forest.fit_forest(train, predictors, c.TARGET, FOREST), test)
+    scored = forest.forest_scores(forest.fit_forest(train, predictors, c.TARGET, c.FOREST), test)
     tenth = half_even(F.col("score"), 1).alias("tenth")
     return profile.count_by(scored.select("*", tenth), [c.TARGET, "prediction", "tenth"])
 
@@ -631,7 +630,7 @@ def forest_scores(spark: SparkSession, folder: str) -> DataFrame:
 @query
 def forest_importance(spark: SparkSession, folder: str) -> DataFrame:
     train, _, predictors = _features(spark, folder)
-    return forest.forest_importance(forest.fit_forest(train, predictors, c.TARGET, FOREST))
+    return forest.forest_importance(forest.fit_forest(train, predictors, c.TARGET, c.FOREST))
 
 
 def _ruled(spark: SparkSession, folder: str) -> tuple[DataFrame, list[str]]:
@@ -680,5 +679,4 @@ def stratified_folds(spark: SparkSession, folder: str) -> DataFrame:
 @query
 def forest_tuning(spark: SparkSession, folder: str) -> DataFrame:
     train, _, predictors = _features(spark, folder)
-    grid = {"trees": [5], "depth": [3, 5], "max_features": ["sqrt"], "min_leaf": [1]}
-    return forest.tune_forest(train, predictors, c.TARGET, grid, folds=3)[1]
+    return forest.tune_forest(train, predictors, c.TARGET, c.GRIDS[c.FEDERAL], folds=c.FOLDS)[1]

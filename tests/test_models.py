@@ -3,10 +3,12 @@ import math
 import numpy as np
 import pytest
 
+from checks import queries
 from psephos.operators import forest, logit
 from psephos.operators.collinearity import vif
 from psephos.operators.evaluate import binary_metrics
 from psephos.operators.weights import balanced_weights, class_weights
+from psephos.plans import config
 
 
 @pytest.fixture(scope="module")
@@ -182,3 +184,38 @@ def test_null_targets_take_no_part(spark, merge):
         logit.fit_logit(spark.createDataFrame([*rows, (None, 1, 1.0)], schema), ["x"], "y", "w", merge_equal_rows=merge)
     with pytest.raises(ValueError, match="known y"):
         logit.fit_logit(spark.createDataFrame([(1.0, None, 1.0)], schema), ["x"], "y", "w", merge_equal_rows=merge)
+
+
+def test_registered_forests_are_the_shipped_ones(monkeypatch):
+    asked = []
+    monkeypatch.setattr(queries, "_features", lambda spark, folder: ("train", "test", ["a"]))
+    monkeypatch.setattr(queries.profile, "count_by", lambda df, columns: None)
+    monkeypatch.setattr(queries.forest, "forest_scores", lambda model, df: _Anything())
+    monkeypatch.setattr(queries.forest, "forest_importance", lambda model: None)
+    monkeypatch.setattr(queries.forest, "fit_forest", lambda train, features, target, params: asked.append(params))
+    monkeypatch.setattr(queries.forest, "tune_forest", lambda *args, folds: asked.append((args[3], folds)) or (None, None))
+    monkeypatch.setattr(queries, "half_even", lambda column, decimals: column)
+    monkeypatch.setattr(queries.F, "col", lambda name: _Anything())
+    for name in ("forest_scores", "forest_importance", "forest_tuning"):
+        queries.QUERIES[name](None, "")
+    assert asked == [config.FOREST, config.FOREST, (config.GRIDS[config.FEDERAL], config.FOLDS)]
+
+
+class _Anything:
+    def alias(self, name):
+        return self
+
+    def select(self, *columns):
+        return self
+
+
+@pytest.mark.parametrize("cells, listed", [((40, 10, 10, 40), 1), ((26, 24, 24, 26), 0)])
+def test_registered_effects_are_significant(spark, monkeypatch, cells, listed):
+    """At 0.05 an effect is listed if and only if |z| > 1.96."""
+    a, b, c, d = cells
+    z = math.log(a * d / (b * c)) / math.sqrt(sum(1 / n for n in cells))
+    rows = [(1, 1)] * a + [(1, 0)] * b + [(0, 1)] * c + [(0, 0)] * d
+    model = logit.fit_logit(spark.createDataFrame(rows, "long int, quality int"), ["long"], "quality")
+    monkeypatch.setattr(queries, "_doc_model", lambda spark, folder: (None, model))
+    assert (abs(z) > 1.96) == listed
+    assert queries.QUERIES["significant_effects"](spark, "").count() == listed
