@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from psephos.llm.features import RULE_RATES, rates
-from psephos.llm.quality import sampled
+from psephos.llm.quality import copies_sampled
 from psephos.llm.tables import by_block, columns
 from psephos.llm.text import Texts, statistics
 from psephos.sources import stored
@@ -160,9 +160,13 @@ def calibrated(scores: DataFrame, labels: DataFrame, loss: float = LOSS) -> floa
 def judge(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", seed: int = 7) -> DataFrame:
     """(id, the counts, base_failed, anomaly, kept) of every row; ``labels`` has id and label."""
     rows = stored(document_rates(docs, doc_id, text))
-    sample = sampled(rows.filter(~base_failed()), F.col("id"), TREES * LEAVES).select("id", "rates").collect()
+    passed = rows.filter(~base_failed()).select("id", "rates", F.xxhash64("id", "rates").alias("key"))
+    groups = stored(passed.groupBy("key").agg(F.count(F.lit(1)).alias("n")))
+    chosen = F.broadcast(copies_sampled(groups, ["key"], TREES * LEAVES))  # rows alike in id and rates are counted only
+    sample = passed.join(chosen, "key").groupBy("key").agg(*(F.first(name).alias(name) for name in ("id", "rates", "copies"))).collect()
     sample.sort(key=lambda row: (row["id"] is None, row["id"], row["rates"]))
-    forest = fit_forest(np.array([row["rates"] for row in sample]).reshape(-1, len(RULE_RATES)), seed)
+    x = np.array([row["rates"] for row in sample]).reshape(-1, len(RULE_RATES))
+    forest = fit_forest(np.repeat(x, np.array([row["copies"] for row in sample], np.int64), axis=0), seed)
     scores = stored(scored(rows, forest))
     most = calibrated(scores, labels)
     verdict = ~F.col("base_failed") & (F.col("anomaly") < F.lit(most))

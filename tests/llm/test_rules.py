@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from psephos.llm import rules
 from psephos.llm.text import Texts, statistics
-from tests.llm.cases import awkward_rows, ordered, rule_counts
+from tests.llm.cases import awkward_rows, ordered, prose, rule_counts
 
 
 def test_counts_equal_plain_code(spark, awkward):
@@ -61,3 +61,18 @@ def test_lines_and_windows_cross_no_text():
 def test_empty_table(spark, nothing):
     labels = spark.createDataFrame([], "id long, label int")
     assert rules.judge(nothing, labels).filter(F.col("kept")).count() == 0
+
+
+def test_forest_sample_is_bounded_in_rows_whatever_the_ids(spark, monkeypatch):
+    """Half of all rows have no id; about the same share of them as of the rest is learnt from."""
+    sizes = []
+    monkeypatch.setattr(rules, "TREES", 2)
+    monkeypatch.setattr(rules, "LEAVES", 100)
+    monkeypatch.setattr(rules, "base_failed", lambda: F.lit(False))
+    monkeypatch.setattr(rules, "copies_sampled", lambda groups, keys, size, f=rules.copies_sampled: sizes.append(size) or f(groups, keys, size))
+    fit = rules.fit_forest
+    monkeypatch.setattr(rules, "fit_forest", lambda x, *rest: sizes.append(len(x)) or fit(x, *rest))
+    docs = spark.createDataFrame([(None if i % 2 else i, prose(i, 30)) for i in range(2000)], "doc_id long, text string")
+    judged = rules.judge(docs, spark.createDataFrame([], "id long, label int"))
+    assert judged.count() == 2000
+    assert sizes[0] == 200 and 140 < sizes[1] < 260
