@@ -6,7 +6,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from psephos.llm import bpe, ctw, exact, fm_dedup, jaccard, licenses, mixing, quality, rules, secrets
+from psephos.llm import audit, bpe, chunk_bpe, ctw, exact, fm_dedup, jaccard, licenses, mixing, quality, rules, secrets, treap
 from psephos.sources import stored
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -112,3 +112,26 @@ def op3_ctw_score(spark: SparkSession, folder: str) -> DataFrame:
 def op6_fm_substrings(spark: SparkSession, folder: str) -> DataFrame:
     """Words left of each document when passages of earlier documents are removed."""
     return fm_dedup.removed(documents(spark, folder)).withColumnRenamed("id", "doc_id")
+
+
+@query
+def op11_chunk_bpe(spark: SparkSession, folder: str) -> DataFrame:
+    """Token counts and digests of the ids and of the decoded text, shared chunks being encoded once."""
+    rows = chunk_bpe.encoded(documents(spark, folder))
+    return rows.select(F.col("id").alias("doc_id"), "n_tokens", "ids_sha256", "decoded_sha256")
+
+
+@query
+def op12_filter_audit(spark: SparkSession, folder: str) -> DataFrame:
+    """What five filters remove from each language in every order, with the labels that are lost."""
+    flags = [F.col("quality").alias("good_lost"), F.col("toxic").alias("toxic_lost")]
+    labels = labelled(spark, folder).select("id", *flags)
+    return audit.audit(documents(spark, folder), labels, ["good_lost", "toxic_lost"])
+
+
+@query
+def op13_treap_search(spark: SparkSession, folder: str) -> DataFrame:
+    """The 50 best documents for each benchmark item."""
+    items = spark.read.parquet(f"{folder}/benchmark.parquet")
+    found = treap.search(treap.build_index(documents(spark, folder)), items, k=50)
+    return found.select("item_id", "rank", "doc_id", "score")
