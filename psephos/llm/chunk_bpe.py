@@ -10,6 +10,11 @@ repaired by encoding again from the last sure start of a word before the cut int
 word begins there at the same byte as in the chunk's own encoding, both agree from there on; without
 agreement the chunk is taken in as text and a longer stretch is encoded.
 
+The library takes most of its time to split texts into words.  Words are therefore split here by the same pattern
+and looked up among those that its model has coded before, at most ``WORDS`` of them.  Which characters the
+pattern takes alike in both places is tried out when the vocabulary is loaded, and a text with any other character goes
+to the library as it is.
+
 Special tokens in a text are tokens, as the library has it, and nothing is joined across them.  Defined
 cases: a null or empty text has no tokens; rows are told apart by a number, so repeated and null ids are rows
 like others; an empty table gives no rows.  Other columns are not read.  Chunks are told apart by 128-bit digests.
@@ -28,6 +33,7 @@ from dataclasses import dataclass
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
+import regex
 import xxhash
 from pyspark import SparkFiles
 from pyspark.sql import DataFrame
@@ -49,6 +55,9 @@ FILTER = 1 << 26
 MARGIN = 12
 #: Word starts remembered at the front of a chunk.
 HEAD = 16
+#: Words remembered with their ids, and the characters tried out, up to this one.
+WORDS = 1 << 18
+TRIED = 0x3000
 
 _GEAR = np.random.default_rng(20240911).integers(0, 1 << 16, 256, dtype=np.uint16)
 
@@ -107,6 +116,42 @@ class Coder:
         self.lengths = np.asarray([len(x) for x in self.bytes], np.int64)
         self.kind = "<u2" if len(self.bytes) <= 1 << 16 else "<u4"
         self.digits = [str(i) for i in range(len(self.bytes))]
+        self.character = {b: c for c, b in byte_of.items()}
+        self.pattern = regex.compile(public_tokenizers.PATTERN)
+        self.known: dict[str, bytes] = {}
+        self.other = re.compile("[" + "".join(map(re.escape, self._taken_differently())) + f"{chr(TRIED)}-\U0010ffff]")
+
+    def _taken_differently(self) -> list[str]:
+        """The characters tried that the library's pattern puts into another class than the one used here."""
+
+        def alike(characters: list[str]) -> bool:
+            # After a letter, a digit and a mark: it goes on with its own class only.
+            text = "".join(f"\na{c}\n1{c}\n!{c}" for c in characters)
+            return self.pattern.findall(text) == [text[a:b] for _, (a, b) in self.library.pre_tokenizer.pre_tokenize_str(text)]
+
+        out = []
+        for first in range(0, TRIED, 256):
+            characters = [chr(c) for c in range(first, min(first + 256, TRIED))]
+            if not alike(characters):
+                out += [c for c in characters if not alike([c])]
+        return out
+
+    def words(self, text: str) -> list[bytes] | None:
+        """The ids of each word of ``text``, or nothing if it has characters that only the library can split by."""
+        if self.other.search(text) or (self.special and self.special.search(text)):
+            return None
+        words = self.pattern.findall(text)
+        found = list(map(self.known.get, words))
+        for i in (i for i, x in enumerate(found) if x is None):
+            word = words[i]
+            ids = self.known.get(word)
+            if ids is None:
+                shown = "".join(map(self.character.__getitem__, word.encode()))
+                ids = np.asarray([token.id for token in self.library.model.tokenize(shown)], self.kind).tobytes()
+                if len(self.known) < WORDS:
+                    self.known[word] = ids
+            found[i] = ids
+        return found
 
     def parts(self, text: str) -> list[tuple[str, bool]]:
         """The stretches of ``text`` between special tokens, and these tokens (True)."""
@@ -117,16 +162,25 @@ class Coder:
         ids = np.asarray([self.library.token_to_id(token)], self.kind)
         return Piece(ids, np.zeros((0, 2), np.int64), (0, 0))
 
+    def coded(self, text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The ids of ``text`` on its own, the token that begins each word, and its byte."""
+        words = self.words(text)
+        if words is None:
+            found = self.library.encode(text, add_special_tokens=False)
+            ids = np.asarray(found.ids, self.kind)
+            first = np.flatnonzero(np.diff(np.asarray(found.word_ids, np.int64), prepend=-1))
+        else:
+            ids = np.frombuffer(b"".join(words), self.kind)
+            counts = np.fromiter(map(len, words), np.int64, len(words)) // ids.itemsize
+            first = np.cumsum(counts) - counts
+        return ids, first, np.cumsum(self.lengths[ids])[first] - self.lengths[ids[first]]
+
     def pieces(self, texts: list[str]) -> list[Piece]:
         """Each text coded on its own, as if it were whole."""
         out = []
-        for found in self.library.encode_batch(texts, add_special_tokens=False):
-            ids = np.asarray(found.ids, self.kind)
-            words = np.asarray(found.word_ids, np.int64)
-            ends = np.cumsum(self.lengths[ids])
-            first = np.flatnonzero(np.diff(words, prepend=-1)) if len(ids) else np.zeros(0, np.int64)
-            at = ends[first] - self.lengths[ids[first]]
-            sure = max(int(np.searchsorted(at, (int(ends[-1]) if len(ids) else 0) - MARGIN, side="right")) - 1, 0)
+        for text in texts:
+            ids, first, at = self.coded(text)
+            sure = max(int(np.searchsorted(at, len(text.encode()) - MARGIN, side="right")) - 1, 0)
             tail = (int(first[sure]), int(at[sure])) if len(first) else (0, 0)
             out.append(Piece(ids, np.stack([first, at], 1)[:HEAD], tail))
         return out
@@ -141,10 +195,7 @@ class Coder:
         front = self.raw(piece.ids[: int(piece.head[-1, 0]) + MARGIN])
         stretch = (tail + front).decode("utf-8", "ignore")  # the front may end within a character
         size = len(stretch.encode())
-        found = self.library.encode(stretch, add_special_tokens=False)
-        ids = np.asarray(found.ids, self.kind)
-        first = np.flatnonzero(np.diff(np.asarray(found.word_ids, np.int64), prepend=-1))
-        at = np.cumsum(self.lengths[ids])[first] - self.lengths[ids[first]]
+        ids, first, at = self.coded(stretch)
         _, here, there = np.intersect1d(at[at <= size - MARGIN] - len(tail), piece.head[:, 1], return_indices=True)
         if not len(here):
             return None
@@ -180,23 +231,22 @@ class Coder:
         if last is not None:
             out.append(last.ids)
         elif tail:
-            out.append(np.asarray(self.library.encode(tail.decode(), add_special_tokens=False).ids, self.kind))
+            out.append(self.coded(tail.decode())[0])
         return np.concatenate(out) if out else np.zeros(0, self.kind)
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """The ids of whole texts, the long ones in pieces."""
-        short = [i for i, text in enumerate(texts) if len(text) <= PIECE]
-        out: list[np.ndarray] = [np.zeros(0, self.kind)] * len(texts)
-        for i, found in zip(short, self.library.encode_batch_fast([texts[i] for i in short], add_special_tokens=False), strict=True):
-            out[i] = np.asarray(found.ids, self.kind)
-        for i, text in enumerate(texts):
-            if len(text) > PIECE:
-                ids = [
-                    self.special_piece(part).ids if special
-                    else self.joined(p for a in range(0, len(part), PIECE) for p in self.pieces([part[a : a + PIECE]]))
-                    for part, special in self.parts(text)
-                ]
-                out[i] = np.concatenate(ids)
+        out = []
+        for text in texts:
+            if len(text) <= PIECE:
+                out.append(self.coded(text)[0])
+                continue
+            ids = [
+                self.special_piece(part).ids if special
+                else self.joined(p for a in range(0, len(part), PIECE) for p in self.pieces([part[a : a + PIECE]]))
+                for part, special in self.parts(text)
+            ]
+            out.append(np.concatenate(ids))
         return out
 
     def decode(self, ids: np.ndarray) -> str:

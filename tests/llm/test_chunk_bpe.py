@@ -3,6 +3,7 @@ import hashlib
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -12,8 +13,6 @@ from psephos.llm import chunk_bpe as cb
 from psephos.llm.text import Texts
 from tests.llm.cases import SCHEMA, awkward_rows, ordered, prose
 
-import pyarrow as pa
-
 CODE = cb.coder(cb.VOCABULARY)
 ODD = ["a", "B", " ", "  ", "\n", "'", "'ll", "'s", "'", "é", "\U0001f600", "中文", "12", "3", "...", "don't", "\t", " ", "ll", "_", "x" * 40]
 
@@ -114,6 +113,27 @@ def test_other_tokenizers_are_refused(tmp_path):
         cb.Coder(str(path))
 
 
+@settings(max_examples=500, deadline=None)
+@given(st.text(alphabet=st.one_of(st.characters(max_codepoint=0x3000, exclude_categories=["Cs"]), st.sampled_from([x for x in ODD if len(x) == 1])), max_size=40))
+def test_words_equal_the_library(text):
+    assert CODE.coded(text)[0].tolist() == plain(text)
+
+
+def test_each_character_is_split_as_the_library_does():
+    for first in range(0, 0x3100, 64):
+        text = "".join(f"{chr(c)} a{chr(c)}1{chr(c)}{chr(c)}'s{chr(c)} " for c in range(first, first + 64))
+        assert CODE.coded(text)[0].tolist() == plain(text)
+    assert CODE.words("caf\xe9 na\xefve, isn't it?") is not None  # the usual characters need no detour
+    assert CODE.words("\u4e2d") is None
+
+
+def test_words_beyond_the_memory(monkeypatch):
+    monkeypatch.setattr(cb, "WORDS", 10)
+    code = cb.Coder(cb.VOCABULARY)
+    text = prose(8, 500)
+    assert [code.coded(text)[0].tolist() for _ in range(2)] == [plain(text)] * 2 and len(code.known) == 10
+
+
 def test_wire_format():
     piece = CODE.pieces([prose(1, 40)])[0]
     again = cb.Piece.read(piece.ids.tobytes(), piece.marks(), CODE.kind)
