@@ -451,3 +451,55 @@ FROM {COHORT} WHERE ESPECTRO_POL IS NULL OR REGIAO = 'DESCONHECIDA' OR FAIXA_ETA
 ORACLES["stratified_folds"] = f"""
 SELECT label, fold::INTEGER AS fold, (n // 5 + (fold < n % 5)::INTEGER)::BIGINT AS count
 FROM (SELECT label, count(*) AS n FROM {LINES} GROUP BY 1), range(5) AS r(fold)"""
+ORACLES["forest_min_split"] = f"""
+WITH r AS (SELECT pred AS open, (quantity > 44)::INTEGER AS rare FROM {LINES})
+SELECT 'few' AS min_split, open, rare, open * rare AS prediction, count(*)::BIGINT AS count FROM r GROUP BY ALL
+UNION ALL SELECT 'many', open, rare, rare, count(*)::BIGINT FROM r GROUP BY ALL"""
+ORACLES["stratum_effects"] = f"""
+WITH g AS (SELECT l_linenumber AS i,
+    count(*) FILTER (l_quantity > CASE WHEN l_linenumber > 4 THEN 20 ELSE 25 END)::DOUBLE AS a, count(*)::DOUBLE AS n
+  FROM lineitem GROUP BY 1),
+e AS (SELECT 'line_' || g.i AS variable, ln(g.a / (g.n - g.a)) - ln(r.a / (r.n - r.a)) AS b,
+    sqrt(1 / g.a + 1 / (g.n - g.a) + 1 / r.a + 1 / (r.n - r.a)) AS se
+  FROM g, (SELECT * FROM g WHERE i = 1) r WHERE g.i > 1),
+-- The tail of the normal distribution by Simpson's rule up to 12, off by less than 1e-10.
+z AS (SELECT variable, b, abs(b / se) AS z, greatest(12 - abs(b / se), 0) AS span FROM e),
+t AS (SELECT variable, b, z, span / 6000 * 2 / sqrt(2 * pi()) * sum(
+    CASE WHEN k IN (0, 2000) THEN 1 WHEN k % 2 = 1 THEN 4 ELSE 2 END * exp(-pow(z + k * span / 2000, 2) / 2)) AS p
+  FROM z, range(2001) r(k) GROUP BY variable, b, z, span)
+SELECT variable, round(b, 3) AS coef, round(p, 6) AS p_value, round(exp(b), 3) AS odds_ratio,
+  round(exp(b), 2)::VARCHAR || ' : 1' AS odds_text, round(100 * exp(b) / (1 + exp(b)), 1) AS probability_percent
+FROM t WHERE z > 1.959963984540054"""
+ORACLES["logit_null_target"] = """
+WITH k AS (SELECT count(*) FILTER (l_returnflag = 'R' AND l_quantity > 20) AS a,
+    count(*) FILTER (l_returnflag = 'A' AND l_quantity > 20) AS b,
+    count(*) FILTER (l_returnflag = 'R' AND l_quantity <= 20) AS c,
+    count(*) FILTER (l_returnflag = 'A' AND l_quantity <= 20) AS d FROM lineitem)
+SELECT 'const' AS variable, round(ln(c / d), 6) AS coef, round(sqrt(1 / c + 1 / d), 6) AS std_err FROM k
+UNION ALL SELECT 'large', round(ln(a * d / (b * c)), 6), round(sqrt(1 / a + 1 / b + 1 / c + 1 / d), 6) FROM k"""
+ORACLES["report_order_frequency"] = """
+SELECT p_type, count(*)::BIGINT AS count, row_number() OVER (ORDER BY count(*) DESC, p_type) AS place FROM part GROUP BY 1"""
+ORACLES["report_order_summary"] = """
+WITH c AS (SELECT 1 AS k, 'p_size' AS variable, p_size AS v, p_size::VARCHAR AS category, count(*)::BIGINT AS count
+  FROM part GROUP BY ALL UNION ALL SELECT 2, 'p_type', NULL, p_type, count(*)::BIGINT FROM part GROUP BY ALL)
+SELECT variable, category, count, row_number() OVER (ORDER BY k, v, category) AS place FROM c"""
+ORACLES["report_order_effects"] = """
+WITH g AS (SELECT l_linenumber AS i, count(*) FILTER (l_quantity > 5 * l_linenumber)::DOUBLE AS a, count(*)::DOUBLE AS n
+  FROM lineitem GROUP BY 1),
+e AS (SELECT 'line_' || g.i AS variable, (g.a / (g.n - g.a)) / (r.a / (r.n - r.a)) AS o
+  FROM g, (SELECT * FROM g WHERE i = 1) r WHERE g.i > 1)
+SELECT variable, round(o, 6) AS odds_ratio, row_number() OVER (ORDER BY o, variable) AS place FROM e"""
+ORACLES["report_order_importance"] = """
+SELECT unnest(['open', 'discount', 'many', 'tax']) AS feature, unnest([1, 0, 0, 0])::DOUBLE AS importance,
+  unnest([1, 2, 3, 4])::BIGINT AS place"""
+ORACLES["percent_texts"] = """
+SELECT p_partkey, printf('%.1f%%', p_partkey / 2000 * 100) AS one, printf('%.2f%%', p_partkey / 2000 / 8 * 100) AS two,
+  printf('%.3g', p_partkey / 2000 / 7919) AS significant FROM part"""
+ORACLES["evaluate_missing_scores"] = f"""
+WITH k AS (SELECT *, quantity <= 40 AND tax < 8 AS whole FROM {LINES})
+SELECT round(count(*) FILTER (whole AND label = pred) / count(*) FILTER (whole), 9) AS accuracy,
+  round(count(*) FILTER (whole AND label = 1 AND pred = 1) / count(*) FILTER (whole AND label = 1), 9) AS sensitivity,
+  count(*) FILTER (NOT whole)::BIGINT AS n_missing FROM k"""
+ORACLES["extracts_mixed_order"] = f"""
+SELECT ANO_ELEICAO, DS_GRAU_INSTRUCAO, count(*)::BIGINT AS n, sum(NR_CANDIDATO)::BIGINT AS numbers,
+  count(DISTINCT NM_URNA_CANDIDATO)::BIGINT AS names FROM {CANDIDATES} GROUP BY 1, 2"""

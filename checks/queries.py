@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from checks.inputs import candidates, scored_lines, table
 from psephos.functions.numeric import half_even
+from psephos.functions.text import percent_text, significant_text
 from psephos.operators import encode, evaluate, flags, forest, logit, profile, recode, shape, weights
 from psephos.operators.collinearity import vif
 from psephos.operators.quantiles import quantile_bin
@@ -548,6 +549,108 @@ def logit_scores(spark: SparkSession, folder: str) -> DataFrame:
     return rounded(logit.logit_scores(model, documents), 6, "score")
 
 
+@query
+def stratum_effects(spark: SparkSession, folder: str) -> DataFrame:
+    """Effects of groups of lines, of which some differ from the first group and some do not."""
+    lines = table(spark, folder, "lineitem").select(
+        (F.col("l_quantity") > F.when(F.col("l_linenumber") > 4, 20).otherwise(25)).cast("int").alias("large"),
+        *[(F.col("l_linenumber") == i).cast("int").alias(f"line_{i}") for i in range(2, 8)],
+    )
+    found = logit.logit_table(logit.fit_logit(lines, [f"line_{i}" for i in range(2, 8)], "large"))
+    effects = logit.significant_effects(found)
+    return rounded(effects.drop("p_text"), 6, "p_value")
+
+
+@query
+def logit_null_target(spark: SparkSession, folder: str) -> DataFrame:
+    """Rows without a target take no part in a fit, with a closed form on the others."""
+    lines = table(spark, folder, "lineitem").select(
+        F.when(F.col("l_returnflag") != "N", (F.col("l_returnflag") == "R").cast("int")).alias("label"),
+        (F.col("l_quantity") > 20).cast("int").alias("large"),
+    )
+    found = logit.logit_table(logit.fit_logit(lines, ["large"], "label"))
+    return rounded(found.select("variable", "coef", "std_err"), 6, "coef", "std_err")
+
+
+def _in_order(report: DataFrame, spark: SparkSession, name: str) -> DataFrame:
+    """A report as it stands in its file, with the place of each row."""
+    path = write_report(report, scratch_folder(spark, name), keep_order=True)
+    return spark.read.parquet(path).select("*", (F.col("_metadata.row_index") + 1).alias("place"))
+
+
+@query
+def report_order_frequency(spark: SparkSession, folder: str) -> DataFrame:
+    """Frequencies come largest first, ties by value, from the file too."""
+    return _in_order(profile.frequency(table(spark, folder, "part"), "p_type"), spark, "frequency")
+
+
+@query
+def report_order_summary(spark: SparkSession, folder: str) -> DataFrame:
+    """A summary comes variable by variable as listed, numbers in their order."""
+    parts = table(spark, folder, "part").select("p_type", "p_size")
+    report = _in_order(profile.category_summary(parts, ["p_size", "p_type"]), spark, "summary")
+    return report.select("variable", "category", "count", "place")
+
+
+@query
+def report_order_effects(spark: SparkSession, folder: str) -> DataFrame:
+    """Odds come smallest first from the file."""
+    lines = table(spark, folder, "lineitem").select(
+        (F.col("l_quantity") > 5 * F.col("l_linenumber")).cast("int").alias("large"),
+        *[(F.col("l_linenumber") == i).cast("int").alias(f"line_{i}") for i in range(2, 8)],
+    )
+    found = logit.logit_table(logit.fit_logit(lines, [f"line_{i}" for i in range(2, 8)], "large"))
+    report = _in_order(logit.odds_intervals(found), spark, "odds")
+    return rounded(report.select("variable", "odds_ratio", "place"), 6, "odds_ratio")
+
+
+@query
+def report_order_importance(spark: SparkSession, folder: str) -> DataFrame:
+    """Importances come largest first, ties by name, from the file."""
+    lines, predictors = _ruled(spark, folder)
+    model = forest.fit_forest(
+        lines.withColumn("target", F.col("open")), predictors, "target", {**c.FOREST, "max_features": "all"}
+    )
+    report = _in_order(forest.forest_importance(model), spark, "importance")
+    return rounded(report, 9, "importance")
+
+
+@query
+def percent_texts(spark: SparkSession, folder: str) -> DataFrame:
+    """Shares as text, with those that lie in the middle between two results."""
+    parts = table(spark, folder, "part").select("p_partkey", (F.col("p_partkey") / 2000).alias("share"))
+    return parts.select(
+        "p_partkey", percent_text(F.col("share"), 1).alias("one"), percent_text(F.col("share") / 8, 2).alias("two"),
+        significant_text(F.col("share") / 7919, 3).alias("significant"),
+    )
+
+
+@query
+def evaluate_missing_scores(spark: SparkSession, folder: str) -> DataFrame:
+    """Rows without score or prediction are counted and take no part in the summary."""
+    lines = scored_lines(spark, folder).select(
+        "label", F.when(F.col("quantity") <= 40, F.col("pred")).alias("pred"), F.when(F.col("tax") < 8, F.col("score")).alias("score"),
+    )
+    summary = evaluate.evaluate(lines, "label", "score", "pred")["summary"]
+    return rounded(summary.select("accuracy", "sensitivity", "n_missing"), 9, "accuracy", "sensitivity")
+
+
+@query
+def extracts_mixed_order(spark: SparkSession, folder: str) -> DataFrame:
+    """Extracts whose columns stand in another order are bound by their headers."""
+    raw = candidates(spark, folder)
+    place, paths = scratch_folder(spark, "mixed"), []
+    for i, year in enumerate([*c.TRAIN_YEARS, *c.TEST_YEARS]):
+        names = raw.columns[::-1] if i % 2 else raw.columns
+        one = raw.filter(F.col(c.PERIOD) == year).select(names)
+        one.write.options(header=True, sep=";", encoding="iso-8859-1").csv(f"{place}/{year}")
+        paths.append(f"{place}/{year}")
+    extracts = read_extracts(spark, paths, c.RAW_SCHEMA)
+    return extracts.groupBy("ANO_ELEICAO", "DS_GRAU_INSTRUCAO").agg(
+        F.count(F.lit(1)).alias("n"), F.sum("NR_CANDIDATO").alias("numbers"), F.countDistinct("NM_URNA_CANDIDATO").alias("names"),
+    )
+
+
 # ---------------------------------------------------------------- the whole analysis
 
 
@@ -669,6 +772,22 @@ def forest_tuning_depth(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("parameters", "best", (F.col("mean_f1") == 1).alias("without_error"))
 
 
+@query
+def forest_min_split(spark: SparkSession, folder: str) -> DataFrame:
+    """A target that needs a second split of a small node: found with few rows to split, not with many."""
+    lines = scored_lines(spark, folder).select(
+        F.col("pred").alias("open"), (F.col("quantity") > 44).cast("int").alias("rare")
+    )
+    lines = stored(lines.withColumn("wanted", F.col("open") * F.col("rare")))
+    params = {"trees": 20, "depth": 3, "max_features": "all"}
+    parts = []
+    for name, least in (("few", 2), ("many", lines.count() // 3)):
+        model = forest.fit_forest(lines, ["open", "rare"], "wanted", {**params, "min_split": least})
+        scored = forest.forest_scores(model, lines).withColumn("min_split", F.lit(name))
+        parts.append(profile.count_by(scored, ["min_split", "open", "rare", "prediction"]))
+    return parts[0].unionByName(parts[1])
+
+
 @query
 def stratified_folds(spark: SparkSession, folder: str) -> DataFrame:
     """Rows per class and fold, which differ by one at most."""

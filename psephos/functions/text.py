@@ -72,9 +72,32 @@ def matches_any(column: Column, patterns: Sequence[str]) -> Column:
     return column.rlike(one_pattern(patterns)) if patterns else F.lit(False)
 
 
+def fixed_text(column: Column, decimals: int) -> Column:
+    """A number with so many decimals, at most 8, rounded on its exact binary value; ties go to the even digit.
+
+    The number is split into halves of 26 bits.  Each times the scale is exact, and so is what the upper one
+    lies beside the middle between two results, so the sign of the rest is too.
+    """
+    scale = float(10**decimals)
+    size = F.abs(column)
+    spread = size * 134217729.0  # 2**27 + 1
+    high = spread - (spread - size)
+    below = F.floor(size * scale).cast("double")
+    rest = (high * scale - (below + 0.5)) + (size - high) * scale
+    up = (rest > 0) | ((rest == 0) & (below % 2 == 1))
+    whole = F.when(up, below + 1).otherwise(below).cast("bigint")
+    base = 10**decimals
+    text = F.floor(whole / base).cast("bigint").cast("string") if decimals else whole.cast("string")
+    if decimals:
+        text = F.concat(text, F.lit("."), F.lpad((whole % base).cast("string"), decimals, "0"))
+    signed = F.concat(F.when(column < 0, "-").otherwise(""), text)
+    # From 2**53 / scale on every double is exact to the decimals asked for, or has no such digits.
+    return F.when(size < 2.0**53 / scale / 2, signed).otherwise(F.format_string(f"%.{decimals}f", column))
+
+
 def percent_text(column: Column, decimals: int) -> Column:
-    """A share as percent text, for example 0.125 as ``12.5%``; ties go to the even digit."""
-    return F.format_string(f"%.{decimals}f%%", F.bround(column * 100, decimals))
+    """A share as percent text, for example 0.125 as ``12.5%``, rounded on the binary value."""
+    return F.concat(fixed_text(column * 100, decimals), F.lit("%"))
 
 
 def significant_text(column: Column, digits: int = 3) -> Column:

@@ -46,16 +46,11 @@ def recode(
 def looked_up(value: Column, mapping: Mapping) -> Column:
     """What ``mapping`` holds for the value, null if nothing.
 
-    One set of keys per result: long lists become hash sets, while a constant map would be searched
-    key by key.
+    A constant map is searched by a loop outside the generated code of the row, which stays short enough
+    to be compiled; a branch per result would not.
     """
-    keys: dict = {}
-    for key, result in mapping.items():
-        keys.setdefault(result, []).append(key)
-    found = F.lit(None)
-    for i, (result, own) in enumerate(keys.items()):
-        found = (F if i == 0 else found).when(value.isin(own), F.lit(result))
-    return found
+    pairs = [F.lit(x) for pair in mapping.items() for x in pair]
+    return F.element_at(F.create_map(*pairs), value) if pairs else F.lit(None)
 
 
 def map_values(

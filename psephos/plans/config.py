@@ -166,20 +166,22 @@ LABELS = {
     "REGIAO_SUL": {0: "não", 1: "sim"},
 }
 
-# Forest settings and search grids per office.  MLlib has no least number of rows
-# for a split, and "all" stands for no limit on the predictors tried.
-FOREST = {"trees": 100, "depth": 20, "max_features": "sqrt", "min_leaf": 1}
+# Forest settings and search grids per office; "all" stands for no limit on the
+# predictors tried.
+FOREST = {"trees": 100, "depth": 20, "max_features": "sqrt", "min_leaf": 1, "min_split": 10}
 GRIDS = {
     STATE: {
         "trees": [300, 400, 500, 600],
         "depth": [5, 10, 15, 20, 25],
         "max_features": ["sqrt", "log2", "all"],
+        "min_split": [2, 10, 50],
         "min_leaf": [1, 5, 10],
     },
     FEDERAL: {
         "trees": [100, 200, 300, 400],
         "depth": [10, 15, 20],
         "max_features": ["sqrt", "log2", "all"],
+        "min_split": [10, 50, 80],
         "min_leaf": [1, 5, 10],
     },
 }

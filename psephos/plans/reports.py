@@ -77,17 +77,17 @@ def forest_reports(
 ) -> dict[str, DataFrame]:
     """Forest as given and, with a ``grid``, the tuned one: metrics, ROC, importances.
 
-    Fits see every row; scores depend on the predictors only, so merged rows are scored.
+    Only the folds of the search need single rows; everything else counts merged ones.
     """
     predictors = feature_columns(merged, [c.TARGET, c.PERIOD, ROWS])
-    train, _ = split_by_period(features, c.PERIOD, c.TRAIN_YEARS, c.TEST_YEARS)
+    parts = split_by_period(merged, c.PERIOD, c.TRAIN_YEARS, c.TEST_YEARS)
     reports: dict[str, DataFrame] = {}
-    models = {"forest": fit_forest(train, predictors, c.TARGET, params)}
+    models = {"forest": fit_forest(parts[0], predictors, c.TARGET, params, ROWS)}
     if grid is not None:
+        train, _ = split_by_period(features, c.PERIOD, c.TRAIN_YEARS, c.TEST_YEARS)
         models["tuned"], reports["tuning"] = tune_forest(
             train, predictors, c.TARGET, grid, folds
         )
-    parts = split_by_period(merged, c.PERIOD, c.TRAIN_YEARS, c.TEST_YEARS)
     for name, model in models.items():
         for part, rows in zip(("train", "test"), parts):
             tables = evaluate(
@@ -163,7 +163,7 @@ def office_reports(
 ) -> dict[str, DataFrame]:
     """All report tables of one office from its stored cohort and feature rows.
 
-    The feature rows are merged once; only the forest fits go back to single rows.
+    The feature rows are merged once; only the folds of a search go back to single rows.
     """
     columns = feature_columns(features, ["DS_CARGO"])
     merged = stored(collapse(features, columns, ROWS))

@@ -2,6 +2,7 @@ import math
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from checks import queries
 from psephos.operators import forest, logit
@@ -114,7 +115,7 @@ def test_balanced_weights(spark):
 
 
 def test_subset_sizes():
-    assert [forest.subset_size(17, rule) for rule in ("sqrt", "log2", "all", "3")] == ["4", "4", "all", "3"]
+    assert [forest.subset_size(17, rule) for rule in ("sqrt", "log2", "all", "3", "99")] == [4, 4, 17, 3, 17]
 
 
 def test_forest_separates_and_repeats(spark):
@@ -130,7 +131,12 @@ def test_forest_separates_and_repeats(spark):
     shares = forest.forest_importance(models[0]).collect()
     assert sum(r.importance for r in shares) == pytest.approx(1.0) and shares[0].feature == "a"
     with pytest.raises(ValueError, match="unknown forest parameters"):
-        forest.fit_forest(df, ["a"], "y", {"min_split": 2})
+        forest.fit_forest(df, ["a"], "y", {"min_splits": 2})
+    gap = df.withColumn("a", F.when(F.col("a") == 0, F.col("a")))
+    with pytest.raises(ValueError, match="missing values in a"):
+        forest.fit_forest(gap, ["a", "b"], "y", params)
+    scores = forest.forest_scores(models[0], gap).filter("a is null").select("score", "prediction").distinct().collect()
+    assert [tuple(row) for row in scores] == [(None, None)]
 
 
 def test_folds_share_out_every_class(spark):
@@ -151,13 +157,13 @@ def test_folds_of_many_classes(spark):
 
 def test_points_that_come_to_one_forest_are_fitted_once(spark, train, monkeypatch):
     fitted = []
-    plain = forest._forest
-    monkeypatch.setattr(forest, "_forest", lambda *a: fitted.append(a[2]) or plain(*a))
-    grid = {"trees": [2], "depth": [2], "max_features": ["sqrt", "log2", "1"], "min_leaf": [1]}
+    plain = forest._tune_in_tasks
+    monkeypatch.setattr(forest, "_tune_in_tasks", lambda merged, specs, weights: fitted.extend(specs) or plain(merged, specs, weights))
+    grid = {"trees": [2, 4], "depth": [2, 3], "max_features": ["sqrt", "log2", "1"], "min_leaf": [1], "min_split": [2, 30]}
     _, table = forest.tune_forest(train, ["a", "b", "c"], "y", grid, folds=2)
     rows = table.collect()
-    assert len(rows) == 3 and len({row.mean_f1 for row in rows}) == 1
-    assert len(fitted) == 2  # one point, and the stages it is put into
+    assert len(rows) == 24 and len({(row.parameters.replace("sqrt", "1").replace("log2", "1"), row.mean_f1) for row in rows}) == 8
+    assert len(fitted) == 2  # one run of trees per fold
 
 
 def test_tuning_refits_the_best(spark, train):
@@ -166,7 +172,7 @@ def test_tuning_refits_the_best(spark, train):
     rows = table.collect()
     assert len(rows) == 2 and [r.best for r in rows].count(True) == 1
     best = max(rows, key=lambda r: r.mean_f1)
-    assert best.best and f"depth={model.stages[-1].getMaxDepth()}" in best.parameters
+    assert best.best and f"depth={model.settings.depth}" in best.parameters
     assert all(0 <= r.mean_f1 <= 1 for r in rows)
 
 
