@@ -92,7 +92,8 @@ def fixed_text(column: Column, decimals: int) -> Column:
         text = F.concat(text, F.lit("."), F.lpad((whole % base).cast("string"), decimals, "0"))
     signed = F.concat(F.when(column < 0, "-").otherwise(""), text)
     # From 2**53 / scale on every double is exact to the decimals asked for, or has no such digits.
-    return F.when(size < 2.0**53 / scale / 2, signed).otherwise(F.format_string(f"%.{decimals}f", column))
+    text = F.when(size < 2.0**53 / scale / 2, signed).otherwise(F.format_string(f"%.{decimals}f", column))
+    return F.when(column.isNotNull(), text)
 
 
 def percent_text(column: Column, decimals: int) -> Column:

@@ -1,9 +1,10 @@
 """Variance inflation of predictors."""
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
+import pyarrow as pa
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.stat import Correlation
 from pyspark.sql import DataFrame
@@ -26,16 +27,23 @@ def _correlation(df: DataFrame, cols: Sequence[str], weight: str | None) -> np.n
     sums = numbers.agg(
         F.sum("w").alias("w"), *[F.sum(F.col("w") * F.col(n)).alias(n) for n in names]
     ).first()
-    centred = numbers.select(
-        "w", *[(F.col(n) - F.lit(sums[n] / sums["w"])).alias(n) for n in names]
-    )
-    pairs = [(i, j) for i in range(len(cols)) for j in range(i, len(cols))]
-    products = centred.agg(
-        *[F.sum(F.col("w") * F.col(f"x{i}") * F.col(f"x{j}")) for i, j in pairs]
-    ).first()
+    if not sums["w"]:
+        return np.full((len(cols), len(cols)), np.nan)
+    means = np.asarray([sums[n] / sums["w"] for n in names])
+
+    def products(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = np.zeros((len(means), len(means)))
+        for batch in batches:
+            x = np.stack([np.asarray(batch.column(i)) for i in range(len(means))], 1) - means
+            own += x.T @ (x * np.asarray(batch.column("w"))[:, None])
+        i, j = np.triu_indices(len(means))
+        yield pa.RecordBatch.from_arrays([pa.array(i), pa.array(j), pa.array(own[i, j])], ["i", "j", "p"])
+
+    # One matrix per task, added up by cell.
+    cells = numbers.mapInArrow(products, "i long, j long, p double").groupBy("i", "j").agg(F.sum("p").alias("p"))
     matrix = np.zeros((len(cols), len(cols)))
-    for (i, j), value in zip(pairs, products):
-        matrix[i, j] = matrix[j, i] = value
+    for row in cells.collect():
+        matrix[row.i, row.j] = matrix[row.j, row.i] = row.p
     spread = np.sqrt(np.diag(matrix))
     with np.errstate(invalid="ignore", divide="ignore"):
         return matrix / np.outer(spread, spread)

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from psephos.functions.numeric import known, ratio, total
-from psephos.operators.running import ROWS_PER_RANGE, running_totals
+from psephos.operators.running import running_totals
 from psephos.operators.shape import quoted
 from psephos.sources.scratch import stored
 
@@ -100,9 +100,9 @@ def classification_report(
 
 
 def _by_score(df: DataFrame, label: str, score: str, weight: str | None) -> DataFrame:
-    """Positives and negatives per distinct score, stored for the running totals."""
+    """Positives and negatives per distinct score."""
     actual = F.col(quoted(label))
-    return stored(
+    return (
         df.select(known(F.col(quoted(score))).alias("score"), actual.alias("_label"),
                   *([weight] if weight else []))
         .filter(F.col("score").isNotNull() & F.col("_label").isNotNull())
@@ -114,17 +114,20 @@ def _by_score(df: DataFrame, label: str, score: str, weight: str | None) -> Data
     )
 
 
-def _roc(grouped: DataFrame, drop_collinear: bool, rows_per_range: int) -> DataFrame:
-    summed = running_totals(
-        grouped, "score", ["pos", "neg"], descending=True, following=drop_collinear,
-        rows_per_range=rows_per_range,
+def _summed(grouped: DataFrame, rows_per_range: int | None) -> DataFrame:
+    """The scores from the highest down, with what lies above and next to each."""
+    return running_totals(
+        grouped, "score", ["pos", "neg"], descending=True, following=True, rows_per_range=rows_per_range
     )
+
+
+def _roc(summed: DataFrame, drop_collinear: bool) -> DataFrame:
+    whole = summed.agg(F.sum("pos").alias("_pos"), F.sum("neg").alias("_neg"))
     if drop_collinear:
         # A point in the middle of a straight stretch has equal steps on both sides.
         bend = (F.col("next_pos") != F.col("pos")) | (F.col("next_neg") != F.col("neg"))
         first = (F.col("cum_pos") == F.col("pos")) & (F.col("cum_neg") == F.col("neg"))
         summed = summed.filter(F.col("next_pos").isNull() | first | bend)
-    whole = grouped.agg(F.sum("pos").alias("_pos"), F.sum("neg").alias("_neg"))
     points = summed.select(
         F.col("score").alias("threshold"), F.col("cum_pos").alias("tp"), F.col("cum_neg").alias("fp")
     )
@@ -146,20 +149,17 @@ def roc_points(
     score: str,
     drop_collinear: bool = False,
     weight: str | None = None,
-    rows_per_range: int = ROWS_PER_RANGE,
+    rows_per_range: int | None = None,
 ) -> DataFrame:
     """ROC points from the origin down to the lowest score: threshold, tp, fp, fpr, tpr.
 
     A rate is null if its class is absent.  ``drop_collinear`` leaves out the inner points
     of straight stretches; the first point after the origin always stays.
     """
-    return _roc(_by_score(df, label, score, weight), drop_collinear, rows_per_range)
+    return _roc(_summed(_by_score(df, label, score, weight), rows_per_range), drop_collinear)
 
 
-def _auc(grouped: DataFrame, rows_per_range: int) -> DataFrame:
-    summed = running_totals(
-        grouped, "score", ["pos"], descending=True, rows_per_range=rows_per_range
-    )
+def _auc(summed: DataFrame) -> DataFrame:
     pos, neg = F.col("pos").cast("double"), F.col("neg").cast("double")
     # Every negative counts the positives above it, and half of those level with it.
     area = F.sum(neg * (F.col("cum_pos") - pos / 2))
@@ -174,10 +174,10 @@ def auc(
     label: str,
     score: str,
     weight: str | None = None,
-    rows_per_range: int = ROWS_PER_RANGE,
+    rows_per_range: int | None = None,
 ) -> DataFrame:
     """One row: area under the ROC curve and Gini = 2 auc - 1; null if a class is absent."""
-    return _auc(_by_score(df, label, score, weight), rows_per_range)
+    return _auc(_summed(_by_score(df, label, score, weight), rows_per_range))
 
 
 def metrics_at_cutoff(
@@ -264,9 +264,9 @@ def evaluate(
     whole = F.col("label").isNotNull() & F.col("predicted").isNotNull() & F.col("score").isNotNull()
     missing = every.agg(F.coalesce(total("n", ~whole), F.lit(0))).first()[0]
     merged = every.filter(whole)
-    grouped = _by_score(merged, "label", "score", "n")
+    summed = _summed(_by_score(merged, "label", "score", "n"), None)
     metrics = binary_metrics(merged, "label", "predicted", "n")
-    area = _auc(grouped, ROWS_PER_RANGE).first()
+    area = _auc(summed).first()
     summary = metrics.withColumns(
         {
             "auc": F.lit(area.auc).cast("double"), "gini": F.lit(area.gini).cast("double"),
@@ -277,5 +277,5 @@ def evaluate(
         "summary": summary,
         "confusion": confusion(merged, "label", "predicted", "n"),
         "report": classification_report(merged, "label", "predicted", "n"),
-        "roc": _roc(grouped, True, ROWS_PER_RANGE),
+        "roc": _roc(summed, True),
     }

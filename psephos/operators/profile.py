@@ -15,7 +15,7 @@ from psephos.operators.encode import decode_labels
 from psephos.operators.quantiles import (
     add_bins,
     bin_of,
-    edges_from_counts,
+    edges_of,
     is_number,
     quantile_edges,
 )
@@ -196,19 +196,7 @@ def event_rates(
     edges: dict[str, list[float]] = {}
     if numbers:
         sums = stored(sums)
-        # As many rows as there are variables.
-        spans = (
-            sums.filter(number.isNotNull())
-            .groupBy("variable")
-            .agg(total(None).alias("distinct"), F.bool_and(number.isin(0.0, 1.0)).alias("dummy"))
-            .collect()
-        )
-        cut = [s.variable for s in spans if s.distinct > max_classes and not s.dummy]
-        if cut:
-            counts = sums.filter(F.col("variable").isin(cut))
-            edges = edges_from_counts(
-                counts.select("variable", number.alias("value"), "n"), max_classes, "variable"
-            )
+        edges = edges_of(sums.filter(number.isNotNull()).select("variable", number.alias("value"), "n"), max_classes)
 
     shown = F.when(F.col("variable").isin(whole), number.cast("bigint").cast("string")).otherwise(
         number.cast("string")

@@ -1,15 +1,14 @@
 """Exact quantile edges and quantile bins."""
 from __future__ import annotations
 
-from collections.abc import Sequence
+import math
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.window import Window
 
 from psephos.functions.numeric import known, total
-from psephos.operators.running import ROWS_PER_RANGE, with_ranges
 from psephos.operators.shape import quoted
 
 
@@ -18,109 +17,156 @@ def is_number(df: DataFrame, col: str) -> bool:
     return isinstance(df.schema[col].dataType, T.NumericType)
 
 
+#: Values between two brackets that come to the driver at most; more are bracketed again.
+BETWEEN = 10_000
+#: Relative rank error of the sketches behind the first brackets.
+ACCURACY = 1_000
+
+
 def quantile_edges(
     df: DataFrame,
     col: str,
     k: int,
     weight: str | None = None,
     approximate: float | None = None,
-    rows_per_range: int = ROWS_PER_RANGE,
+    between: int = BETWEEN,
 ) -> list[float] | None:
     """Edges of ``k`` bins of equal frequency, equal edges merged; None if it needs no bins.
 
     A column needs none if it has at most ``k`` distinct values or only 0 and 1.  Edges are
-    order statistics with linear interpolation, found from the counts per distinct value;
-    ``approximate`` (a relative rank error) reads them off a sketch of the rows instead.
+    order statistics with linear interpolation; ``approximate`` (a relative rank error) reads them off a sketch
+    of the rows instead.
     """
     if not is_number(df, col):
         return None
-    counts = (
-        df.select(known(F.col(quoted(col))).alias("value"), *([weight] if weight else []))
-        .dropna(subset=["value"])
-        .groupBy("value")
-        .agg(total(weight).alias("n"))
-    )
+    rows = df.select(
+        F.lit(col).alias("variable"), known(F.col(quoted(col))).alias("value"),
+        (F.lit(1) if weight is None else F.col(weight)).cast("bigint").alias("n"),
+    ).filter(F.col("value").isNotNull())
     if approximate is not None:
-        few = [row.value for row in counts.select("value").limit(max(k, 2) + 1).collect()]
-        if len(few) <= k or set(few) <= {0.0, 1.0}:
-            return None
         if weight is not None:
             raise ValueError("approximate edges count every row once")
-        numbers = df.select(known(F.col(quoted(col))).alias("value"))
-        shares = [i / k for i in range(k + 1)]
-        return sorted(set(numbers.approxQuantile("value", shares, approximate)))
-
-    counts = counts.persist()
-    try:
-        seen = counts.agg(
-            F.count(F.lit(1)).alias("distinct"),
-            F.bool_and(F.col("value").isin(0.0, 1.0)).alias("dummy"),
-        ).first()
-        if seen.distinct <= k or seen.dummy:
+        few = {row.value for row in rows.select("value").distinct().limit(max(k, 2) + 1).collect()}
+        if len(few) <= k or few <= {0.0, 1.0}:
             return None
-        return edges_from_counts(counts, k, rows_per_range=rows_per_range)[None]
-    finally:
-        counts.unpersist()
+        shares = [i / k for i in range(k + 1)]
+        return sorted(set(rows.approxQuantile("value", shares, approximate)))
+    return edges_of(rows, k, between).get(col)
 
 
-def edges_from_counts(
-    counts: DataFrame, k: int, group: str | None = None, rows_per_range: int = ROWS_PER_RANGE
-) -> dict[str | None, list[float]]:
-    """Edges of ``k`` bins of equal frequency per group, from rows (group, value, n).
+def edges_of(rows: DataFrame, k: int, between: int = BETWEEN) -> dict[str, list[float]]:
+    """Edges of ``k`` bins per variable that needs bins, from rows (variable, value, n).
 
-    ``counts`` is read several times.  Without ``group`` there is one group, None.  Of many
-    values only the ranges that hold a wanted rank are ever sorted.
+    One pass sketches every variable, which gives two brackets around each wanted rank; a second counts the rows
+    up to every bracket; a third reads the few values between the brackets of a rank.  Nothing is sorted or
+    shuffled but sums.  ``rows`` is read in each pass.  The driver gets a few numbers per edge, and at most
+    ``between`` values for a pair of brackets, which are moved closer until that holds.
     """
-    placed = with_ranges(counts, "value", group, rows_per_range)
-    name = F.lit(None).cast("string") if group is None else F.col(group)
-    placed = placed.withColumn("_name", name)
-    # One row per range.
-    totals = placed.groupBy("_name", "_range").agg(F.sum("n").alias("n")).orderBy("_range").collect()
-    rows = dict.fromkeys([total._name for total in totals], 0)
-    starts: dict[tuple, int] = {}
-    for total in totals:
-        starts[total._name, total._range] = rows[total._name]
-        rows[total._name] += total.n
-    positions = {label: [i / k * (n - 1) for i in range(k + 1)] for label, n in rows.items()}
+    rows = rows.filter(F.col("n") > 0)
+    shares = sorted({min(max(i / k + step, 0.0), 1.0) for i in range(k + 1) for step in (-2 / ACCURACY, 0.0, 2 / ACCURACY)})
+    sketches = rows.groupBy("variable").agg(
+        F.sum("n").alias("rows"), F.min("value").alias("low"), F.max("value").alias("high"),
+        F.bool_and(F.col("value").isin(0.0, 1.0)).alias("dummy"), F.approx_count_distinct("value").alias("distinct"),
+        F.percentile_approx("value", shares, 10 * ACCURACY).alias("marks"),
+    ).collect()
+    # The estimate is off by a twentieth; only columns of few values need an exact count, and these are few.
+    unsure = [s.variable for s in sketches if s.distinct <= 2 * k + 2 and not s.dummy]
+    exact = {}
+    if unsure:
+        of_few = rows.filter(F.col("variable").isin(unsure)).groupBy("variable").agg(F.size(F.collect_set("value")).alias("distinct"))
+        exact = {row.variable: row.distinct for row in of_few.collect()}
+    cut = {s.variable: s for s in sketches if not s.dummy and exact.get(s.variable, k + 1) > k}
+    if not cut:
+        return {}
     ranks = {
-        label: {r for p in places for r in (int(p), min(int(p) + 1, rows[label] - 1))}
-        for label, places in positions.items()
+        name: sorted({r for i in range(k + 1) for p in [i / k * (s.rows - 1)] for r in (int(p), min(int(p) + 1, s.rows - 1))})
+        for name, s in cut.items()
     }
-
-    here, wanted = F.lit(False), F.array().cast("array<bigint>")
-    for total in totals:
-        start = starts[total._name, total._range]
-        inside = sorted(r - start for r in ranks[total._name] if 0 <= r - start < total.n)
-        if inside:
-            mine = F.col("_name").eqNullSafe(F.lit(total._name)) & (F.col("_range") == total._range)
-            here = here | mine
-            held = F.array(*[F.lit(rank).cast("bigint") for rank in inside])
-            wanted = F.when(mine, held).otherwise(wanted)
-    order = Window.partitionBy("_name", "_range").orderBy("value")
-    upto = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    summed = placed.filter(here).withColumn("_cum", F.sum("n").over(upto))
-    # At most two values per edge hold a wanted rank.
-    holders = summed.filter(
-        F.exists(wanted, lambda rank: (rank < F.col("_cum")) & (rank >= F.col("_cum") - F.col("n")))
-    ).select("_name", F.col("_cum").alias("cum"), "_range", "value")
-    found: dict[str | None, list] = {label: [] for label in positions}
-    for row in holders.collect():
-        found[row._name].append((starts[row._name, row._range] + row.cum, row.value))
-
-    def at(label: str | None, rank: int) -> float:
-        return next(value for upto_rank, value in sorted(found[label]) if rank < upto_rank)
-
+    rows = rows.filter(F.col("variable").isin(list(cut)))
+    marks = {name: sorted({s.low, s.high, *s.marks}) for name, s in cut.items()}
+    values = _values_at(rows, ranks, marks, between)
     edges = {}
-    for label, places in positions.items():
-        values = set()
-        for place in places:
+    for name, s in cut.items():
+        found = set()
+        for i in range(k + 1):
+            place = i / k * (s.rows - 1)
             low = int(place)
-            below, above = at(label, low), at(label, min(low + 1, rows[label] - 1))
-            values.add(below + (above - below) * (place - low))
-        edges[label] = sorted(values)
+            below, above = values[name, low], values[name, min(low + 1, s.rows - 1)]
+            found.add(below + (above - below) * (place - low))
+        edges[name] = sorted(found)
     return edges
 
 
+def _counts(rows: DataFrame, marks: Mapping[str, Sequence[float]]) -> dict[str, list[tuple[int, int, int]]]:
+    """Per variable and gap between its marks: rows at the lower mark, rows inside, and distinct values inside, about.
+
+    A mark is the smallest value of its gap; the last gap holds its mark alone.
+    """
+    place = F.lit(None).cast("int")
+    for name, own in marks.items():
+        edges = F.array(*map(F.lit, own))
+        mine = F.size(F.filter(edges, lambda mark: mark <= F.col("value"))) - 1
+        place = F.when(F.col("variable") == name, mine).otherwise(place)
+    at = [F.when(F.col("variable") == name, F.element_at(F.array(*map(F.lit, own)), F.col("gap") + 1)) for name, own in marks.items()]
+    on_mark = F.col("value") == F.coalesce(*at)
+    sums = rows.withColumn("gap", place).groupBy("variable", "gap").agg(
+        total("n", on_mark).alias("at"), total("n", ~on_mark).alias("inside"), F.approx_count_distinct(F.when(~on_mark, F.col("value"))).alias("distinct")
+    )
+    out = {name: [(0, 0, 0)] * len(own) for name, own in marks.items()}
+    for row in sums.collect():
+        out[row.variable][row.gap] = (row.at, row.inside, row.distinct)
+    return out
+
+
+def _values_at(
+    rows: DataFrame, ranks: Mapping[str, Sequence[int]], marks: dict[str, list[float]], between: int
+) -> dict[tuple[str, int], float]:
+    """The value at each wanted rank, from 0, of each variable."""
+    values: dict[tuple[str, int], float] = {}
+    while True:
+        counted = _counts(rows, marks)
+        gaps: dict[tuple[str, int], tuple[int, list[int], int]] = {}
+        for name, own in marks.items():
+            start = 0
+            for gap, (at, inside, distinct) in enumerate(counted[name]):
+                for rank in ranks[name]:
+                    if start <= rank < start + at:
+                        values[name, rank] = own[gap]
+                    elif start + at <= rank < start + at + inside:
+                        gaps.setdefault((name, gap), (start + at, [], distinct))[1].append(rank)
+                start += at + inside
+        wide = {key for key, (_, _, distinct) in gaps.items() if distinct > between}
+        inside_of = {
+            key: (F.col("variable") == key[0]) & (F.col("value") > marks[key[0]][key[1]])
+            & (F.col("value") < (marks[key[0]][key[1] + 1] if key[1] + 1 < len(marks[key[0]]) else math.inf))
+            for key in gaps
+        }
+        narrow = [key for key in gaps if key not in wide]
+        if narrow:
+            here = F.lit(False)
+            for key in narrow:
+                here = here | inside_of[key]
+            # About ``between`` values a gap, and a gap holds a wanted rank.
+            found = rows.filter(here).groupBy("variable", "value").agg(F.sum("n").alias("n")).collect()
+            for name, gap in narrow:
+                start, wanted, _ = gaps[name, gap]
+                low = marks[name][gap]
+                high = marks[name][gap + 1] if gap + 1 < len(marks[name]) else math.inf
+                for value, n in sorted((row.value, row.n) for row in found if row.variable == name and low < row.value < high):
+                    values.update({(name, rank): value for rank in wanted if start <= rank < start + n})
+                    start += n
+        if not wide:
+            return values
+        # More marks within the wide gaps, from a sketch of each; a gap without wanted ranks needs none.
+        closer: dict[str, list[float]] = {}
+        for key in sorted(wide):
+            shares = [i / 100 for i in range(1, 100)]
+            own = rows.filter(inside_of[key]).agg(F.percentile_approx("value", shares, ACCURACY).alias("marks")).first().marks
+            closer.setdefault(key[0], []).extend(own)
+        ranks = {name: [rank for rank in ranks[name] if (name, rank) not in values] for name in closer}
+        marks = {name: sorted({*marks[name], *own}) for name, own in closer.items()}
+
+
 def bin_of(number: Column, edges: Sequence[float]) -> Column:
     """The bin (label, lower, upper) of a number that is not null."""
     bins = [

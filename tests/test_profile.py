@@ -106,12 +106,12 @@ def test_equal_edges_merge(one_column):
     assert quantile_edges(one_column(values, "double"), "value", 4) == [1.0, 7.0]
 
 
-@pytest.mark.parametrize("rows_per_range", [7, 1_000_000])
-def test_edges_equal_numpy(spark, rows_per_range):
+@pytest.mark.parametrize("between", [2, 50, 1_000_000])
+def test_edges_equal_numpy(spark, between):
     generator = np.random.default_rng(3)
     values = np.concatenate([generator.normal(size=400).round(2), np.full(200, 0.25), [np.nan] * 5])
     df = spark.createDataFrame([(float(v),) for v in values], "v double").repartition(5)
-    found = quantile_edges(df, "v", 7, rows_per_range=rows_per_range)
+    found = quantile_edges(df, "v", 7, between=between)
     expected = np.unique(np.quantile(values[~np.isnan(values)], np.linspace(0, 1, 8)))
     assert np.allclose(found, expected, atol=1e-12) and len(found) == len(expected)
 
@@ -152,10 +152,7 @@ def test_calibration(spark):
     assert [r.predicted for r in found] == pytest.approx([0.2, 0.7])
 
 
-def test_many_small_ranges_and_blocks(spark, monkeypatch):
-    from psephos.operators import running
-
-    monkeypatch.setattr(running, "RANGES_PER_BLOCK", 7)
+def test_many_small_ranges(spark):
     df = spark.range(50_000).selectExpr("CAST((id * 7919) % 50000 AS double) AS k", "id % 5 AS n").cache()
     found = running_totals(df, "k", ["n"], following=True, rows_per_range=1_000).orderBy("k").collect()
     total, expected = 0, []
@@ -164,3 +161,25 @@ def test_many_small_ranges_and_blocks(spark, monkeypatch):
         total += n
         expected.append((total, values[i + 1] if i + 1 < len(values) else None))
     assert [(row.cum_n, row.next_n) for row in found] == expected
+
+
+def test_nothing_but_sums_is_shuffled_for_edges(spark, monkeypatch):
+    """Values go to the driver from between the brackets only, and no plan sorts or repartitions them."""
+    from pyspark.sql.classic.dataframe import DataFrame
+
+    plans, read = [], []
+    plain = DataFrame.collect
+
+    def collect(self):
+        plans.append(self._jdf.queryExecution().executedPlan().toString())
+        rows = plain(self)
+        read.append(len(rows))
+        return rows
+
+    monkeypatch.setattr(DataFrame, "collect", collect)
+    df = spark.range(200_000).selectExpr("cast(hash(id) as double) v")
+    values = sorted(row.v for row in df.toLocalIterator())
+    found = quantile_edges(df, "v", 4, between=1_000)
+    assert found == pytest.approx(np.quantile(values, [0, 0.25, 0.5, 0.75, 1]).tolist())
+    assert not any("rangepartitioning" in plan or "Sort [" in plan for plan in plans)
+    assert max(read) < 8 * 1_500
