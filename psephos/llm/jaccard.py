@@ -27,13 +27,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from psephos.llm.components import components
-from psephos.llm.tables import by_block, columns, join_groups, place
+from psephos.llm.tables import by_block, columns, give_back, join_groups, key_filter, passes, place
 from psephos.llm.text import BLOCK_BYTES, Texts, blocks, grouped_equal, mixed, sums_between
 from psephos.sources import stored
 
 SLOTS = 1 << 24
 PARTS = 64
 CELLS = 256
+#: The scale of a counter that stands at one.
+ONCE = 8
 #: A set of keys of at most so many rows is broadcast; beyond it both sides are shuffled.
 FEW = 200_000
 #: Random classes that each class of a crowded n-gram meets in one round.  Rounds go on while there are more pairs
@@ -118,6 +120,7 @@ def described(docs: DataFrame, measure: Measure) -> DataFrame:
         parts = [zlib.compress(x.tobytes(), 1) for x in counters.reshape(PARTS, -1)]
         none = pa.nulls(PARTS)
         yield columns(schema, id=none, place=none, n=none, sig=none, cells=none, part=np.arange(PARTS), counts=parts)
+        give_back()
 
     rows = docs.select("id", "text", place("text").alias("place"))
     return rows.mapInArrow(run, "id long, place long, n long, sig long, cells binary, part int, counts binary")
@@ -133,7 +136,7 @@ def frequencies(counters: DataFrame) -> np.ndarray:
             for part, counts in zip(batch.column("part").to_pylist(), batch.column("counts").to_pylist(), strict=True):
                 total[part] = total.get(part, 0) + np.frombuffer(zlib.decompress(counts), np.uint16).astype(np.int64)
         for part, counts in total.items():
-            scale = np.minimum(np.log2(counts + 1.0) * 8, 255).astype(np.uint8)
+            scale = np.minimum(np.log2(counts + 1.0) * ONCE, 255).astype(np.uint8)
             yield columns(schema, part=[part], scale=[scale.tobytes()])
 
     merged = counters.select("part", "counts").repartition(PARTS, "part").mapInArrow(run, "part int, scale binary")
@@ -142,17 +145,23 @@ def frequencies(counters: DataFrame) -> np.ndarray:
     return np.frombuffer(b"".join(found.get(part, empty) for part in range(PARTS)), np.uint8)
 
 
-def postings(docs: DataFrame, measure: Measure, scale: np.ndarray) -> DataFrame:
-    """(token, sig, n, pos): the prefix of the set of every document, ``pos`` from 0."""
-    shared = docs.sparkSession.sparkContext.broadcast(scale)  # SLOTS bytes
+def postings(docs: DataFrame, measure: Measure, scale: np.ndarray, known: tuple[np.ndarray, int] | None = None) -> DataFrame:
+    """(token, sig, n, pos): the prefix of the set of every document, ``pos`` from 0.
+
+    N-grams alone in their counter are nobody else's and are left out, and so is what the filter ``known`` stops.
+    """
+    shared = docs.sparkSession.sparkContext.broadcast((scale, known))  # SLOTS bytes, and those of the filter
     schema = pa.schema([("token", pa.int64()), ("sig", pa.int64()), ("n", pa.int32()), ("pos", pa.int32())])
 
     def work(block: pa.RecordBatch) -> pa.RecordBatch:
         owners, values, bounds = sets(Texts(block.column("text"), lower=True), measure.words)
-        sizes = np.diff(bounds)
-        order = np.lexsort((values, shared.value[(values >> _U(40)).astype(np.int64)], owners))
+        sizes, (scale, known) = np.diff(bounds), shared.value
+        often = scale[(values >> _U(40)).astype(np.int64)]
+        order = np.lexsort((values, often, owners))
         pos = np.arange(len(values)) - bounds[owners]
-        kept = pos < measure.prefix(sizes)[owners]
+        kept = (pos < measure.prefix(sizes)[owners]) & (often[order] > ONCE)
+        if known is not None:
+            kept &= passes(*known, values[order])
         sig = signatures(values, bounds)[owners[kept]]
         return columns(schema, token=values[order][kept].view(np.int64), sig=sig, n=sizes[owners[kept]], pos=pos[kept])
 
@@ -277,10 +286,11 @@ def join_classes(docs: DataFrame, measure: Measure) -> tuple[DataFrame, DataFram
         ).select("sig", "n", "cells", "size", "first.id", "first.place")
     )
 
-    # The prefixes are computed twice rather than stored: most of their tokens are nobody else's.
-    every = postings(docs, measure, scale)
-    tokens = every.groupBy("token").agg(F.min("sig").alias("hub"), F.max("sig").alias("last"))
+    # The prefixes are computed twice rather than stored: most of their tokens are nobody else's, and a filter on the
+    # others keeps them from being shuffled again.
+    tokens = postings(docs, measure, scale).groupBy("token").agg(F.min("sig").alias("hub"), F.max("sig").alias("last"))
     tokens = stored(tokens.filter("hub <> last").select("token", "hub"))
+    every = postings(docs, measure, scale, key_filter(tokens, "token"))
     shared = stored(every.join(tokens, "token").distinct())  # classes that share a token, once each
     hubs = stored(shared.filter("sig = hub").select("token", "sig", "n", "pos"))
     met = shared.filter("sig <> hub").alias("x").join(hubs.alias("y"), F.col("x.token") == F.col("y.token"))
@@ -289,7 +299,7 @@ def join_classes(docs: DataFrame, measure: Measure) -> tuple[DataFrame, DataFram
     links = stored(verified(stored(cell_filter(pairs, classes, measure)), docs, measure))
 
     # Classes under one hub are settled, and so are those under its own hub.
-    under = stored(links.groupBy("a").agg(F.min("b").alias("root")).withColumnRenamed("a", "sig"))
+    under = links.groupBy("a").agg(F.min("b").alias("root")).withColumnRenamed("a", "sig")
     above = under.select(F.col("sig").alias("root"), F.col("root").alias("higher"))
     under = stored(under.join(above, "root", "left").select("sig", F.coalesce("higher", "root").alias("root")))
     tried = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))

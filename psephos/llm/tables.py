@@ -1,8 +1,10 @@
 """Small helpers that several operators share."""
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -11,6 +13,8 @@ from psephos.llm.text import BLOCK_BYTES, blocks
 
 #: A group with more than this share of all rows is joined by broadcast; so at most this many are.
 HOT_SHARE = 1000
+#: Most bits of a filter on keys, which travels to every task.
+FILTER_BITS = 1 << 28
 
 
 def by_block(
@@ -25,10 +29,43 @@ def by_block(
                 out = work(block)
                 if out is not None and out.num_rows:
                     yield out
+        give_back()
 
     return docs.mapInArrow(run, schema)
 
 
+def give_back() -> None:
+    """Return the memory that a finished task has freed, as its Python process stays for later ones."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # a C library without it
+        pass
+
+
+def key_filter(keys: DataFrame, key: str) -> tuple[np.ndarray, int]:
+    """Bits of a filter on the long column ``key`` of stored ``keys``, and their number, a power of two.
+
+    About eight bits a key, ``FILTER_BITS`` at most; beyond that more keys pass, none is lost.
+    """
+    size = 1 << 16
+    while size < min(8 * keys.count(), FILTER_BITS):
+        size *= 2
+    slot = F.col(key).bitwiseAND(size - 1)
+    words = keys.groupBy(F.shiftright(slot, 6).alias("word")).agg(
+        F.bit_or(F.expr(f"shiftleft(1L, cast({key} & 63 as int))")).alias("bits")
+    ).toArrow()  # a row per 64 bits
+    bits = np.zeros(size // 64, np.uint64)
+    bits[np.asarray(words.column("word"))] = np.asarray(words.column("bits")).view(np.uint64)
+    return bits, size
+
+
+def passes(bits: np.ndarray, size: int, values: np.ndarray) -> np.ndarray:
+    """Which 64-bit ``values`` the filter lets through."""
+    slots = values.view(np.int64) & (size - 1)
+    return ((bits[slots >> 6] >> (slots & 63).astype(np.uint64)) & np.uint64(1)).astype(bool)
+
+
 def columns(schema: pa.Schema, **values) -> pa.RecordBatch:
     """A record batch of ``schema`` from arrays by name."""
     arrays = []
