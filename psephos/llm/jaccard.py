@@ -159,7 +159,7 @@ def postings(docs: DataFrame, measure: Measure, scale: np.ndarray, known: tuple[
         often = scale[(values >> _U(40)).astype(np.int64)]
         order = np.lexsort((values, often, owners))
         pos = np.arange(len(values)) - bounds[owners]
-        kept = (pos < measure.prefix(sizes)[owners]) & (often[order] > ONCE)
+        kept = (pos < measure.prefix(sizes)[owners]) & (often[order] != ONCE)
         if known is not None:
             kept &= passes(*known, values[order])
         sig = signatures(values, bounds)[owners[kept]]
