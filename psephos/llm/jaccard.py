@@ -34,8 +34,6 @@ from psephos.sources import stored
 SLOTS = 1 << 24
 PARTS = 64
 CELLS = 256
-#: The scale of a counter that stands at one.
-ONCE = 8
 #: A set of keys of at most so many rows is broadcast; beyond it both sides are shuffled.
 FEW = 200_000
 #: Random classes that each class of a crowded n-gram meets in one round.  Rounds go on while there are more pairs
@@ -136,7 +134,7 @@ def frequencies(counters: DataFrame) -> np.ndarray:
             for part, counts in zip(batch.column("part").to_pylist(), batch.column("counts").to_pylist(), strict=True):
                 total[part] = total.get(part, 0) + np.frombuffer(zlib.decompress(counts), np.uint16).astype(np.int64)
         for part, counts in total.items():
-            scale = np.minimum(np.log2(counts + 1.0) * ONCE, 255).astype(np.uint8)
+            scale = np.minimum(np.log2(counts + 1.0) * 8, 255).astype(np.uint8)
             yield columns(schema, part=[part], scale=[scale.tobytes()])
 
     merged = counters.select("part", "counts").repartition(PARTS, "part").mapInArrow(run, "part int, scale binary")
@@ -146,20 +144,16 @@ def frequencies(counters: DataFrame) -> np.ndarray:
 
 
 def postings(docs: DataFrame, measure: Measure, scale: np.ndarray, known: tuple[np.ndarray, int] | None = None) -> DataFrame:
-    """(token, sig, n, pos): the prefix of the set of every document, ``pos`` from 0.
-
-    N-grams alone in their counter are nobody else's and are left out, and so is what the filter ``known`` stops.
-    """
+    """(token, sig, n, pos): the prefix of the set of every document, ``pos`` from 0, as far as ``known`` lets it pass."""
     shared = docs.sparkSession.sparkContext.broadcast((scale, known))  # SLOTS bytes, and those of the filter
     schema = pa.schema([("token", pa.int64()), ("sig", pa.int64()), ("n", pa.int32()), ("pos", pa.int32())])
 
     def work(block: pa.RecordBatch) -> pa.RecordBatch:
         owners, values, bounds = sets(Texts(block.column("text"), lower=True), measure.words)
         sizes, (scale, known) = np.diff(bounds), shared.value
-        often = scale[(values >> _U(40)).astype(np.int64)]
-        order = np.lexsort((values, often, owners))
+        order = np.lexsort((values, scale[(values >> _U(40)).astype(np.int64)], owners))
         pos = np.arange(len(values)) - bounds[owners]
-        kept = (pos < measure.prefix(sizes)[owners]) & (often[order] != ONCE)
+        kept = pos < measure.prefix(sizes)[owners]
         if known is not None:
             kept &= passes(*known, values[order])
         sig = signatures(values, bounds)[owners[kept]]
