@@ -32,8 +32,9 @@ def components(links: DataFrame) -> DataFrame:
         if tangled.filter("below > 1 or below = 1 and above = 1").isEmpty():
             roots = pairs.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct()
             return pairs.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(roots)
-        both = stored(pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"))))
+        both = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
         larger = _least_neighbour(both).filter("b > a").select(F.col("b").alias("a"), F.least("a", "least").alias("b"))
-        smaller = stored(_least_neighbour(stored(larger.filter("a <> b").distinct())))
+        # One row for each of ``pairs`` at most: equal ones are merged once, at the end of the round.
+        smaller = stored(_least_neighbour(stored(larger.filter("a <> b"))))
         hung = smaller.filter("b <> least").select(F.col("b").alias("a"), F.col("least").alias("b"))
         pairs = stored(hung.unionByName(smaller.select("a", F.col("least").alias("b"))).distinct())

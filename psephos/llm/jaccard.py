@@ -262,12 +262,31 @@ def random_hubs(open_: DataFrame, measure: Measure, turn: int) -> DataFrame:
     hubs = lots.groupBy("token", "lot").agg(
         F.min_by(F.struct("sig", "n", "pos", "root"), F.xxhash64("sig", F.lit(-turn))).alias("hub")
     ).select("token", "hub.*")
-    x = stored(best.select("sig", "x.*"))
-    met = x.alias("x").join(stored(hubs).alias("y"), F.col("x.token") == F.col("y.token"))
+    # Either side is shuffled by token after its aggregation, so a crowded token is split at run time.
+    met = best.select("sig", "x.*").alias("x").join(hubs.alias("y"), F.col("x.token") == F.col("y.token"))
     met = met.filter((F.col("x.root") != F.col("y.root")) & within_reach(measure, "x", "y"))
     return met.select(F.least("x.sig", "y.sig").alias("a"), F.greatest("x.sig", "y.sig").alias("b")).distinct()
 
 
+def hung(under: DataFrame, links: DataFrame) -> DataFrame:
+    """Stored (sig, root) of ``under``, with each root hung below the least that ``links`` (a, b) join it to.
+
+    Classes under one root are connected; connected ones may still have different roots, which
+    costs comparisons and no link.
+    """
+    ends = links
+    for end in "ab":
+        ends = ends.join(under.select(F.col("sig").alias(end), F.col("root").alias(f"root_{end}")), end, "left")
+    ends = ends.select(F.coalesce("root_a", "a").alias("x"), F.coalesce("root_b", "b").alias("y")).filter("x <> y")
+    below = stored(ends.groupBy(F.greatest("x", "y").alias("root")).agg(F.min(F.least("x", "y")).alias("least")))
+    above = below.select(F.col("root").alias("least"), F.col("least").alias("higher"))
+    below = stored(below.join(above, "least", "left").select("root", F.coalesce("higher", "least").alias("least")))
+    nodes = under.unionByName(
+        below.select(F.col("root").alias("sig"), "root").join(under.select("sig"), "sig", "left_anti")
+    )
+    return stored(nodes.join(below, "root", "left").select("sig", F.coalesce("least", "root").alias("root")))
+
+
 def join_classes(docs: DataFrame, measure: Measure) -> tuple[DataFrame, DataFrame]:
     """Rows (id, place, n, sig) of every document of ``docs`` (id, text), and components of the sigs."""
     found = stored(described(docs, measure))
@@ -296,6 +315,7 @@ def join_classes(docs: DataFrame, measure: Measure) -> tuple[DataFrame, DataFram
     under = links.groupBy("a").agg(F.min("b").alias("root")).withColumnRenamed("a", "sig")
     above = under.select(F.col("sig").alias("root"), F.col("root").alias("higher"))
     under = stored(under.join(above, "root", "left").select("sig", F.coalesce("higher", "root").alias("root")))
+    under = hung(under, links)
     tried = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     open_, left = open_postings(shared, under)
     turn, worth = 0, True
@@ -306,7 +326,7 @@ def join_classes(docs: DataFrame, measure: Measure) -> tuple[DataFrame, DataFram
         worth = 10 * new.count() >= open_.select("sig").distinct().count()
         tried = tried.unionByName(pairs)
         links = stored(links.unionByName(new))
-        under = stored(components(links)).withColumnRenamed("node", "sig")
+        under = hung(hung(under, new), new)  # the second time joins roots whose classes have the first's in common
         open_, left = open_postings(shared, under)
 
     # All open tokens of a class, rarest first: what two prefixes can share.
