@@ -15,7 +15,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from psephos.llm.tables import join_groups
+from psephos.llm.tables import by_position, join_groups
 from psephos.sources import scratch_folder, stored
 
 SPACES = r"[\x20\x09-\x0D]+"
@@ -112,6 +112,8 @@ def deduplicate(rows: DataFrame, index: DigestIndex) -> DataFrame:
 
 def keep_first(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows of ``docs`` that stay, with all their columns, against an empty index."""
+    names = docs.columns
+    docs, (doc_id, text) = by_position(docs, doc_id, text)
     rows = stored(digests(docs, doc_id, text))
     kept = deduplicate(rows, new_index(docs.sparkSession)).filter("kept")
     kept = kept.select(*(F.col(name).alias(f"__{name}") for name in ("id", "digest", "length", "times")))
@@ -124,4 +126,4 @@ def keep_first(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> D
     once = found.filter("__times = 1")
     # Rows equal in id, length and text without white space: any one of them.
     again = found.filter("__times > 1").dropDuplicates(["__digest"])
-    return once.unionByName(again).select(*docs.columns)
+    return once.unionByName(again).select(*docs.columns).toDF(*names)

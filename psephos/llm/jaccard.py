@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from psephos.llm.components import components
-from psephos.llm.tables import by_block, columns, give_back, join_groups, key_filter, passes, place
+from psephos.llm.tables import by_block, by_position, columns, give_back, join_groups, key_filter, passes, place
 from psephos.llm.text import BLOCK_BYTES, Texts, blocks, grouped_equal, mixed, sums_between
 from psephos.sources import stored
 
@@ -365,6 +365,8 @@ def keep_first(docs: DataFrame, measure: Measure, doc_id: str = "doc_id", text:
 
     Documents without words stay, as they are linked with nothing.
     """
+    names = docs.columns
+    docs, (doc_id, text) = by_position(docs, doc_id, text)
     found = stored(similar(docs, measure, doc_id, text))
     first = found.filter("n > 0").groupBy("root").agg(F.min(F.struct(F.col("id").isNull(), "id", "place")).alias("first"))
     keys = first.select("first.id", "first.place")
@@ -376,4 +378,4 @@ def keep_first(docs: DataFrame, measure: Measure, doc_id: str = "doc_id", text:
     rows = docs.filter(~empty).join(kept, match)
     once = rows.filter("__times = 1")
     again = rows.filter("__times > 1").dropDuplicates(["__id", "__place"])
-    return once.unionByName(again).select(*docs.columns).unionByName(docs.filter(empty))
+    return once.unionByName(again).select(*docs.columns).unionByName(docs.filter(empty)).toDF(*names)

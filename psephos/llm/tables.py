@@ -78,6 +78,12 @@ def columns(schema: pa.Schema, **values) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(arrays, schema=schema)
 
 
+def by_position(docs: DataFrame, *wanted: str) -> tuple[DataFrame, list[str]]:
+    """``docs`` with columns named by position, so that no name clashes with one added, and the new names of ``wanted``."""
+    names = [f"column_{i}" for i in range(len(docs.columns))]
+    return docs.toDF(*names), [names[docs.columns.index(name)] for name in wanted]
+
+
 def place(text: str) -> Column:
     """With the id, tells rows apart: a hash of the text, a null text being an empty one."""
     return F.xxhash64(F.coalesce(F.col(text), F.lit("")))

@@ -37,6 +37,7 @@ def table(spark, rows=None, parts: int = 3):
 
     df = spark.createDataFrame(awkward_rows() if rows is None else rows, SCHEMA).repartition(parts)
     names = ("id", "score", "kept", "sig", "key", "block", "place", "size", "taken", "anchor")
+    names += ("column_0", "__id", "__place", "__times", "__digest", "__length", "__copies", "__turn", "_part")
     return df.withColumns({name: F.lit(f"clash {name}") for name in names})
 
 
