@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from psephos.llm import bpe, exact, jaccard, mixing, quality
-from psephos.llm.tables import place
+from psephos.llm.tables import by_position, place
 from psephos.sources import scratch_folder, stored
 
 WORD = r"[^\x20\x09-\x0D]+"
@@ -37,16 +37,18 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mix of the sources reads it: never, once or twice."""
-    key = F.struct(F.col("doc_id").alias("id"), place("text").alias("place"))
-    size = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
-    rows = stored(docs.select(key.alias("id"), F.array("source").alias("sources"), size.alias("size")))
+    names = docs.columns
+    docs, (doc_id, text, source) = by_position(docs, "doc_id", "text", "source")
+    key = F.struct(F.col(doc_id).alias("id"), place(text).alias("place"))
+    size = F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
+    rows = stored(docs.select(key.alias("id"), F.array(source).alias("sources"), size.alias("size")))
     taken, _ = mixing.mix(rows, weights=[3, 1, 2], share=1.5, passes=2)
     alike = taken.groupBy("id").agg(F.sum("taken").alias("taken"), F.sum("size").alias("size"))
     chosen = alike.select("id.*", mixing.copies().alias("__copies")).filter("__copies > 0")
     chosen = stored(chosen.withColumnsRenamed({"id": "__id", "place": "__place"}))
-    found = docs.join(chosen, F.col("doc_id").eqNullSafe(F.col("__id")) & (place("text") == F.col("__place")))
+    found = docs.join(chosen, F.col(doc_id).eqNullSafe(F.col("__id")) & (place(text) == F.col("__place")))
     turns = F.explode(F.sequence(F.lit(1), F.col("__copies"))).alias("__turn")
-    return found.select(*docs.columns, turns).drop("__turn")
+    return found.select(*docs.columns, turns).drop("__turn").toDF(*names)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
