@@ -315,7 +315,6 @@ def join_classes(docs: DataFrame, measure: Measure) -> tuple[DataFrame, DataFram
     under = links.groupBy("a").agg(F.min("b").alias("root")).withColumnRenamed("a", "sig")
     above = under.select(F.col("sig").alias("root"), F.col("root").alias("higher"))
     under = stored(under.join(above, "root", "left").select("sig", F.coalesce("higher", "root").alias("root")))
-    under = hung(under, links)
     tried = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     open_, left = open_postings(shared, under)
     turn, worth = 0, True
@@ -326,7 +325,7 @@ def join_classes(docs: DataFrame, measure: Measure) -> tuple[DataFrame, DataFram
         worth = 10 * new.count() >= open_.select("sig").distinct().count()
         tried = tried.unionByName(pairs)
         links = stored(links.unionByName(new))
-        under = hung(hung(under, new), new)  # the second time joins roots whose classes have the first's in common
+        under = hung(under, new)
         open_, left = open_postings(shared, under)
 
     # All open tokens of a class, rarest first: what two prefixes can share.
