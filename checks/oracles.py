@@ -357,6 +357,11 @@ FROM {LINES}, (SELECT i::DOUBLE * 0.01::DOUBLE AS cut FROM range(101) AS r(i)) G
 ORACLES["normalise_score"] = """
 SELECT c_custkey, c_acctbal, round((c_acctbal - low) / (high - low + 1e-12), 9) AS score
 FROM customer, (SELECT min(c_acctbal) AS low, max(c_acctbal) AS high FROM customer)"""
+ORACLES["score_fallback"] = """
+SELECT 'probability' AS by, c_custkey, CASE WHEN c_nationkey > 0 THEN c_nationkey / 32 END AS score FROM customer
+UNION ALL SELECT 'decision', c_custkey, round((c_acctbal - low) / (high - low + 1e-12), 9)
+FROM customer, (SELECT min(c_acctbal) AS low, max(c_acctbal) AS high FROM customer)
+UNION ALL SELECT 'prediction', c_custkey, (c_acctbal > 0)::INTEGER::DOUBLE FROM customer"""
 ORACLES["evaluate_summary"] = f"""
 SELECT tp, fp, tn, fn, {SHARES}, {BALANCED}, round(a, 9) AS auc, round(2 * a - 1, 9) AS gini, 0::BIGINT AS n_missing
 FROM {CELLS}, {area('score')}"""
@@ -421,6 +426,32 @@ _PREDICTORS = [
     "ESPECTRO_POL_Direita", "ESPECTRO_POL_Esquerda", "REGIAO_CENTRO_OESTE", "REGIAO_NORDESTE",
     "REGIAO_NORTE", "REGIAO_SUL",
 ]
+#: Names of the feature table that SQL above gives without marks.
+_MARKED = {
+    "DS_ESTADO_CIVIL_CASADOA": "DS_ESTADO_CIVIL_CASADO(A)", "REGIAO_CENTRO_OESTE": "REGIAO_CENTRO-OESTE",
+}
+_SUMMED = " UNION ALL ".join(
+    f"SELECT DS_CARGO, {text(_MARKED.get(name, name))} AS variable, {name} AS value, n FROM f"
+    for name in [c.TARGET, *_PREDICTORS, c.PERIOD] if _MARKED.get(name, name) in c.LABELS
+)
+_LABELLED = " ".join(
+    f"WHEN variable = {text(name)} AND value = {value} THEN {text(label)}"
+    for name, labels in c.LABELS.items() for value, label in labels.items()
+)
+_PARTS = f"""(SELECT 'train' AS part, unnest([{", ".join(map(str, c.TRAIN_YEARS))}]) AS year
+  UNION ALL SELECT 'test', unnest([{", ".join(map(str, c.TEST_YEARS))}]))"""
+ORACLES["analysis_reports"] = f"""
+WITH k AS (SELECT * FROM {COHORT}), f AS ({ORACLES["feature_rows"]}),
+e AS (SELECT * FROM k WHERE DS_SIT_TOT_TURNO = 'ELEITO' AND RELIGIOSOS + SEGURANCA > 0)
+SELECT DS_CARGO AS office, 'flag_counts' AS report, 'r' AS key, sum(RELIGIOSOS)::BIGINT AS n FROM k GROUP BY ALL
+UNION ALL SELECT DS_CARGO, 'flag_counts', 's', sum(SEGURANCA)::BIGINT FROM k GROUP BY ALL
+UNION ALL SELECT DS_CARGO, 'class_counts', DS_SIT_TOT_TURNO::VARCHAR, sum(n)::BIGINT FROM f GROUP BY ALL
+UNION ALL SELECT DS_CARGO, 'elected_by_year', ANO_ELEICAO::VARCHAR, sum(RELIGIOSOS + SEGURANCA)::BIGINT FROM e GROUP BY ALL
+UNION ALL SELECT DS_CARGO, 'elected_by_year', 'TOTAL', sum(RELIGIOSOS + SEGURANCA)::BIGINT FROM e GROUP BY ALL
+UNION ALL SELECT DS_CARGO, 'category_summary', variable || '=' || CASE {_LABELLED} ELSE value::VARCHAR END,
+  sum(n)::BIGINT FROM ({_SUMMED}) GROUP BY ALL
+UNION ALL SELECT DS_CARGO, model || '_' || part, DS_SIT_TOT_TURNO::VARCHAR, sum(n)::BIGINT
+FROM f JOIN {_PARTS} ON ANO_ELEICAO = year, (SELECT unnest(['forest', 'logit']) AS model) GROUP BY ALL"""
 ORACLES["office_logit_totals"] = f"""
 WITH f AS (SELECT * FROM ({ORACLES["feature_rows"]}) WHERE DS_CARGO = '{c.FEDERAL}'
     AND ANO_ELEICAO IN ({", ".join(map(str, c.TRAIN_YEARS))})),

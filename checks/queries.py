@@ -2,6 +2,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,6 +15,7 @@ from psephos.operators.collinearity import vif
 from psephos.operators.quantiles import quantile_bin
 from psephos.plans import config as c
 from psephos.plans.cohort import build_cohort, feature_table, unlisted_counts
+from psephos.plans.reports import run_analysis
 from psephos.sources import (
     read_extracts,
     read_table,
@@ -495,6 +497,25 @@ def normalise_score(spark: SparkSession, folder: str) -> DataFrame:
     return rounded(evaluate.normalise_score(customers, "c_acctbal", "score"), 9, "score")
 
 
+@query
+def score_fallback(spark: SparkSession, folder: str) -> DataFrame:
+    """The score by a probability, by a decision value, and by the prediction where there is nothing else."""
+    customers = table(spark, folder, "customer").select(
+        "c_custkey", F.col("c_acctbal").alias("decision"), (F.col("c_acctbal") > 0).cast("int").alias("prediction"),
+        F.when(F.col("c_nationkey") > 0, F.col("c_nationkey") / 32).alias("probability"),
+    )
+    found = [
+        evaluate.event_score(rows, "score", "probability", "decision", "prediction").select(
+            F.lit(name).alias("by"), "c_custkey", "score"
+        )
+        for name, rows in (
+            ("probability", customers), ("decision", customers.drop("probability")),
+            ("prediction", customers.drop("probability", "decision")),
+        )
+    ]
+    return rounded(found[0].unionByName(found[1]).unionByName(found[2]), 9, "score")
+
+
 @query
 def evaluate_summary(spark: SparkSession, folder: str) -> DataFrame:
     tables = evaluate.evaluate(scored_lines(spark, folder), "label", "score", "pred")
@@ -694,6 +715,51 @@ def _features(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame, l
     return (*shape.split_by_period(plain, c.PERIOD, c.TRAIN_YEARS, c.TEST_YEARS), predictors)
 
 
+@query
+def analysis_reports(spark: SparkSession, folder: str) -> DataFrame:
+    """The shipped analysis from extracts to stored reports, and what those reports count.
+
+    A row for each count of the reports that do not depend on how a model was fitted; of the
+    evaluations, the rows per actual class that their matrices add up to.
+    """
+    place, paths = scratch_folder(spark, "analysis"), []
+    raw = stored(candidates(spark, folder))
+    for year in [*c.TRAIN_YEARS, *c.TEST_YEARS]:
+        paths.append(f"{place}/extract_{year}")
+        one = raw.filter(F.col(c.PERIOD) == year)
+        one.write.options(header=True, sep=";", encoding="iso-8859-1").csv(paths[-1])
+    reports = {path.split("/reports/")[1]: path for path in run_analysis(spark, paths, f"{place}/out")}
+
+    def read(office: str, name: str) -> DataFrame:
+        return spark.read.parquet(reports[f"{office.lower().replace(' ', '_')}/{name}"])
+
+    found = []
+    for office in c.OFFICES:
+        flagged = read(office, "flag_counts").select(F.col("RELIGIOSOS").alias("r"), F.col("SEGURANCA").alias("s"))
+        counted = {
+            "flag_counts": flagged.unpivot([], ["r", "s"], "key", "n"),
+            "class_counts": read(office, "class_counts").select(F.col(c.TARGET).alias("key"), F.col("count").alias("n")),
+            "elected_by_year": read(office, "elected_by_year").select(
+                F.col(c.PERIOD).alias("key"), F.col("TOTAL_CATEGORIAS").alias("n")
+            ),
+            "category_summary": read(office, "category_summary").select(
+                F.concat_ws("=", "variavel", "categoria").alias("key"), F.col("count").alias("n")
+            ),
+        }
+        for model in ("forest", "logit"):
+            for part in ("train", "test"):
+                cells = read(office, f"{model}_{part}_confusion").groupBy("label").agg(F.sum("count").alias("n"))
+                counted[f"{model}_{part}"] = cells.withColumnRenamed("label", "key")
+        found += [
+            rows.select(
+                F.lit(office).alias("office"), F.lit(name).alias("report"), F.col("key").cast("string").alias("key"),
+                F.col("n").cast("long").alias("n"),
+            )
+            for name, rows in counted.items()
+        ]
+    return reduce(DataFrame.unionByName, found)
+
+
 @query
 def office_logit(spark: SparkSession, folder: str) -> DataFrame:
     """Balanced logit model of one office with all predictors."""

@@ -246,6 +246,23 @@ def normalise_score(df: DataFrame, col: str, out: str) -> DataFrame:
     return df.withColumn(out, (value - F.lit(span.low)) / F.lit(span.high - span.low + 1e-12))
 
 
+def event_score(
+    df: DataFrame, out: str, probability: str | None = None, decision: str | None = None, prediction: str | None = None
+) -> DataFrame:
+    """Add the score of the event: its probability, else the decision value scaled to 0..1, else the prediction.
+
+    The first of the three columns that is named and that ``df`` has counts, for all rows; a row
+    where it is null has no score.
+    """
+    if probability in df.columns:
+        return df.withColumn(out, known(F.col(quoted(probability))).cast("double"))
+    if decision in df.columns:
+        return normalise_score(df, decision, out)
+    if prediction in df.columns:
+        return df.withColumn(out, F.col(quoted(prediction)).cast("double"))
+    raise ValueError(f"none of the columns {probability}, {decision}, {prediction} to score by")
+
+
 def evaluate(
     df: DataFrame, label: str, score: str, pred: str, weight: str | None = None
 ) -> dict[str, DataFrame]:

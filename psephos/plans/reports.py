@@ -2,6 +2,7 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -36,7 +37,7 @@ from psephos.plans.cohort import build_cohort, cohort_profiles, feature_table
 from psephos.sources import read_extracts, read_table, stored, write_report, write_table
 
 ROWS = "n"
-
+REPORTS_AT_ONCE = 8
 
 #: Reports whose rows have an order of their own.
 SORTED = {
@@ -203,12 +204,16 @@ def run_analysis(
         order = [F.col(c.PERIOD).cast("string")] if last == "elected_by_year" else []
         return write_report(table, path, order=order, keep_order=last in SORTED or last.endswith("_importance"))
 
+    def written(names: list[str], tables: list[DataFrame]) -> list[str]:
+        # Each report is a small job of its own; several at once keep the executors busy.
+        with ThreadPoolExecutor(REPORTS_AT_ONCE) as pool:
+            return list(pool.map(report, names, tables))
+
     raw = kept(read_extracts(spark, extracts, c.RAW_SCHEMA), "extracts", [c.PERIOD])
     cohort = kept(build_cohort(raw), "cohort", ["DS_CARGO", c.PERIOD])
     features = kept(feature_table(cohort), "features", ["DS_CARGO", c.PERIOD])
-    paths = [
-        report(f"cohort/{name}", table) for name, table in cohort_profiles(raw, cohort).items()
-    ]
+    profiles = cohort_profiles(raw, cohort)
+    paths = written([f"cohort/{name}" for name in profiles], list(profiles.values()))
     for office in offices:
         tables = office_reports(
             keep_in(cohort, "DS_CARGO", [office]),
@@ -218,5 +223,5 @@ def run_analysis(
             folds,
         )
         place = office.lower().replace(" ", "_")
-        paths += [report(f"{place}/{name}", table) for name, table in tables.items()]
+        paths += written([f"{place}/{name}" for name in tables], list(tables.values()))
     return paths

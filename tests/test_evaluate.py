@@ -151,3 +151,13 @@ def test_normalise(spark):
     df = spark.createDataFrame([(-2.0,), (0.0,), (2.0,), (None,)], "d double")
     found = sorted((r.s for r in ev.normalise_score(df, "d", "s").collect()), key=lambda v: (v is None, v))
     assert found[:3] == pytest.approx([0, 0.5, 1]) and found[3] is None
+
+
+def test_score_falls_back(spark):
+    df = spark.createDataFrame([(0.5, -2.0, 1), (None, 2.0, 0), (float("nan"), 0.0, 1)], "p double, d double, y int")
+    by = [["p", "d", "y"], ["none", "d", "y"], [None, None, "y"]]
+    found = [[r.s for r in ev.event_score(df, "s", *names).collect()] for names in by]
+    assert found[0] == [0.5, None, None] and found[2] == [1.0, 0.0, 1.0]
+    assert found[1] == pytest.approx([0.0, 1.0, 0.5])
+    with pytest.raises(ValueError, match="score by"):
+        ev.event_score(df, "s", "q")
