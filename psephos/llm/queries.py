@@ -87,7 +87,7 @@ def op8_secret_scan(spark: SparkSession, folder: str) -> DataFrame:
 def op9_exact_index(spark: SparkSession, folder: str) -> DataFrame:
     """Every document with the one that stays of those with equal text."""
     rows = stored(exact.digests(documents(spark, folder)))
-    result = exact.deduplicate(rows, exact.new_index(spark))
+    result = exact.deduplicate(rows, exact.new_index(spark, rows.count()))
     return result.select(
         F.col("id").alias("doc_id"), "keep_id", "group_size", "kept", F.col("digest").alias("text_sha256")
     )
