@@ -239,8 +239,8 @@ def verified(pairs: DataFrame, docs: DataFrame, measure: Measure) -> DataFrame:
     return by_block(joined, "text", "a long, b long", work, BLOCK_BYTES)
 
 
-def open_postings(shared: DataFrame, under: DataFrame) -> tuple[DataFrame, int]:
-    """Postings of tokens whose classes have different roots, with the most frequent one as ``main``.
+def open_postings(shared: DataFrame, under: DataFrame) -> tuple[DataFrame | None, int]:
+    """Postings of tokens whose classes have different roots, with the most frequent one as ``main``; None without any.
 
     Also by how many the pairs across roots exceed ``HUBS`` for each posting.
     """
@@ -252,7 +252,9 @@ def open_postings(shared: DataFrame, under: DataFrame) -> tuple[DataFrame, int]:
         ).filter("roots > 1").select("token", "members", F.col("most.root").alias("main"), F.col("most.members").alias("in_main"))
     )
     across, rows = crowded.agg(F.sum((F.col("members") - F.col("in_main")) * F.col("members")), F.sum("members")).first()
-    return stored(placed.join(crowded.drop("in_main"), "token")), (across or 0) - HUBS * (rows or 0)
+    if not rows:
+        return None, 0
+    return stored(placed.join(crowded.drop("in_main"), "token")), across - HUBS * rows
 
 
 def random_hubs(open_: DataFrame, measure: Measure, turn: int) -> DataFrame:
@@ -268,16 +270,21 @@ def random_hubs(open_: DataFrame, measure: Measure, turn: int) -> DataFrame:
     return met.select(F.least("x.sig", "y.sig").alias("a"), F.greatest("x.sig", "y.sig").alias("b")).distinct()
 
 
+def ends_apart(under: DataFrame, links: DataFrame) -> DataFrame:
+    """(x, y): the roots of the ends of each of ``links`` (a, b) that joins two; a class not in ``under`` is its own."""
+    ends = links
+    for end in "ab":
+        ends = ends.join(under.select(F.col("sig").alias(end), F.col("root").alias(f"root_{end}")), end, "left")
+    return ends.select(F.coalesce("root_a", "a").alias("x"), F.coalesce("root_b", "b").alias("y")).filter("x <> y")
+
+
 def hung(under: DataFrame, links: DataFrame) -> DataFrame:
     """Stored (sig, root) of ``under``, with each root hung below the least that ``links`` (a, b) join it to.
 
     Classes under one root are connected; connected ones may still have different roots, which
     costs comparisons and no link.
     """
-    ends = links
-    for end in "ab":
-        ends = ends.join(under.select(F.col("sig").alias(end), F.col("root").alias(f"root_{end}")), end, "left")
-    ends = ends.select(F.coalesce("root_a", "a").alias("x"), F.coalesce("root_b", "b").alias("y")).filter("x <> y")
+    ends = ends_apart(under, links)
     below = stored(ends.groupBy(F.greatest("x", "y").alias("root")).agg(F.min(F.least("x", "y")).alias("least")))
     above = below.select(F.col("root").alias("least"), F.col("least").alias("higher"))
     below = stored(below.join(above, "least", "left").select("root", F.coalesce("higher", "least").alias("least")))
@@ -287,6 +294,21 @@ def hung(under: DataFrame, links: DataFrame) -> DataFrame:
     return stored(nodes.join(below, "root", "left").select("sig", F.coalesce("least", "root").alias("root")))
 
 
+def remaining(open_: DataFrame, tried: DataFrame, classes: DataFrame, docs: DataFrame, measure: Measure) -> DataFrame:
+    """Links (a, b) among the pairs of ``open_`` postings across roots that are not in ``tried``."""
+    # All open tokens of a class, rarest first: what two prefixes can share.
+    tokens = open_.groupBy("sig").agg(F.sort_array(F.collect_list(F.struct("pos", "token"))).alias("own"))
+    open_ = stored(open_.join(tokens.select("sig", F.col("own.token").alias("own")), "sig"))
+    few, all_ = open_.filter("root <> main").alias("x"), open_.alias("y")
+    rest = few.join(all_, F.col("x.token") == F.col("y.token")).filter(
+        (F.col("x.root") != F.col("y.root")) & ((F.col("y.root") == F.col("y.main")) | (F.col("x.sig") < F.col("y.sig")))
+        & within_reach(measure, "x", "y") & prefix_filter(measure, "x", "y")
+    )
+    rest = rest.select(F.least("x.sig", "y.sig").alias("a"), F.greatest("x.sig", "y.sig").alias("b"))
+    rest = stored(cell_filter(stored(rest.join(tried, ["a", "b"], "left_anti")), classes, measure))
+    return rest.select("a", "b") if rest.isEmpty() else stored(verified(rest, docs, measure))
+
+
 def join_classes(docs: DataFrame, measure: Measure) -> tuple[DataFrame, DataFrame]:
     """Rows (id, place, n, sig) of every document of ``docs`` (id, text), and components of the sigs."""
     found = stored(described(docs, measure))
@@ -322,27 +344,20 @@ def join_classes(docs: DataFrame, measure: Measure) -> tuple[DataFrame, DataFram
         turn += 1
         pairs = stored(random_hubs(open_, measure, turn).join(tried, ["a", "b"], "left_anti"))
         new = stored(verified(stored(cell_filter(pairs, classes, measure)), docs, measure))
-        worth = 10 * new.count() >= open_.select("sig").distinct().count()
+        worth = 10 * new.count() >= open_.agg(F.approx_count_distinct("sig")).first()[0]
         tried = tried.unionByName(pairs)
-        links = stored(links.unionByName(new))
+        links = links.unionByName(new)
         under = hung(under, new)
         open_, left = open_postings(shared, under)
-
-    # All open tokens of a class, rarest first: what two prefixes can share.
-    tokens = open_.groupBy("sig").agg(F.sort_array(F.collect_list(F.struct("pos", "token"))).alias("own"))
-    open_ = stored(open_.join(tokens.select("sig", F.col("own.token").alias("own")), "sig"))
-    few, all_ = open_.filter("root <> main").alias("x"), open_.alias("y")
-    rest = few.join(all_, F.col("x.token") == F.col("y.token")).filter(
-        (F.col("x.root") != F.col("y.root")) & ((F.col("y.root") == F.col("y.main")) | (F.col("x.sig") < F.col("y.sig")))
-        & within_reach(measure, "x", "y") & prefix_filter(measure, "x", "y")
-    )
-    rest = rest.select(F.least("x.sig", "y.sig").alias("a"), F.greatest("x.sig", "y.sig").alias("b"))
-    rest = stored(cell_filter(stored(rest.join(tried, ["a", "b"], "left_anti")), classes, measure))
-    if not rest.isEmpty():
-        links = links.unionByName(verified(rest, docs, measure))
-    roots = stored(components(links))
-    nodes = classes.select("sig", "size", "id").join(roots.withColumnRenamed("node", "sig"), "sig", "left")
-    nodes = stored(nodes.select("sig", "size", "id", F.coalesce("root", "sig").alias("root")))
+    if open_ is not None:
+        links = links.unionByName(remaining(open_, tried, classes, docs, measure))
+
+    # Nearly all links lie under one root; components are found among the roots of the rest.
+    between = ends_apart(under, links).select(F.col("x").alias("a"), F.col("y").alias("b"))
+    tops = stored(components(between).select(F.col("node").alias("root"), F.col("root").alias("top")))
+    nodes = classes.select("sig", "size", "id").join(under, "sig", "left")
+    nodes = nodes.select("sig", "size", "id", F.coalesce("root", "sig").alias("root")).join(tops, "root", "left")
+    nodes = stored(nodes.select("sig", "size", "id", F.coalesce("top", "root").alias("root")))
     least = stored(nodes.groupBy("root").agg(F.min("id").alias("component_id"), F.count(F.lit(1)).alias("degree")))
     return rows, stored(join_groups(nodes, least, "root", "degree").select("sig", "size", "root", "component_id"))
 
