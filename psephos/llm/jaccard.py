@@ -209,17 +209,28 @@ def cell_filter(pairs: DataFrame, classes: DataFrame, measure: Measure) -> DataF
 
 def verified(pairs: DataFrame, docs: DataFrame, measure: Measure) -> DataFrame:
     """Pairs (a, b) of stored ``pairs`` that are linked; the texts of their classes are compared."""
-    ends = [pairs.select(F.col(x).alias("sig"), F.col(f"id_{x}").alias("id"), F.col(f"place_{x}").alias("place")) for x in "ab"]
-    keys = stored(ends[0].unionByName(ends[1]).distinct())
+    ends = [
+        pairs.select(
+            F.col(x).alias("sig"), F.col(f"id_{x}").alias("id"), F.col(f"place_{x}").alias("place"),
+            *(F.lit(x == side).alias(f"is_{side}") for side in "ab"),
+        )
+        for x in "ab"
+    ]
+    keys = stored(
+        ends[0].unionByName(ends[1]).groupBy("sig", "id", "place").agg(F.max("is_a").alias("is_a"), F.max("is_b").alias("is_b"))
+    )
     keys = F.broadcast(keys) if keys.count() <= FEW else keys
     whole = docs.select(F.col("id").alias("own"), place("text").alias("at"), "text")
     texts = stored(
         whole.join(keys, F.col("own").eqNullSafe(F.col("id")) & (F.col("at") == F.col("place")))
-        .groupBy("sig").agg(F.min("text").alias("text"))  # rows equal in id and text
-    )
+        .groupBy("sig").agg(
+            F.min("text").alias("text"), F.max("is_a").alias("is_a"), F.max("is_b").alias("is_b")
+        )  # rows equal in id and text
+    )
     pairs = pairs.select("a", "b")
-    joined = pairs.join(texts.select(F.col("sig").alias("a"), F.col("text").alias("text")), "a")
-    joined = joined.join(texts.select(F.col("sig").alias("b"), F.col("text").alias("other")), "b")
+    # A text is shuffled for the end where it stands: hubs, of which there are few, for theirs only.
+    joined = pairs.join(texts.filter("is_a").select(F.col("sig").alias("a"), "text"), "a")
+    joined = joined.join(texts.filter("is_b").select(F.col("sig").alias("b"), F.col("text").alias("other")), "b")
 
     def work(block: pa.RecordBatch) -> pa.RecordBatch:
         linked = np.zeros(block.num_rows, bool)
@@ -339,18 +350,20 @@ def join_classes(docs: DataFrame, measure: Measure) -> tuple[DataFrame, DataFram
     under = stored(under.join(above, "root", "left").select("sig", F.coalesce("higher", "root").alias("root")))
     tried = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     open_, left = open_postings(shared, under)
+    if open_ is not None:  # what is open later is so now
+        classes_open = stored(classes.join(open_.select("sig").distinct(), "sig", "left_semi"))
     turn, worth = 0, True
     while left > 0 and worth:
         turn += 1
         pairs = stored(random_hubs(open_, measure, turn).join(tried, ["a", "b"], "left_anti"))
-        new = stored(verified(stored(cell_filter(pairs, classes, measure)), docs, measure))
+        new = stored(verified(stored(cell_filter(pairs, classes_open, measure)), docs, measure))
         worth = 10 * new.count() >= open_.agg(F.approx_count_distinct("sig")).first()[0]
         tried = tried.unionByName(pairs)
         links = links.unionByName(new)
         under = hung(under, new)
         open_, left = open_postings(shared, under)
     if open_ is not None:
-        links = links.unionByName(remaining(open_, tried, classes, docs, measure))
+        links = links.unionByName(remaining(open_, tried, classes_open, docs, measure))
 
     # Nearly all links lie under one root; components are found among the roots of the rest.
     between = ends_apart(under, links).select(F.col("x").alias("a"), F.col("y").alias("b"))
