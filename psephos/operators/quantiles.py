@@ -109,7 +109,8 @@ def _counts(rows: DataFrame, marks: Mapping[str, Sequence[float]]) -> dict[str,
         place = F.when(F.col("variable") == name, mine).otherwise(place)
     at = [F.when(F.col("variable") == name, F.element_at(F.array(*map(F.lit, own)), F.col("gap") + 1)) for name, own in marks.items()]
     on_mark = F.col("value") == F.coalesce(*at)
-    sums = rows.withColumn("gap", place).groupBy("variable", "gap").agg(
+    # Later rounds have marks for some variables only; rows of others have no gap.
+    sums = rows.filter(F.col("variable").isin(list(marks))).withColumn("gap", place).groupBy("variable", "gap").agg(
         total("n", on_mark).alias("at"), total("n", ~on_mark).alias("inside"), F.approx_count_distinct(F.when(~on_mark, F.col("value"))).alias("distinct")
     )
     out = {name: [(0, 0, 0)] * len(own) for name, own in marks.items()}

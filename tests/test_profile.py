@@ -5,7 +5,7 @@ import numpy as np
 import pytest
 
 from psephos.operators import profile
-from psephos.operators.quantiles import quantile_bin, quantile_edges
+from psephos.operators.quantiles import edges_of, quantile_bin, quantile_edges
 from psephos.operators.running import running_totals
 
 
@@ -183,3 +183,12 @@ def test_nothing_but_sums_is_shuffled_for_edges(spark, monkeypatch):
     assert found == pytest.approx(np.quantile(values, [0, 0.25, 0.5, 0.75, 1]).tolist())
     assert not any("rangepartitioning" in plan or "Sort [" in plan for plan in plans)
     assert max(read) < 8 * 1_500
+
+
+def test_one_variable_is_bracketed_again_among_others(spark):
+    """Only ``wide`` has too many values between two brackets; the rows of ``narrow`` stay in the table."""
+    df = spark.range(4_000).selectExpr("cast(hash(id) as double) AS wide", "cast(id % 9 as double) AS narrow")
+    rows = df.unpivot([], ["wide", "narrow"], "variable", "value").selectExpr("variable", "value", "1L AS n")
+    values = df.toPandas()
+    found = edges_of(rows, 2, between=5)
+    assert found == {name: pytest.approx(np.quantile(values[name], [0, 0.5, 1]).tolist()) for name in ("wide", "narrow")}
