@@ -1,6 +1,8 @@
 """The driver's tables in the shape the operators expect."""
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -27,23 +29,29 @@ def _pick(values: list[str], index: Column) -> Column:
     return F.element_at(F.array(*map(F.lit, values)), index.cast("int") + 1)
 
 
+def _code(*conditions: Column) -> Column:
+    """The place of the first condition that holds, or their number."""
+    return reduce(lambda rest, i: F.when(conditions[i], i).otherwise(rest), reversed(range(len(conditions))), F.lit(len(conditions))).cast("tinyint")
+
+
+def _named(code: str, *values: object) -> Column:
+    """The value that a code of :func:`_code` stands for."""
+    return reduce(lambda rest, i: F.when(F.col(code) == i, values[i]).otherwise(rest), reversed(range(len(values) - 1)), F.lit(values[-1]))
+
+
 def candidates(spark: SparkSession, folder: str) -> DataFrame:
     """One candidate record per line item, with the columns of the extracts.
 
-    What depends on the order or the part alone is derived before the joins.  Orders and
-    parts are unique by key, so a key shared by many line items only makes one side
-    of the join heavy, which adaptive execution splits.
+    What depends on the order, the part or the line alone is derived before the joins, labels of lines and orders
+    as small codes that are named after them, so that a line moves in few bytes.  Orders and parts are unique by key, so a key shared by
+    many line items only makes one side of the join heavy, which adaptive execution splits.
     """
     year = F.year("o_orderdate")
     orders = table(spark, folder, "orders").select(
         "o_orderkey",
-        F.when(year <= 1997, 2014).when(year <= 1999, 2018).otherwise(2022).alias("ANO_ELEICAO"),
-        F.when(F.col("o_orderpriority").isin("1-URGENT", "2-HIGH"), c.STATE)
-        .when(F.col("o_orderpriority").isin("3-MEDIUM", "4-NOT SPECIFIED"), c.FEDERAL)
-        .otherwise("SENADOR").alias("DS_CARGO"),
-        F.when(F.col("o_orderstatus") == "F", "CASADO(A)")
-        .when(F.col("o_orderstatus") == "O", "SOLTEIRO(A)")
-        .otherwise("VIÚVO(A)").alias("DS_ESTADO_CIVIL"),
+        _code(year <= 1997, year <= 1999).alias("year"),
+        _code(F.col("o_orderpriority").isin("1-URGENT", "2-HIGH"), F.col("o_orderpriority").isin("3-MEDIUM", "4-NOT SPECIFIED")).alias("office"),
+        _code(F.col("o_orderstatus") == "F", F.col("o_orderstatus") == "O").alias("marital"),
     )
     word = F.split_part("p_name", F.lit(" "), F.lit(1))
     noun = F.upper(F.split_part("p_name", F.lit(" "), F.lit(2)))
@@ -64,33 +72,36 @@ def candidates(spark: SparkSession, folder: str) -> DataFrame:
         .when(F.col("p_type") == "ECONOMY", "SACERDOTE OU MEMBRO DE ORDEM OU SEITA RELIGIOSA")
         .otherwise(F.col("p_type")).alias("DS_OCUPACAO"),
     )
-    rows = (
-        table(spark, folder, "lineitem")
-        .join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
-        .join(parts, F.col("l_partkey") == F.col("p_partkey"))
+    lines = table(spark, folder, "lineitem").select(
+        "l_orderkey",
+        "l_partkey",
+        "l_linenumber",
+        F.col("l_shipdate").cast("date").alias("day"),
+        (F.col("l_suppkey") % 28).cast("tinyint").alias("state"),
+        _code(F.col("l_tax") == 0.08, F.col("l_linestatus") == "F").alias("gender"),
+        _code(F.col("l_quantity") == 50).alias("education"),
+        F.round(F.col("l_discount") * 100).cast("int").alias("race"),
+        _code(F.col("l_tax") == 0.07, F.col("l_returnflag") == "R", F.col("l_returnflag") == "A").alias("outcome"),
     )
+    rows = lines.join(orders, F.col("l_orderkey") == F.col("o_orderkey")).join(parts, F.col("l_partkey") == F.col("p_partkey"))
     return rows.select(
-        "ANO_ELEICAO",
-        _pick(STATES, F.col("l_suppkey") % 28).alias("SG_UF"),
-        "DS_CARGO",
+        _named("year", 2014, 2018, 2022).alias("ANO_ELEICAO"),
+        _pick(STATES, F.col("state")).alias("SG_UF"),
+        _named("office", c.STATE, c.FEDERAL, "SENADOR").alias("DS_CARGO"),
         # The 29th of February falls into years without one, which makes unreadable dates.
         F.concat(
-            F.date_format(F.col("l_shipdate").cast("date"), "dd/MM/"),
-            (F.year("l_shipdate") - F.col("p_size")).cast("string"),
+            F.date_format("day", "dd/MM/"),
+            (F.year("day") - F.col("p_size")).cast("string"),
         ).alias("DT_NASCIMENTO"),
         F.col("l_linenumber").alias("NR_CANDIDATO"),
         "NM_CANDIDATO", "NM_URNA_CANDIDATO", "NR_PARTIDO", "SG_PARTIDO", "NM_PARTIDO",
-        F.when(F.col("l_tax") == 0.08, "NÃO DIVULGÁVEL")
-        .when(F.col("l_linestatus") == "F", "FEMININO")
-        .otherwise("MASCULINO").alias("DS_GENERO"),
-        F.when(F.col("l_quantity") == 50, "ANALFABETO")
+        _named("gender", "NÃO DIVULGÁVEL", "FEMININO", "MASCULINO").alias("DS_GENERO"),
+        F.when(F.col("education") == 0, "ANALFABETO")
         .otherwise(_pick(EDUCATION, F.col("l_linenumber") - 1)).alias("DS_GRAU_INSTRUCAO"),
-        "DS_ESTADO_CIVIL",
-        _pick(RACES, F.round(F.col("l_discount") * 100)).alias("DS_COR_RACA"),
+        _named("marital", "CASADO(A)", "SOLTEIRO(A)", "VIÚVO(A)").alias("DS_ESTADO_CIVIL"),
+        _pick(RACES, F.col("race")).alias("DS_COR_RACA"),
         "DS_OCUPACAO",
-        F.when(F.col("l_tax") == 0.07, "#NULO#")
-        .when(F.col("l_returnflag") == "R", " ELEITO POR QP ")
-        .when(F.col("l_returnflag") == "A", "SUPLENTE").alias("DS_SIT_TOT_TURNO"),
+        _named("outcome", "#NULO#", " ELEITO POR QP ", "SUPLENTE", None).alias("DS_SIT_TOT_TURNO"),
     )
 
 

@@ -659,12 +659,12 @@ def evaluate_missing_scores(spark: SparkSession, folder: str) -> DataFrame:
 @query
 def extracts_mixed_order(spark: SparkSession, folder: str) -> DataFrame:
     """Extracts whose columns stand in another order are bound by their headers."""
-    raw = candidates(spark, folder)
+    raw = stored(candidates(spark, folder))  # joined once, not for each year
     place, paths = scratch_folder(spark, "mixed"), []
     for i, year in enumerate([*c.TRAIN_YEARS, *c.TEST_YEARS]):
         names = raw.columns[::-1] if i % 2 else raw.columns
         one = raw.filter(F.col(c.PERIOD) == year).select(names)
-        one.write.options(header=True, sep=";", encoding="iso-8859-1").csv(f"{place}/{year}")
+        one.write.options(header=True, sep=";", encoding="iso-8859-1", compression="gzip").csv(f"{place}/{year}")
         paths.append(f"{place}/{year}")
     extracts = read_extracts(spark, paths, c.RAW_SCHEMA)
     return extracts.groupBy("ANO_ELEICAO", "DS_GRAU_INSTRUCAO").agg(
