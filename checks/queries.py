@@ -49,8 +49,9 @@ def extracts_round_trip(spark: SparkSession, folder: str) -> DataFrame:
     """Candidates written as one delimited Latin-1 extract per year, read back and counted."""
     raw = candidates(spark, folder).withColumn("DS_COLIGACAO", F.lit("FORA; \"COLIGAÇÃO\""))
     place = scratch_folder(spark, "extracts")
+    # Text repeats its labels in every row and is packed; each task writes files of its own, so many can be read at once.
     raw.withColumn("year", F.col(c.PERIOD)).write.partitionBy("year").options(
-        header=True, sep=";", encoding="iso-8859-1"
+        header=True, sep=";", encoding="iso-8859-1", compression="gzip"
     ).csv(place)
     paths = [f"{place}/year={year}" for year in [*c.TRAIN_YEARS, *c.TEST_YEARS]]
     extracts = read_extracts(spark, paths, c.RAW_SCHEMA)
