@@ -21,7 +21,7 @@ def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     """Documents that a ranking learnt from the labels accepts; every fifth id is not learnt from."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select(F.col("doc_id").alias("id"), F.col("quality").alias("label"))
     learnt = labels.filter(F.crc32(F.col("id").cast("string")) % 5 != 0)
-    model = quality.fit_ranking(*quality.training_rates(docs.select(F.col("doc_id").alias("id"), "text"), learnt))
+    model = quality.learn(docs.select(F.col("doc_id").alias("id"), "text"), learnt)
     return quality.accepted(docs, model)
 
 

@@ -69,7 +69,7 @@ def op7_quality_ranking(spark: SparkSession, folder: str) -> DataFrame:
     docs = documents(spark, folder).select(F.col("doc_id").alias("id"), "text")
     labels = labelled(spark, folder).select("id", F.col("quality").alias("label"))
     learnt = labels.filter(F.crc32(F.col("id").cast("string")) % 5 != 0)
-    model = quality.fit_ranking(*quality.training_rates(docs, learnt))
+    model = quality.learn(docs, learnt)
     scores = quality.quality_scores(docs, model).withColumnRenamed("id", "doc_id")
     return scores.select(
         "doc_id", held_out.alias("held_out"), "score", F.when(F.col("score") >= quality.CUT, 1).otherwise(0).alias("predicted")

@@ -79,3 +79,31 @@ def test_sample_is_bounded_in_rows_whatever_the_ids(spark, monkeypatch):
     assert len(x) == len(good) and 220 < len(x) < 380
     copies = (x == x[~good][:, None]).all(axis=2).sum(axis=1).max()
     assert 99 <= copies <= 101 and 60 < good.sum() < 140 and 60 < (~good).sum() - copies < 140
+
+
+def _two_classes(count=400):
+    """Texts that labels tell apart most of the time, with copies, empty texts and an id of many rows."""
+    rows = [(i, "" if i % 41 == 0 else prose(i % 300, 10 + i % 37) + (" ### !!" * (1 + i % 4) if i % 5 == 0 else "")) for i in range(count)]
+    rows += [(7, f"one id {prose(i, 8)}") for i in range(30)] + [(None, "no id")]
+    return rows, [(i, int(i % 5 > 0) if i % 11 else int(i % 5 == 0)) for i in range(count)]
+
+
+def test_all_rows_in_a_table_are_ranked_as_in_arrays(spark):
+    rows, marks = _two_classes()
+    docs = spark.createDataFrame(rows, "id long, text string").repartition(5)
+    labels = spark.createDataFrame(marks, "id long, label int")
+    one, all_ = quality.fit_ranking(*quality.training_rates(docs, labels)), quality.learn(docs, labels)
+    assert all_.center == pytest.approx(one.center, abs=1e-12) and all_.scale == pytest.approx(one.scale, abs=1e-12)
+    assert all_.weights == pytest.approx(one.weights, abs=1e-6)
+    assert all_.threshold == pytest.approx(one.threshold, abs=1e-6)
+
+
+def test_no_sample_stands_for_the_labels(spark, tmp_path, monkeypatch):
+    from psephos.llm.queries import QUERIES
+
+    rows, marks = _two_classes(600)
+    spark.createDataFrame([(i, t, "en", "a") for i, t in rows], "doc_id long, text string, lang string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(i, m, 0) for i, m in marks], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    whole = {(r["doc_id"], round(r["score"], 9)) for r in QUERIES["op7_quality_ranking"](spark, str(tmp_path)).collect()}
+    monkeypatch.setattr(quality, "SAMPLE", 60)
+    assert whole == {(r["doc_id"], round(r["score"], 9)) for r in QUERIES["op7_quality_ranking"](spark, str(tmp_path)).collect()}
