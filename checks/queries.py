@@ -723,12 +723,17 @@ def analysis_reports(spark: SparkSession, folder: str) -> DataFrame:
     A row for each count of the reports that do not depend on how a model was fitted; of the
     evaluations, the rows per actual class that their matrices add up to.
     """
-    place, paths = scratch_folder(spark, "analysis"), []
-    raw = stored(candidates(spark, folder))
+    place = scratch_folder(spark, "analysis")
+    options = {"header": True, "sep": ";", "encoding": "iso-8859-1"}
+    # One pass over the joined rows writes the extracts of all years; a year without rows gets an empty one.
+    raw = candidates(spark, folder).withColumn("year", F.col(c.PERIOD))
+    raw.write.partitionBy("year").options(**options).csv(f"{place}/extracts")
+    written = spark.read.schema(c.RAW_SCHEMA).csv(f"{place}/extracts").inputFiles()
+    paths = []
     for year in [*c.TRAIN_YEARS, *c.TEST_YEARS]:
-        paths.append(f"{place}/extract_{year}")
-        one = raw.filter(F.col(c.PERIOD) == year)
-        one.write.options(header=True, sep=";", encoding="iso-8859-1").csv(paths[-1])
+        paths.append(f"{place}/extracts/year={year}")
+        if not any(f"/year={year}/" in name for name in written):
+            raw.drop("year").limit(0).write.options(**options).csv(paths[-1])
     reports = {path.split("/reports/")[1]: path for path in run_analysis(spark, paths, f"{place}/out")}
 
     def read(office: str, name: str) -> DataFrame:

@@ -49,6 +49,17 @@ def _correlation(df: DataFrame, cols: Sequence[str], weight: str | None) -> np.n
         return matrix / np.outer(spread, spread)
 
 
+def independent(df: DataFrame, cols: Sequence[str], weight: str | None = None) -> list[str]:
+    """The columns, in their order, that vary and do not depend linearly on an intercept and those before them."""
+    matrix = _correlation(df, cols, weight)
+    kept: list[int] = []
+    for i in np.flatnonzero(np.isfinite(np.diag(matrix))):
+        before = matrix[kept, i]
+        if 1 - before @ np.linalg.solve(matrix[np.ix_(kept, kept)], before) > 1e-9:
+            kept.append(int(i))
+    return [cols[i] for i in kept]
+
+
 def vif(df: DataFrame, cols: Sequence[str], weight: str | None = None) -> DataFrame:
     """Variance inflation factor 1 / (1 - R²) per predictor, largest first.
 

@@ -7,7 +7,7 @@ from concurrent.futures import ThreadPoolExecutor
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from psephos.operators.collinearity import vif
+from psephos.operators.collinearity import independent, vif
 from psephos.operators.evaluate import cutoff_sweep, evaluate, metrics_at_cutoff
 from psephos.operators.forest import fit_forest, forest_importance, forest_scores, tune_forest
 from psephos.operators.logit import (
@@ -102,17 +102,24 @@ def forest_reports(
 
 
 def logit_reports(merged: DataFrame, cutoff: float = 0.5) -> dict[str, DataFrame]:
-    """Logit model on merged rows: collinearity, coefficients, odds, evaluation at cutoffs."""
+    """Logit model on merged rows: collinearity, coefficients, odds, evaluation at cutoffs.
+
+    A predictor that has one value in all training rows, or depends on the intercept and those before it, adds nothing
+    to them; it is left out of the model and named in a report.
+    """
     plain = clean_column_names(merged)
-    predictors = feature_columns(plain, [c.TARGET, c.PERIOD, ROWS])
+    named = feature_columns(plain, [c.TARGET, c.PERIOD, ROWS])
     train, test = split_by_period(plain, c.PERIOD, c.TRAIN_YEARS, c.TEST_YEARS)
+    predictors = independent(train, named, ROWS)
     weighted = balanced_weights(train, c.TARGET, "_class", ROWS).withColumn(
         "_frequency", F.col("_class") * F.col(ROWS)
     )
     model = fit_logit(weighted, predictors, c.TARGET, "_frequency")
     table = logit_table(model)
     effects = significant_effects(table)
+    left_out = [(name,) for name in named if name not in predictors]
     reports = {
+        "logit_left_out": train.sparkSession.createDataFrame(left_out, "variavel string"),
         "vif": vif(train, predictors, ROWS).withColumnsRenamed(
             {"variable": "variavel", "vif": "VIF"}
         ),
@@ -214,7 +221,8 @@ def run_analysis(
     features = kept(feature_table(cohort), "features", ["DS_CARGO", c.PERIOD])
     profiles = cohort_profiles(raw, cohort)
     paths = written([f"cohort/{name}" for name in profiles], list(profiles.values()))
-    for office in offices:
+
+    def of_office(office: str) -> list[str]:
         tables = office_reports(
             keep_in(cohort, "DS_CARGO", [office]),
             keep_in(features, "DS_CARGO", [office]),
@@ -223,5 +231,10 @@ def run_analysis(
             folds,
         )
         place = office.lower().replace(" ", "_")
-        paths += written([f"{place}/{name}" for name in tables], list(tables.values()))
+        return written([f"{place}/{name}" for name in tables], list(tables.values()))
+
+    # Most steps of an office are small jobs on merged rows that wait for each other; another office fills the gaps.
+    with ThreadPoolExecutor(max(1, len(offices))) as pool:
+        for found in pool.map(of_office, offices):
+            paths += found
     return paths

@@ -225,3 +225,13 @@ def test_registered_effects_are_significant(spark, monkeypatch, cells, listed):
     monkeypatch.setattr(queries, "_doc_model", lambda spark, folder: (None, model))
     assert (abs(z) > 1.96) == listed
     assert queries.QUERIES["significant_effects"](spark, "").count() == listed
+
+
+def test_independent_columns_come_first_in_order(spark):
+    from psephos.operators.collinearity import independent
+
+    rows = [(float(i % 2), float(i % 3), 1.0, 1.0 - i % 2, float(i % 2 + i % 3), float(i % 5), 1 + i % 4) for i in range(60)]
+    df = spark.createDataFrame(rows, "a double, b double, one double, not_a double, sum double, e double, w int")
+    names = ["a", "b", "one", "not_a", "sum", "e"]
+    assert independent(df, names, "w") == independent(df, names) == ["a", "b", "e"]
+    assert independent(df, ["one"], "w") == []
