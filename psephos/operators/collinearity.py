@@ -51,6 +51,8 @@ def _correlation(df: DataFrame, cols: Sequence[str], weight: str | None) -> np.n
 
 def independent(df: DataFrame, cols: Sequence[str], weight: str | None = None) -> list[str]:
     """The columns, in their order, that vary and do not depend linearly on an intercept and those before them."""
+    if weight is None:
+        df, weight = df.withColumn("_once", F.lit(1)), "_once"
     matrix = _correlation(df, cols, weight)
     kept: list[int] = []
     for i in np.flatnonzero(np.isfinite(np.diag(matrix))):

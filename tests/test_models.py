@@ -234,4 +234,4 @@ def test_independent_columns_come_first_in_order(spark):
     df = spark.createDataFrame(rows, "a double, b double, one double, not_a double, sum double, e double, w int")
     names = ["a", "b", "one", "not_a", "sum", "e"]
     assert independent(df, names, "w") == independent(df, names) == ["a", "b", "e"]
-    assert independent(df, ["one"], "w") == []
+    assert independent(df, ["one"], "w") == independent(df, ["one"]) == []
