@@ -170,19 +170,6 @@ def within_reach(measure: Measure, left: str, right: str) -> Column:
     return ok & (rest * (100 + measure.percent) >= measure.percent * (n + m))
 
 
-def prefix_filter(measure: Measure, left: str, right: str) -> Column:
-    """At the first token that two prefixes share, whether they share enough.
-
-    Outside the prefixes there is room for the rest of one set only.  As every pair has one first
-    shared token, it passes once.
-    """
-    n, m = F.col(f"{left}.n"), F.col(f"{right}.n")
-    both = F.array_intersect(f"{left}.own", f"{right}.own")
-    rest = F.floor((measure.percent * F.greatest(n, m) + 99) / 100) - 1
-    enough = (F.size(both) + rest) * (100 + measure.percent) >= measure.percent * (n + m)
-    return (both[0] == F.col(f"{left}.token")) & enough
-
-
 def cell_filter(pairs: DataFrame, classes: DataFrame, measure: Measure) -> DataFrame:
     """Pairs (a, b) whose counts by cell leave room for the overlap they need.
 
@@ -250,12 +237,13 @@ def verified(pairs: DataFrame, docs: DataFrame, measure: Measure) -> DataFrame:
     return by_block(joined, "text", "a long, b long", work, BLOCK_BYTES)
 
 
-def open_postings(shared: DataFrame, under: DataFrame) -> tuple[DataFrame | None, int]:
+def open_postings(unmet: DataFrame, under: DataFrame) -> tuple[DataFrame | None, int]:
     """Postings of tokens whose classes have different roots, with the most frequent one as ``main``; None without any.
 
-    Also by how many the pairs across roots exceed ``HUBS`` for each posting.
+    ``unmet`` lacks the hub of each token, which has met all others there.  Also by how many the pairs across roots
+    exceed ``HUBS`` for each posting.
     """
-    placed = shared.join(under, "sig", "left").select("token", "sig", "n", "pos", F.coalesce("root", "sig").alias("root"))
+    placed = unmet.join(under, "sig", "left").select("token", "sig", "n", "pos", F.coalesce("root", "sig").alias("root"))
     counts = placed.groupBy("token", "root").agg(F.count(F.lit(1)).alias("members"))
     crowded = stored(
         counts.groupBy("token").agg(
@@ -306,16 +294,18 @@ def hung(under: DataFrame, links: DataFrame) -> DataFrame:
 
 
 def remaining(open_: DataFrame, tried: DataFrame, classes: DataFrame, docs: DataFrame, measure: Measure) -> DataFrame:
-    """Links (a, b) among the pairs of ``open_`` postings across roots that are not in ``tried``."""
-    # All open tokens of a class, rarest first: what two prefixes can share.
-    tokens = open_.groupBy("sig").agg(F.sort_array(F.collect_list(F.struct("pos", "token"))).alias("own"))
-    open_ = stored(open_.join(tokens.select("sig", F.col("own.token").alias("own")), "sig"))
-    few, all_ = open_.filter("root <> main").alias("x"), open_.alias("y")
+    """Links (a, b) among the pairs of ``open_`` postings across roots that are not in ``tried``.
+
+    A posting travels with numbers only, so what is shuffled grows with the postings, not with the square of their
+    number in a class.  A pair that meets at several tokens is merged before its cells are fetched.
+    """
+    few = open_.filter("root <> main").select("token", "sig", "n", "pos", "root").alias("x")
+    all_ = open_.select("token", "sig", "n", "pos", "root", (F.col("root") == F.col("main")).alias("in_main")).alias("y")
     rest = few.join(all_, F.col("x.token") == F.col("y.token")).filter(
-        (F.col("x.root") != F.col("y.root")) & ((F.col("y.root") == F.col("y.main")) | (F.col("x.sig") < F.col("y.sig")))
-        & within_reach(measure, "x", "y") & prefix_filter(measure, "x", "y")
+        (F.col("x.root") != F.col("y.root")) & (F.col("y.in_main") | (F.col("x.sig") < F.col("y.sig")))
+        & within_reach(measure, "x", "y")
     )
-    rest = rest.select(F.least("x.sig", "y.sig").alias("a"), F.greatest("x.sig", "y.sig").alias("b"))
+    rest = rest.select(F.least("x.sig", "y.sig").alias("a"), F.greatest("x.sig", "y.sig").alias("b")).distinct()
     rest = stored(cell_filter(stored(rest.join(tried, ["a", "b"], "left_anti")), classes, measure))
     return rest.select("a", "b") if rest.isEmpty() else stored(verified(rest, docs, measure))
 
@@ -339,7 +329,8 @@ def join_classes(docs: DataFrame, measure: Measure) -> tuple[DataFrame, DataFram
     every = postings(docs, measure, scale, key_filter(tokens, "token"))
     shared = stored(every.join(tokens, "token").distinct())  # classes that share a token, once each
     hubs = stored(shared.filter("sig = hub").select("token", "sig", "n", "pos"))
-    met = shared.filter("sig <> hub").alias("x").join(hubs.alias("y"), F.col("x.token") == F.col("y.token"))
+    unmet = shared.filter("sig <> hub")
+    met = unmet.alias("x").join(hubs.alias("y"), F.col("x.token") == F.col("y.token"))
     met = met.filter(within_reach(measure, "x", "y"))
     pairs = stored(met.select(F.col("x.sig").alias("a"), F.col("y.sig").alias("b")).distinct())
     links = stored(verified(stored(cell_filter(pairs, classes, measure)), docs, measure))
@@ -349,7 +340,7 @@ def join_classes(docs: DataFrame, measure: Measure) -> tuple[DataFrame, DataFram
     above = under.select(F.col("sig").alias("root"), F.col("root").alias("higher"))
     under = stored(under.join(above, "root", "left").select("sig", F.coalesce("higher", "root").alias("root")))
     tried = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    open_, left = open_postings(shared, under)
+    open_, left = open_postings(unmet, under)
     if open_ is not None:  # what is open later is so now
         classes_open = stored(classes.join(open_.select("sig").distinct(), "sig", "left_semi"))
     turn, worth = 0, True
@@ -361,7 +352,7 @@ def join_classes(docs: DataFrame, measure: Measure) -> tuple[DataFrame, DataFram
         tried = tried.unionByName(pairs)
         links = links.unionByName(new)
         under = hung(under, new)
-        open_, left = open_postings(shared, under)
+        open_, left = open_postings(unmet, under)
     if open_ is not None:
         links = links.unionByName(remaining(open_, tried, classes_open, docs, measure))
 

@@ -44,6 +44,34 @@ def test_without_broadcast(spark, monkeypatch):
     assert ordered(found.select("id", "n", "component_id").collect()) == ordered(linked_components(rows, 3, 90))
 
 
+def almost_linked(groups: int, members: int) -> list[tuple]:
+    """Groups whose texts share 85 of their 100 five-word n-grams: 74 per cent, with shared ones in their prefixes."""
+    return [
+        (100 * g + i, prose(200 + g, 89) + " " + prose(1000 + 10 * g + i, 15), None, None, None)
+        for g in range(groups) for i in range(members)
+    ]
+
+
+def test_classes_that_met_at_a_hub_are_not_open(spark, monkeypatch):
+    """Of two classes at a token one is the hub, so no pair is left for the last comparison."""
+    rows, left = almost_linked(6, 2), []
+    monkeypatch.setattr(jaccard, "remaining", lambda open_, *rest: left.append(open_.count()) or rest[0].limit(0))
+    found = jaccard.similar(table(spark, rows), jaccard.Measure(5, 80))
+    assert ordered(found.select("id", "n", "component_id").collect()) == ordered(linked_components(rows, 5, 80))
+    assert left == []
+
+
+def test_open_postings_do_not_grow_with_their_class(spark, monkeypatch):
+    """The last comparison shuffles numbers, no lists of the n-grams of a class with each of them."""
+    rows, schemas, reached = almost_linked(6, 4), [], []
+    store, last = jaccard.stored, jaccard.remaining
+    monkeypatch.setattr(jaccard, "stored", lambda df: schemas.append(df.schema.simpleString()) or store(df))
+    monkeypatch.setattr(jaccard, "remaining", lambda *given: reached.append(given[0].count()) or last(*given))
+    found = jaccard.similar(table(spark, rows), jaccard.Measure(5, 80))
+    assert ordered(found.select("id", "n", "component_id").collect()) == ordered(linked_components(rows, 5, 80))
+    assert reached and not [schema for schema in schemas if "array" in schema]
+
+
 def test_keep_first_leaves_one_of_each_group(spark):
     rows = awkward_rows() + near_copies()
     kept = jaccard.keep_first(table(spark, rows), jaccard.Measure(5, 80))
