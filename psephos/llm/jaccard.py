@@ -3,9 +3,9 @@
 Rows with equal sets form a class, and only classes are compared.  N-grams are ordered
 rarest first; two sets as similar as asked for share an n-gram among the first few of each, their
 prefixes.  Classes that share a prefix n-gram are first compared with one hub of that n-gram,
-which settles groups of near copies in as many comparisons as they have members.  Larger loose
-groups meet random hubs in rounds.  What then lies in different components is compared pair by pair.  Before any text is fetched, pairs
-pass filters on length, on the places of the shared n-gram, and on the counts of the sets in 256
+which settles groups of near copies in as many comparisons as they have members.  Where an n-gram
+has many classes apart from its largest component, they meet random hubs in rounds.  What then
+lies in different components is compared pair by pair.  Before any text is fetched, pairs pass filters on length, on the places of the shared n-gram, and on the counts of the sets in 256
 cells, which bound the overlap of the rest from above.  Each pair is verified once, exactly.
 
 How rare an n-gram is comes from a table of ``SLOTS`` counters over all documents; n-grams that
@@ -36,8 +36,9 @@ PARTS = 64
 CELLS = 256
 #: A set of keys of at most so many rows is broadcast; beyond it both sides are shuffled.
 FEW = 200_000
-#: Random classes that each class of a crowded n-gram meets in one round.  Rounds go on while there are more pairs
-#: than that and a tenth of the classes find links; then all pairs that are left are compared.
+#: An n-gram is crowded while more classes than that lie outside its largest component; each of its classes then meets
+#: so many random ones in a round.  Rounds go on while a tenth of the classes of crowded n-grams find links; then all pairs
+#: that are left are compared, at n-grams that are not crowded at most so many for each posting.
 HUBS = 64
 
 _U = np.uint64
@@ -237,27 +238,28 @@ def verified(pairs: DataFrame, docs: DataFrame, measure: Measure) -> DataFrame:
     return by_block(joined, "text", "a long, b long", work, BLOCK_BYTES)
 
 
-def open_postings(unmet: DataFrame, under: DataFrame) -> tuple[DataFrame | None, int]:
+def open_postings(unmet: DataFrame, under: DataFrame) -> tuple[DataFrame | None, bool]:
     """Postings of tokens whose classes have different roots, with the most frequent one as ``main``; None without any.
 
-    ``unmet`` lacks the hub of each token, which has met all others there.  Also by how many the pairs across roots
-    exceed ``HUBS`` for each posting.
+    ``unmet`` lacks the hub of each token, which has met all others there.  ``loose`` is how many of the classes of the
+    token are not under ``main``.  Also whether any token has more than ``HUBS`` of these.
     """
     placed = unmet.join(under, "sig", "left").select("token", "sig", "n", "pos", F.coalesce("root", "sig").alias("root"))
     counts = placed.groupBy("token", "root").agg(F.count(F.lit(1)).alias("members"))
-    crowded = stored(
+    tokens = stored(
         counts.groupBy("token").agg(
             F.max(F.struct("members", "root")).alias("most"), F.count(F.lit(1)).alias("roots"), F.sum("members").alias("members")
-        ).filter("roots > 1").select("token", "members", F.col("most.root").alias("main"), F.col("most.members").alias("in_main"))
+        ).filter("roots > 1")
+        .select("token", "members", F.col("most.root").alias("main"), (F.col("members") - F.col("most.members")).alias("loose"))
     )
-    across, rows = crowded.agg(F.sum((F.col("members") - F.col("in_main")) * F.col("members")), F.sum("members")).first()
-    if not rows:
-        return None, 0
-    return stored(placed.join(crowded.drop("in_main"), "token")), across - HUBS * rows
+    loose = tokens.agg(F.max("loose")).first()[0]
+    if loose is None:
+        return None, False
+    return stored(placed.join(tokens, "token")), loose > HUBS
 
 
 def random_hubs(open_: DataFrame, measure: Measure, turn: int) -> DataFrame:
-    """Pairs (a, b) of each class with up to ``HUBS`` random classes of its most frequent open token."""
+    """Pairs (a, b) of each class with up to ``HUBS`` random classes of its most frequent token in ``open_``."""
     best = open_.groupBy("sig").agg(F.max_by(F.struct("token", "n", "pos", "root"), F.struct("members", "token")).alias("x"))
     lots = open_.withColumn("lot", F.pmod(F.xxhash64("sig", F.lit(turn)), F.lit(HUBS)))
     hubs = lots.groupBy("token", "lot").agg(
@@ -340,19 +342,20 @@ def join_classes(docs: DataFrame, measure: Measure) -> tuple[DataFrame, DataFram
     above = under.select(F.col("sig").alias("root"), F.col("root").alias("higher"))
     under = stored(under.join(above, "root", "left").select("sig", F.coalesce("higher", "root").alias("root")))
     tried = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    open_, left = open_postings(unmet, under)
+    open_, crowded = open_postings(unmet, under)
     if open_ is not None:  # what is open later is so now
         classes_open = stored(classes.join(open_.select("sig").distinct(), "sig", "left_semi"))
     turn, worth = 0, True
-    while left > 0 and worth:
+    while crowded and worth:
         turn += 1
-        pairs = stored(random_hubs(open_, measure, turn).join(tried, ["a", "b"], "left_anti"))
+        loose = open_.filter(F.col("loose") > HUBS)
+        pairs = stored(random_hubs(loose, measure, turn).join(tried, ["a", "b"], "left_anti"))
         new = stored(verified(stored(cell_filter(pairs, classes_open, measure)), docs, measure))
-        worth = 10 * new.count() >= open_.agg(F.approx_count_distinct("sig")).first()[0]
+        worth = 10 * new.count() >= loose.agg(F.approx_count_distinct("sig")).first()[0]
         tried = tried.unionByName(pairs)
         links = links.unionByName(new)
         under = hung(under, new)
-        open_, left = open_postings(unmet, under)
+        open_, crowded = open_postings(unmet, under)
     if open_ is not None:
         links = links.unionByName(remaining(open_, tried, classes_open, docs, measure))
 

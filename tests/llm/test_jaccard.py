@@ -1,7 +1,10 @@
 import numpy as np
+import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from psephos.llm import jaccard
+from psephos.llm.text import Texts
 from tests.llm.cases import SCHEMA, awkward_rows, linked_components, ordered, prose, table
 
 
@@ -72,6 +75,31 @@ def test_open_postings_do_not_grow_with_their_class(spark, monkeypatch):
     assert reached and not [schema for schema in schemas if "array" in schema]
 
 
+def test_a_crowded_token_meets_random_hubs_beside_many_others(spark, monkeypatch):
+    """Near copies whose hub is linked with none of them, among many tokens of few classes, are not compared all with all."""
+    core, measure, apart = prose(300, 104), jaccard.Measure(5, 80), []
+
+    def sig(text):
+        _, values, bounds = jaccard.sets(Texts(pa.array([text]), lower=True), 5)
+        return jaccard.signatures(values, bounds)[0]
+
+    copies = [f"{core} {prose(2000 + i, 10)}" for i in range(jaccard.HUBS + 6)]
+    least = min(map(sig, copies))
+    hub = next(text for text in (f"{core} {prose(4000 + i, 22)}" for i in range(2000)) if sig(text) < least)
+    rows = [(5000 + i, text, None, None, None) for i, text in enumerate([hub, *copies])] + almost_linked(12, 3)
+    last = jaccard.remaining
+
+    def noted(open_, *rest):
+        roots = open_.groupBy("token", "root").count().groupBy("token").agg((F.sum("count") - F.max("count")).alias("apart"))
+        apart.append(roots.agg(F.max("apart")).first()[0])
+        return last(open_, *rest)
+
+    monkeypatch.setattr(jaccard, "remaining", noted)
+    found = jaccard.similar(table(spark, rows), measure)
+    assert ordered(found.select("id", "n", "component_id").collect()) == ordered(linked_components(rows, 5, 80))
+    assert apart and apart[0] <= jaccard.HUBS
+
+
 def test_keep_first_leaves_one_of_each_group(spark):
     rows = awkward_rows() + near_copies()
     kept = jaccard.keep_first(table(spark, rows), jaccard.Measure(5, 80))
