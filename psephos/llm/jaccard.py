@@ -5,7 +5,8 @@ rarest first; two sets as similar as asked for share an n-gram among the first f
 prefixes.  Classes that share a prefix n-gram are first compared with one hub of that n-gram,
 which settles groups of near copies in as many comparisons as they have members.  Where an n-gram
 has many classes apart from its largest component, they meet random hubs in rounds.  What then
-lies in different components is compared pair by pair.  Before any text is fetched, pairs pass filters on length, on the places of the shared n-gram, and on the counts of the sets in 256
+lies in different components is compared pair by pair.  Before any text is fetched, pairs pass
+filters on length, on the places of the shared n-gram, and on the counts of the sets in 256
 cells, which bound the overlap of the rest from above.  Each pair is verified once, exactly.
 
 How rare an n-gram is comes from a table of ``SLOTS`` counters over all documents; n-grams that
